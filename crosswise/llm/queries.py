@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from crosswise.llm.fuzzy import near_duplicates
 from crosswise.llm.interleave import interleave
+from crosswise.llm.multiset import as_text, fingerprints
 from crosswise.llm.packing import pack_documents
 from crosswise.llm.planes import token_planes
 from crosswise.llm.suffixes import contamination
+from crosswise.llm.toxicity import score, train
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +38,21 @@ def op7_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("lanes")).alias("fingerprint"),
+        as_text(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,5 +63,5 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_bit_planes, op3_suffix_arrays, op7_best_fit_decreasing, op9_golay_simhash, op10_interleave)}
+QUERIES = {f.__name__: f for f in (op2_bit_planes, op3_suffix_arrays, op6_multiset_hash, op7_best_fit_decreasing, op8_subword_toxicity, op9_golay_simhash, op10_interleave)}
 SQL: dict[str, str] = {}

@@ -8,6 +8,11 @@ from crosswise.llm.fuzzy import drop_near_duplicates
 from crosswise.llm.packing import pack_documents
 from crosswise.llm.queries import table, vocabulary
 from crosswise.llm.suffixes import decontaminate
+from crosswise.llm.toxicity import drop_toxic, train
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +28,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("near_duplicates", near_duplicate_stage),
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
