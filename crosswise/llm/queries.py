@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosswise.llm.bloomlm import bloom_scores
+from crosswise.llm.chunks import repeats
 from crosswise.llm.fuzzy import near_duplicates
 from crosswise.llm.interleave import interleave
 from crosswise.llm.multiset import as_text, fingerprints
@@ -39,6 +40,10 @@ def op7_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents")).drop("h")
+
+
 def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_scores(table(spark, sf_dir, "documents"))
 
@@ -68,5 +73,5 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_bit_planes, op3_suffix_arrays, op5_bloom_lm, op6_multiset_hash, op7_best_fit_decreasing, op8_subword_toxicity, op9_golay_simhash, op10_interleave)}
+QUERIES = {f.__name__: f for f in (op2_bit_planes, op3_suffix_arrays, op4_gear_chunks, op5_bloom_lm, op6_multiset_hash, op7_best_fit_decreasing, op8_subword_toxicity, op9_golay_simhash, op10_interleave)}
 SQL: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crosswise.llm.chunks import drop_repeats
 from crosswise.llm.fuzzy import drop_near_duplicates
 from crosswise.llm.packing import pack_documents
 from crosswise.llm.queries import table, vocabulary
@@ -19,6 +20,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return drop_near_duplicates(docs)
 
 
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_repeats(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +35,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("toxicity", toxicity_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("substring_dedup", repeats_stage),
     ("decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
