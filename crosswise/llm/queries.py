@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crosswise.llm.bloomlm import bloom_scores
 from crosswise.llm.chunks import repeats
+from crosswise.llm.fixity import HEAD, audit, lay_out, warc_record
 from crosswise.llm.fuzzy import near_duplicates
 from crosswise.llm.interleave import interleave
 from crosswise.llm.multiset import as_text, fingerprints
@@ -26,6 +27,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit the pages' archive against a replica with known damage: ids 13 mod 97 have another first byte, ids 17 mod 389 are lost."""
+    record = warc_record(F.col("url"), F.col("html"))
+    damaged = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("X"), F.substring(record, F.lit(2), F.length(record)))).otherwise(record)
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("length"), F.sha2(damaged, 256).alias("other")
+    )
+    archive = lay_out(pages)
+    replica = archive.filter(F.coalesce(F.col("page_id") % 389 != 17, F.lit(True))).withColumn("digest", F.col("other"))
+    return audit(archive, replica).select("page_id", "file", "offset", "length", "copies", "status", "expected", "found")
+
+
+OP1_SQL = f"""
+WITH r AS (
+  SELECT page_id, '{HEAD}' || coalesce(url, '') || E'\\r\\nContent-Length: ' || strlen(coalesce(html, ''))
+         || E'\\r\\n\\r\\n' || coalesce(html, '') || E'\\r\\n\\r\\n' AS body FROM pages),
+l AS (
+  SELECT page_id, sha256(body) AS digest, strlen(body) AS length,
+         sha256(CASE WHEN page_id % 97 = 13 THEN 'X' || substr(body, 2) ELSE body END) AS other, count(*) AS copies
+  FROM r GROUP BY ALL),
+p AS (
+  SELECT *, ('0x' || substr(digest, 1, 8))::BIGINT % greatest(1, (SELECT (count(*) + 8191) // 8192 FROM l)) AS file FROM l),
+o AS (
+  SELECT *, coalesce(sum(length * copies) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, digest
+                                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM p)
+SELECT page_id, file, "offset", length, copies,
+       CASE WHEN page_id % 389 = 17 THEN 'missing' ELSE 'corrupt' END AS status, digest AS expected,
+       CASE WHEN page_id % 389 = 17 THEN NULL ELSE other END AS found
+FROM o WHERE page_id % 389 = 17 OR digest <> other
+""".replace("'" + HEAD + "'", "E'" + HEAD.replace("\r\n", "\\r\\n") + "'")
+
+
 def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_planes(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -73,5 +106,5 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_bit_planes, op3_suffix_arrays, op4_gear_chunks, op5_bloom_lm, op6_multiset_hash, op7_best_fit_decreasing, op8_subword_toxicity, op9_golay_simhash, op10_interleave)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_merkle_audit, op2_bit_planes, op3_suffix_arrays, op4_gear_chunks, op5_bloom_lm, op6_multiset_hash, op7_best_fit_decreasing, op8_subword_toxicity, op9_golay_simhash, op10_interleave)}
+SQL: dict[str, str] = {"op1_merkle_audit": OP1_SQL}
