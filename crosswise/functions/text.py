@@ -11,16 +11,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ASCII = r"^\p{ASCII}*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else v.casefold())
 

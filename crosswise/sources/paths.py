@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Namespace of DNS names for version-5 identifiers, bucket count, the baseline pipeline.
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -38,7 +39,7 @@ def murmur3(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def hash_bucket(name: pd.Series) -> pd.Series:
     """Spark's own hash has another seed and tail rule, so this one is an Arrow UDF."""
     return name.map(lambda x: None if x is None else murmur3(x.encode()) % BUCKETS).astype("Int32")
