@@ -98,7 +98,7 @@ def _pack_block(ids: list, counts: list, names: list, capacity: int, base: int)
     return pa.record_batch(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), opened + int(full.sum())
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 8_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 4_000_000) -> DataFrame:
     """One row per piece: where it comes from, where it stands in which sequence, and its ids (little-endian uint32).
 
     ``vocabulary``: path of a file of the tokenizers library. ``block_tokens``
@@ -124,6 +124,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
                     base, ids, counts, names, held = base + used, [], [], [], 0
         if held:
             yield _pack_block(ids, counts, names, capacity, base)[0]
+        ids.clear()
+        pa.default_memory_pool().release_unused()  # the worker lives on for other operators' tasks
 
     ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

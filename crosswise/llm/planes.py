@@ -158,7 +158,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
 
         code, part, out, writer, uri = encoder(vocabulary), TaskContext.get().partitionId(), None, None, None
         for batch in batches:
-            for piece in pieces_of(batch):
+            for piece in pieces_of(batch, most=16 << 20):
                 flat, count = code.encode(texts_of(piece))
                 if max(end_id, int(flat.max()) if len(flat) else 0) >> id_bits:
                     raise ValueError(f"an id needs more than {id_bits} bits")

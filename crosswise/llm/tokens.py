@@ -3,11 +3,14 @@
 A text is cut at points that the tokenizer itself always cuts (a lone space
 between two non-space characters), so the ids of the units, joined, are the ids
 of the text. Texts with other white space around a cut go through the library whole.
+Inside a unit, a lone line break and a mark after a last letter are such points too;
+the parts between them are what the library encodes and what is remembered.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,9 @@ import pyarrow.compute as pc
 
 from crosswise.llm.arrays import ragged
 
+#: Marks that, right after a letter, always begin a piece of their own.
+MARKS = frozenset(".,;:!?")
+
 _OPEN: dict[str, "UnitEncoder"] = {}
 
 
@@ -26,7 +32,7 @@ def encoder(path: str) -> "UnitEncoder":
 
 
 class UnitEncoder:
-    """``remember`` bounds how many units are kept between calls; beyond it they are encoded anew."""
+    """``remember`` bounds how many parts are kept between calls; beyond it they are encoded anew."""
 
     def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer
@@ -45,7 +51,7 @@ class UnitEncoder:
         if before is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             return "space"
         parts = pre.get("pretokenizers") or []
-        if parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and "[^\\s" in str(parts[0].get("pattern")):
+        if parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and "[^\\s" in parts[0].get("pattern", {}).get("Regex", ""):
             if all(x.get("type") in ("NFC", "Lowercase", "Replace") for x in (before or {}).get("normalizers", [])):
                 return "word"
         return "whole"
@@ -61,7 +67,7 @@ class UnitEncoder:
         for i in range(0, len(texts), 4096):
             ids = [e.ids for e in self.tok.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
             lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flats.append(np.fromiter((x for one in ids for x in one), np.uint32, int(lengths[-1].sum())))
+            flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
         if not flats:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate(flats), np.concatenate(lengths)
@@ -79,6 +85,38 @@ class UnitEncoder:
             at.update(zip(new, range(base, base + len(new))))
         return np.fromiter((at[u] for u in units), np.int64, len(units))
 
+    def _parts(self, unit: str) -> list[str]:
+        """Cut a unit (with its leading space, if any) where the tokenizer always cuts."""
+        if "\n" in unit:
+            lines = unit.split("\n")
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
+                return [unit]
+            out = []
+            for k, line in enumerate(lines):
+                if k and self.mode == "space":
+                    out.append("\n")
+                out += self._parts(line)
+            return out
+        if unit[-1:] in MARKS and unit[-2:-1].isalpha():
+            return [unit[:-1], unit[-1]]
+        return [unit]
+
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each unit's ids, one after another, and their numbers."""
+        spots, count = [self.at.get(u, -1) for u in units], np.ones(len(units), np.int64)
+        new = [k for k, spot in enumerate(spots) if spot < 0]
+        parts = [self._parts(units[k]) for k in new]
+        count[new] = np.fromiter(map(len, parts), np.int64, len(parts))
+        places = iter(self._places(list(chain.from_iterable(parts))).tolist())
+        if new:
+            sizes = count.tolist()
+            spots = [x for k, spot in enumerate(spots) for x in ((spot,) if spot >= 0 else [next(places) for _ in range(sizes[k])])]
+        if not len(spots):
+            return np.zeros(0, np.uint32), np.zeros(len(units), np.int64)
+        spots = np.array(spots, np.int64)
+        lengths = self.length[spots]
+        return self.flat[ragged(self.start[spots], lengths)], np.add.reduceat(lengths, np.cumsum(count) - count)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order (uint32), and each text's number of ids."""
         if self.mode == "whole" or not len(texts):
@@ -89,25 +127,29 @@ class UnitEncoder:
         coded = split.flatten().dictionary_encode()
         units, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = (split.offsets.to_numpy() - split.offsets[0].as_py()).astype(np.int64)
-        loose = np.fromiter((not u or u[0].isspace() or u[-1].isspace() for u in units), bool, len(units))
-        odd = np.add.reduceat(loose[codes], offsets[:-1]) > 0
-        first = np.zeros(len(codes), bool)
-        first[offsets[:-1]] = True
+        bare = pc.binary_length(pc.utf8_trim_whitespace(coded.dictionary))
+        loose = pc.or_(pc.equal(bare, 0), pc.less(bare, pc.binary_length(coded.dictionary))).to_numpy(zero_copy_only=False)
+        odd = np.add.reduceat(loose[codes], offsets[:-1], dtype=np.int64) > 0
+        heads = offsets[:-1][~odd]
+        inner = np.repeat(~odd, np.diff(offsets))
+        inner[heads] = False
+        # Each text's first unit has no space before it, so it stands apart from the same unit elsewhere.
+        used = np.flatnonzero(np.bincount(codes[inner], minlength=len(units)))
+        heading, head = np.unique(codes[heads], return_inverse=True)
+        rank = np.zeros(len(units), np.int64)
+        rank[used] = np.arange(len(used))
         lead = " " if self.mode == "space" else ""
-        used = np.zeros(len(units), bool)
-        used[codes[np.repeat(~odd, np.diff(offsets)) & ~first]] = True
-        place = np.zeros(len(units), np.int64)
-        place[used] = self._places([lead + units[i] for i in np.flatnonzero(used)])
-        spots = place[codes]
-        plain = np.flatnonzero(~odd)
-        heads = offsets[:-1][plain]
-        spots[heads] = self._places([units[i] for i in codes[heads]])
-        lengths = np.where(np.repeat(odd, np.diff(offsets)), 0, self.length[spots]) if len(self.length) else np.zeros(len(spots), np.int64)
+        flat, length = self._units([lead + units[i] for i in used] + [units[i] for i in heading])
+        start = np.cumsum(length) - length
+        spots = np.full(len(codes), -1, np.int64)
+        spots[inner], spots[heads] = rank[codes[inner]], len(used) + head
+        lengths = np.where(spots < 0, 0, np.append(length, 0)[spots])
         counts = np.add.reduceat(lengths, offsets[:-1])
-        ids = self.flat[ragged(self.start[spots], lengths)] if len(self.start) else np.zeros(0, np.uint32)
+        spots = spots[spots >= 0]
+        ids = flat[ragged(start[spots], length[spots])]
         if not odd.any():
             return ids, counts
-        rare = np.flatnonzero(odd)
+        rare, plain = np.flatnonzero(odd), np.flatnonzero(~odd)
         flat, more = self._raw([texts[int(i)].as_py() for i in rare])
         total = counts.copy()
         total[rare] = more
