@@ -61,17 +61,25 @@ class Model:
     bias: float
 
 
-def subwords(words: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids of each word's n-grams and itself, word after word, and how many each word has."""
+def subwords(words: pa.Array, s: Settings, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids of each word's n-grams and itself, word after word, and how many each word has.
+
+    Words are taken ``step`` at a time, which bounds the memory in between.
+    """
+    parts = [_subwords(words.slice(k, step), s) for k in range(0, len(words), step)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _subwords(words: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     marked = ["<%s>" % w for w in words.to_pylist()]
     points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, n)
     end = np.cumsum(size)
     room = np.repeat(end, size) - np.arange(len(points))  # code points from here to the word's end
-    word = np.repeat(np.arange(n), size)
+    word = np.repeat(np.arange(n, dtype=np.int32), size)
     prime, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - s.buckets_log2)
     rolled = np.zeros(len(points), np.uint64)
     ids, owner = [], []
@@ -81,12 +89,12 @@ def subwords(words: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
         rolled = (rolled ^ ahead) * prime + np.uint64(k)
         if k + 1 >= s.shortest:
             fits = room > k
-            ids.append(((rolled[fits] ^ (rolled[fits] >> np.uint64(29))) * prime >> shift).astype(np.int64))
+            ids.append(((rolled[fits] ^ (rolled[fits] >> np.uint64(29))) * prime >> shift).astype(np.int32))
             owner.append(word[fits])
     power = np.cumprod(np.concatenate(([1], np.full(int(size.max()), 0x100000001B3, np.uint64))), dtype=np.uint64)
     whole = np.add.reduceat(points * power[room], end - size)
-    ids.append((whole * prime >> shift).astype(np.int64))
-    owner.append(np.arange(n))
+    ids.append((whole * prime >> shift).astype(np.int32))
+    owner.append(np.arange(n, dtype=np.int32))
     ids, owner = np.concatenate(ids), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return ids[order], np.bincount(owner, minlength=n)
@@ -103,18 +111,22 @@ def windows_of(counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
 def telling(word: np.ndarray, counts: np.ndarray, labels: np.ndarray, gram: np.ndarray, grams: np.ndarray, s: Settings) -> np.ndarray:
     """Which buckets occur in unequal shares of the two classes' texts, by the likelihood ratio of their counts."""
     start = np.cumsum(grams) - grams
-    seen = np.zeros((2, 1 << s.buckets_log2))
+    seen = np.zeros((2, 1 << s.buckets_log2), np.int32)
     at = np.concatenate(([0], np.cumsum(counts)))
     for k in range(len(counts)):
         own = np.unique(word[at[k] : at[k + 1]])
         seen[labels[k], np.unique(gram[ragged(start[own], grams[own])])] += 1
     n = np.bincount(labels, minlength=2).astype(float)[:, None]
+    some = np.flatnonzero(seen.any(axis=0))
+    seen = seen[:, some].astype(float)
     total = seen.sum(axis=0)
-    ratio = np.zeros(seen.shape[1])
+    ratio = np.zeros(len(some))
     for table, share in ((seen, total), (n - seen, n.sum() - total)):
         expected = n * share / n.sum()
         ratio += 2 * np.where(table > 0, table * np.log(np.maximum(table, 1) / np.maximum(expected, 1e-12)), 0).sum(axis=0)
-    return ratio >= s.evidence
+    out = np.zeros(1 << s.buckets_log2, bool)
+    out[some[ratio >= s.evidence]] = True
+    return out
 
 
 class Adam:
@@ -157,8 +169,9 @@ def fit(texts: list[str | None], labels: np.ndarray, s: Settings) -> Model:
     gram, grams = subwords(coded.dictionary, s)
     kept = telling(word, counts, labels, gram, grams, s)
     buckets = np.flatnonzero(kept)
-    of_word = np.repeat(np.arange(len(grams)), grams)[kept[gram]]
-    gram = np.searchsorted(buckets, gram[kept[gram]])
+    mine = kept[gram]
+    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), grams)[mine]
+    gram = np.searchsorted(buckets, gram[mine])
     every, grams = grams, np.bincount(of_word, minlength=len(grams))
     size, text = windows_of(counts, s.window)
     spot = np.repeat(np.arange(len(size)), size)
