@@ -164,10 +164,14 @@ def _beside(docs: DataFrame, asked: DataFrame, o: Options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
+        seen: set[tuple] = set()  # rows alike meet in one task, as the join dealt them by these keys
         for batch in batches:
             for piece in pieces_of(batch):
                 rows = []
                 for i, h, text, spots in zip(*(piece.column(n).to_pylist() for n in ("id", "h", "text", "spots"))):
+                    if (i, h) in seen:
+                        continue
+                    seen.add((i, h))
                     raw = (text or "").encode()
                     starts, ends = words_in(np.frombuffer(raw, np.uint8))
                     for spot in spots:
@@ -179,7 +183,7 @@ def _beside(docs: DataFrame, asked: DataFrame, o: Options) -> DataFrame:
 
     spots = asked.distinct().groupBy("id", "h").agg(F.collect_list(F.struct("at", "side")).alias("spots"))
     one = docs.join(spots.select(F.col("id").alias("i"), F.col("h").alias("g"), "spots"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
-    return one.select("id", "h", "text", "spots").mapInArrow(run, "id long, h long, at int, side int, words array<bigint>").dropDuplicates(["id", "h", "at", "side"])
+    return one.select("id", "h", "text", "spots").mapInArrow(run, "id long, h long, at int, side int, words array<bigint>")
 
 
 def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
