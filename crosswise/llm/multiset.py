@@ -4,7 +4,7 @@ A text is the multiset of its pieces (paragraphs, cut further after the marks th
 end sentences and clauses; the marks stay with them). Every piece hashes to a wide
 vector, and a text's fingerprint is the sum of its pieces' vectors:
 
-* 8 identity lanes, each a 32-bit hash, summed modulo 2^32;
+* 4 identity lanes, each a 32-bit hash, summed modulo 2^32;
 * 126 likeness lanes, each a hash bit, summed modulo 2^20; and the number of pieces.
 
 Sums make it independent of order and homomorphic: ``added`` and ``removed``
@@ -13,7 +13,8 @@ have equal lanes. With a set bit read as +1 and a clear one as -1, the inner pro
 texts' likeness lanes estimates how many pieces they share, so their cosine, cut
 at 0, is the likeness (standard error about 0.09); equal fingerprints have 1.
 
-Three likeness lanes of 21 bits share a long, so one addition serves three.
+Three likeness lanes of 21 bits share a long, so one addition serves three. Runs of up to
+127 pieces are summed in lanes of 8 bits first, eight to a long, and then widened.
 
 The next document in ascending doc_id order is found without a global window:
 ids fall into ranges of about equal row counts, each range's first row also goes to the
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hashes of a piece for identity (two lanes each) and for likeness (63 lanes each).
-IDENTITY, LIKENESS = 4, 2
+IDENTITY, LIKENESS = 2, 2
 PACKED = 21 * LIKENESS
 LANES = 63 * LIKENESS
 #: After a line break or a mark that ends a sentence or clause; a mark and a line break after it are one end.
@@ -41,6 +42,8 @@ PIECE = r"(?<=\n)|(?<=[.,;:!?])(?!\n)"
 ONES = 1 | 1 << 21 | 1 << 42
 KEPT = ONES * 0xFFFFF
 LOW = 0xFFFFFFFF
+#: The lowest bit of each of a long's eight 8-bit lanes, and how many pieces fit them without a carry into the sign.
+NARROW, RUN = 0x0101010101010101, 127
 
 
 def _folded(total: Column, more: Column, sign: int) -> Column:
@@ -57,14 +60,20 @@ def _folded(total: Column, more: Column, sign: int) -> Column:
     return F.array(*out)
 
 
+def _bound(total: Column, more: Column, sign: int) -> Column:
+    """``_folded`` with both sides evaluated once, so that sums of sums do not copy their expressions."""
+    both = F.array(F.struct(total.alias("a"), more.alias("b")))
+    return F.get(F.transform(both, lambda x: _folded(x["a"], x["b"], sign)), 0)
+
+
 def added(total: Column, more: Column) -> Column:
     """The fingerprint after the pieces of ``more`` are inserted."""
-    return _folded(total, more, 1)
+    return _bound(total, more, 1)
 
 
 def removed(total: Column, less: Column) -> Column:
     """The fingerprint after the pieces of ``less`` are deleted."""
-    return _folded(total, less, -1)
+    return _bound(total, less, -1)
 
 
 def fingerprint(text: Column, piece: str = PIECE) -> Column:
@@ -74,14 +83,32 @@ def fingerprint(text: Column, piece: str = PIECE) -> Column:
         lambda p: F.array(*[F.xxhash64(p, F.lit(k)) for k in range(IDENTITY + LIKENESS)]),
     )
 
-    def vector(h: Column) -> Column:
+    longs = 2 * IDENTITY + 8 * LIKENESS
+
+    def narrow(total: Column, h: Column) -> Column:
         wide = [F.get(h, k) for k in range(IDENTITY + LIKENESS)]
         lanes = [x for w in wide[:IDENTITY] for x in (w.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(w, 32))]
-        bits = [F.shiftrightunsigned(w, k).bitwiseAND(F.lit(ONES)) for w in wide[IDENTITY:] for k in range(21)]
-        return F.array(*lanes, *bits, F.lit(1).cast("long"))
+        lanes += [F.shiftrightunsigned(w, k).bitwiseAND(F.lit(NARROW)) for w in wide[IDENTITY:] for k in range(8)]
+        return F.array(*[F.get(total, k) + lane for k, lane in enumerate(lanes)])
+
+    def widened(run: Column) -> Column:
+        """Lanes of a run of pieces: likeness bit b is counted in byte b // 8 of long b % 8."""
+        sums = F.aggregate(run, F.array_repeat(F.lit(0).cast("long"), longs), narrow)
+
+        def lanes(total: Column) -> Column:
+            bit = lambda hash_, b: F.shiftright(F.get(total, 2 * IDENTITY + 8 * hash_ + b % 8), 8 * (b // 8)).bitwiseAND(F.lit(0xFF))
+            packed = [bit(x, m) + F.shiftleft(bit(x, m + 21), 21) + F.shiftleft(bit(x, m + 42), 42) for x in range(LIKENESS) for m in range(21)]
+            exact = [F.get(total, k).bitwiseAND(F.lit(LOW)) for k in range(2 * IDENTITY)]
+            return F.array(*exact, *packed, F.size(run).cast("long"))
+
+        return F.get(F.transform(F.array(sums), lanes), 0)  # bound once, not once a lane
 
     zero = F.array_repeat(F.lit(0).cast("long"), 2 * IDENTITY + PACKED + 1)
-    return F.aggregate(hashes, zero, lambda total, h: added(total, vector(h)))
+    starts = lambda h: F.sequence(F.lit(1), F.size(h), F.lit(RUN))
+    runs = lambda h: F.transform(starts(h), lambda i: widened(F.slice(h, i, F.lit(RUN))))
+    per_text = F.get(F.transform(F.array(hashes), runs), 0)
+    # One run is the sum already; more are folded together.
+    return F.get(F.transform(F.array(per_text), lambda r: F.when(F.size(r) == 1, F.get(r, 0)).otherwise(F.aggregate(r, zero, lambda a, b: _folded(a, b, 1)))), 0)
 
 
 def _signed(lanes: Column) -> Column:
