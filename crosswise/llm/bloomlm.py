@@ -157,7 +157,7 @@ def gather(docs: DataFrame, o: Options) -> tuple[DataFrame, int]:
                 pair, inner = pairs_of(tokens, counts)
                 held.append(tuple((k, c.astype(np.float64)) for k, c in (np.unique(tokens, return_counts=True), np.unique(pair[inner], return_counts=True))))
                 waiting += len(tokens)
-                if waiting > 4_000_000:
+                if waiting > 2_000_000:
                     yield from out(held)
                     held, waiting = [], 0
         if held:
