@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and the next operator's tasks share their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back
+        pass
+
+
 def pieces_of(batch: pa.RecordBatch, text: str = "text", most: int = 8 << 20):
     """Cut a batch so that each piece has about ``most`` bytes of text (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -17,6 +28,7 @@ def pieces_of(batch: pa.RecordBatch, text: str = "text", most: int = 8 << 20):
         end = max(start + 1, int(np.searchsorted(at, base + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    trim()
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:

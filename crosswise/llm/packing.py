@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crosswise.llm.arrays import pieces_of, texts_of
+from crosswise.llm.arrays import pieces_of, texts_of, trim
 from crosswise.llm.tokens import encoder
 from crosswise.session import ship
 
@@ -98,7 +98,7 @@ def _pack_block(ids: list, counts: list, names: list, capacity: int, base: int)
     return pa.record_batch(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), opened + int(full.sum())
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 4_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 2_000_000) -> DataFrame:
     """One row per piece: where it comes from, where it stands in which sequence, and its ids (little-endian uint32).
 
     ``vocabulary``: path of a file of the tokenizers library. ``block_tokens``
@@ -111,7 +111,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
         code, base = encoder(vocabulary), TaskContext.get().partitionId() << 32
         ids, counts, names, held = [], [], [], 0
         for batch in batches:
-            for piece in pieces_of(batch):
+            for piece in pieces_of(batch, most=4 << 20):
                 flat, count = code.encode(texts_of(piece))
                 ends = np.cumsum(count)
                 ids.append(np.insert(flat, ends, end_id))
@@ -125,7 +125,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
         if held:
             yield _pack_block(ids, counts, names, capacity, base)[0]
         ids.clear()
-        pa.default_memory_pool().release_unused()  # the worker lives on for other operators' tasks
+        trim()
 
     ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
