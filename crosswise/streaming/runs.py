@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed_types(events: DataFrame, time: str = "ts", late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Counts of section types per run and tumbling window; rows later than the watermark are dropped by design."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "label", "section_type").agg(F.count(F.lit(1)).alias("n")).select(
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "label", "section_type").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("start"), "label", "section_type", "n"
     )
 
