@@ -232,9 +232,14 @@ def drop_near_duplicates(docs: DataFrame, errors: int = 3, shingle: int = 3) ->
     Rows alike in doc_id and text are one document.
     """
     rows, whole = _components(docs, errors, shingle)
+    return keep_first(docs, rows, whole, "fp")
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, whole: DataFrame, node: str) -> DataFrame:
+    """The rows of ``docs`` that are first of their component: ``rows`` has each one's doc_id, text hash and node, ``whole`` each node's root."""
     order = (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("h"))
-    first = rows.groupBy("fp").agg(F.min(F.struct(*order)).alias("o"))
-    kept = first.join(whole, "fp").groupBy("root").agg(F.min("o").alias("o"))
+    first = rows.groupBy(node).agg(F.min(F.struct(*order)).alias("o"))
+    kept = first.join(whole, node).groupBy("root").agg(F.min("o").alias("o"))
     kept = stage(kept.select(F.col("o").getField("col1").alias("none"), F.col("o").getField("col2").alias("id"), F.col("o").getField("h").alias("h")), "kept")
     marks = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")]
     names = ["__none", "__id", "__h"]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from crosswise.llm.chunks import drop_repeats
-from crosswise.llm.fuzzy import drop_near_duplicates
 from crosswise.llm.packing import pack_documents
 from crosswise.llm.queries import table, vocabulary
+from crosswise.llm.resemblance import drop_resembling
 from crosswise.llm.suffixes import decontaminate
 from crosswise.llm.toxicity import drop_toxic, train
 
@@ -17,7 +17,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_resembling(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
