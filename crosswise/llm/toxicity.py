@@ -4,8 +4,9 @@ Every word is the bag of its hashed character n-grams (with word ends marked)
 and itself; its vector is the mean of theirs. A bag of words is averaged and
 goes into a two-class softmax. Embeddings and softmax are trained jointly, in
 numpy, so an unseen spelling gets the vectors of the n-grams it shares. Only
-n-grams whose document counts differ between the classes (likelihood ratio of
-``evidence`` or more) get a vector; the rest would let a small sample be learned by heart.
+n-grams whose document counts differ between the classes get a vector; the rest would
+let a small sample be learned by heart. The likelihood ratio asked for follows from the sample:
+an n-gram in ``few`` texts of the rarer class and in none of the other has it, however few or many labels there are.
 
 A few words decide, and in a long text they would drown in one average. So a
 text is a row of windows of ``window`` words, each averaged into the same
@@ -44,7 +45,7 @@ class Settings:
     longest: int = 5
     buckets_log2: int = 20
     dim: int = 4
-    evidence: float = 40.0
+    few: int = 3
     window: int = 24
     warm_steps: int = 40
     steps: int = 150
@@ -109,7 +110,10 @@ def windows_of(counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def telling(word: np.ndarray, counts: np.ndarray, labels: np.ndarray, gram: np.ndarray, grams: np.ndarray, s: Settings) -> np.ndarray:
-    """Which buckets occur in unequal shares of the two classes' texts, by the likelihood ratio of their counts."""
+    """Which buckets occur in unequal shares of the two classes' texts, by the likelihood ratio of their counts.
+
+    The ratio asked for is the one that ``few`` texts of the rarer class and none of the other give in this sample.
+    """
     start = np.cumsum(grams) - grams
     seen = np.zeros((2, 1 << s.buckets_log2), np.int32)
     at = np.concatenate(([0], np.cumsum(counts)))
@@ -125,7 +129,8 @@ def telling(word: np.ndarray, counts: np.ndarray, labels: np.ndarray, gram: np.n
         expected = n * share / n.sum()
         ratio += 2 * np.where(table > 0, table * np.log(np.maximum(table, 1) / np.maximum(expected, 1e-12)), 0).sum(axis=0)
     out = np.zeros(1 << s.buckets_log2, bool)
-    out[some[ratio >= s.evidence]] = True
+    asked = 2 * max(1, min(s.few, n.min())) * np.log(n.sum() / max(1, n.min()))
+    out[some[ratio >= asked - 1e-9]] = True
     return out
 
 

@@ -167,3 +167,34 @@ def test_audit_query_equals_its_sql(spark):
     df = QUERIES["op1_merkle_audit"](spark, d)
     assert sorted(map(repr, df.select(*want.columns).collect())) == sorted(repr(r) for r in df.select(*want.columns).collect())
     assert sorted(tuple(r) for r in df.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
+def insult(rng):
+    return "".join(rng.choice("bcdfgjkqxz") + rng.choice("aeiou") for _ in range(4))
+
+
+@pytest.mark.parametrize("clean, toxic, rare, times", [(58, 10, 2, 5), (900, 100, 5, 4)])
+def test_toxicity_learns_from_few_labels_and_rare_words(clean, toxic, rare, times):
+    rng = random.Random(13)
+    names = [insult(rng) for _ in range(rare + 3)]
+
+    def text(word):
+        words = prose(rng, rng.randint(30, 120)).split()
+        if word:
+            words[rng.randrange(len(words))] = word
+        return " ".join(words)
+
+    said = [w for w in names[:rare] for _ in range(times)]
+    said += [names[rare + k % 3] for k in range(toxic - len(said))]
+    texts, labels = [text(None) for _ in range(clean)] + [text(w) for w in said], np.array([0] * clean + [1] * len(said))
+    s = toxicity.Settings()
+    model = toxicity.fit(texts, labels, s)
+    bad = toxicity.predict(pa.array([text(w) for w in names[:rare] for _ in range(10)]), model, s) >= 0.5
+    good = toxicity.predict(pa.array([text(None) for _ in range(300)]), model, s) >= 0.5
+    assert bad.mean() > 0.9 and good.mean() < 0.03
+
+
+def test_toxic_documents_are_rejected_with_few_labels(spark):
+    found = QUERIES["op8_subword_toxicity"](spark, "/root/testdata/sf0.001")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter("toxic = 1")
+    assert found.join(labels, "doc_id").filter("predicted = 1").count() > 0.5 * labels.count()
