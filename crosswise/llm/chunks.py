@@ -13,6 +13,11 @@ that a run reaches as far as the repetition does. Runs of ``least`` words or mor
 repeats, if the words that agree on one earlier place are ``agreed`` of ``least`` (so
 that unlike pieces side by side are none); shorter ones are left alone.
 
+A chunk's first occurrence may be in a document that holds no more of the passage. So
+where chunks that occur several times stand side by side, sequences of 16 to 40 words of them have digests and
+first occurrences of their own; a stretch verbatim at such a place is grown
+like a run and is a repeat if ``least`` words stand there in one piece.
+
 The shuffles carry digests and places, pre-aggregated for the first occurrences;
 a digest that a third of the documents share is split by the skew handling of the
 join, as neither side collects its group. Texts are shuffled once to fetch the words
@@ -36,12 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswise.llm.arrays import pieces_of, texts_of
-from crosswise.session import ship, stage
+from crosswise.session import discard, ship, stage
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 GEAR = np.random.default_rng(20240501).integers(0, 1 << 16, 256).astype(np.uint16)
 
+RUN = {"id": pa.int64(), "h": pa.int64(), "s": pa.int32(), "e": pa.int32(), "sid": pa.int64(), "sh": pa.int64(), "sat": pa.int32(), "eid": pa.int64(), "eh": pa.int64(), "eat": pa.int32(), "same": pa.int32()}
+RUN_SCHEMA = ", ".join(f"{name} {'long' if kind == pa.int64() else 'int'}" for name, kind in RUN.items())
+
 
 @dataclass(frozen=True)
 class Options:
@@ -49,6 +57,7 @@ class Options:
     longest: int = 64
     least: int = 50
     agreed: float = 0.6
+    sequences: tuple[int, ...] = (16, 24, 32, 40)
 
 
 def gear_hashes(body: np.ndarray) -> np.ndarray:
@@ -130,32 +139,85 @@ def _aligned(parts: list[dict]) -> tuple:
     return max(words, key=words.get)
 
 
+def _unbroken(parts: list[dict]) -> Iterator[list[dict]]:
+    """Chunks of one document, sorted by place, as runs of consecutive ones."""
+    begin = 0
+    for j in range(1, len(parts) + 1):
+        if j == len(parts) or parts[j]["at"] != parts[j - 1]["at"] + parts[j - 1]["n"]:
+            yield parts[begin:j]
+            begin = j
+
+
+def _sequences(parts: DataFrame, o: Options) -> DataFrame:
+    """(digest, id, h, at, n) of sequences of chunks that all stand elsewhere too: from every chunk on, the fewest that have so many words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            ids, hs, lists = (batch.column(k) for k in range(3))
+            for k in range(batch.num_rows):
+                digests, places, sizes = [], [], []
+                for run_ in _unbroken(sorted(lists[k].as_py(), key=lambda p: p["at"])):
+                    raw = np.array([p["digest"] for p in run_], np.int64).tobytes()
+                    end = np.cumsum([p["n"] for p in run_])
+                    start = end - [p["n"] for p in run_]
+                    stops = np.stack([np.searchsorted(end, start + words) for words in o.sequences])
+                    for i in range(len(run_)):
+                        for j in sorted({int(x) for x in stops[:, i] if x < len(run_)}):
+                            digests.append(xxh3_64_intdigest(raw[8 * i : 8 * j + 8]))
+                            places.append(run_[i]["at"])
+                            sizes.append(int(end[j] - start[i]))
+                if digests:
+                    own = [pa.array([x[k].as_py()] * len(digests), pa.int64()) for x in (ids, hs)]
+                    made = [pa.array(np.array(digests, np.uint64).view(np.int64)), *own, pa.array(places, pa.int32()), pa.array(sizes, pa.int32())]
+                    yield pa.record_batch(made, names=["digest", "id", "h", "at", "n"])
+
+    return parts.mapInArrow(run, "digest long, id long, h long, at int, n int")
+
+
+def _seeds(votes: DataFrame) -> DataFrame:
+    """Stretches that stand verbatim at one earlier place, in the form of ``_joined_runs``: sequences of one document and shift, put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hs, lists = (batch.column(k) for k in range(3))
+            out = {k: [] for k in RUN}
+            for k in range(batch.num_rows):
+                by: dict[tuple, list] = {}
+                for p in sorted(lists[k].as_py(), key=lambda p: p["at"]):
+                    spans = by.setdefault(_shift(p), [])
+                    if spans and p["at"] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], p["at"] + p["n"])
+                    else:
+                        spans.append([p["at"], p["at"] + p["n"]])
+                for (i, g, d), spans in by.items():
+                    for s, e in spans:
+                        for name, x in zip(out, (ids[k].as_py(), hs[k].as_py(), s, e, i, g, s + d, i, g, e + d, e - s)):
+                            out[name].append(x)
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out.values(), RUN.values())], names=list(out))
+
+    return votes.mapInArrow(run, RUN_SCHEMA)
+
+
 def _joined_runs(places: DataFrame) -> DataFrame:
     """Runs of consecutive repeated chunks of each document, with where both ends occurred before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hs, lists = (batch.column(k) for k in range(3))
-            out = {k: [] for k in ("id", "h", "s", "e", "sid", "sh", "sat", "eid", "eh", "eat", "same")}
+            out = {k: [] for k in RUN}
             for k in range(batch.num_rows):
-                parts = lists[k].as_py()
-                parts.sort(key=lambda p: p["at"])
-                begin = 0
-                for j in range(1, len(parts) + 1):
-                    if j < len(parts) and parts[j]["at"] == parts[j - 1]["at"] + parts[j - 1]["n"]:
-                        continue
-                    run_ = parts[begin:j]
+                for run_ in _unbroken(sorted(lists[k].as_py(), key=lambda p: p["at"])):
                     s, e = run_[0]["at"], run_[-1]["at"] + run_[-1]["n"]
                     (sid, sh, sd), (eid, eh, ed), best = _aligned(run_[:8]), _aligned(run_[-8:]), _aligned(run_)
                     same = sum(p["n"] for p in run_ if _shift(p) == best)
                     row = (ids[k].as_py(), hs[k].as_py(), s, e, sid, sh, s + sd, eid, eh, e + ed, same)
                     for name, x in zip(out, row):
                         out[name].append(x)
-                    begin = j
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out.values(), kinds)], names=list(out))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out.values(), RUN.values())], names=list(out))
 
-    return places.mapInArrow(run, "id long, h long, s int, e int, sid long, sh long, sat int, eid long, eh long, eat int, same int")
+    return places.mapInArrow(run, RUN_SCHEMA)
 
 
 def _beside(docs: DataFrame, asked: DataFrame, o: Options) -> DataFrame:
@@ -192,11 +254,25 @@ def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     docs = _keyed(docs)
     order = F.struct("id", "h", "at")
     chunks = _chunk_rows(docs, o)
-    known = chunks.groupBy("digest").agg(F.min(order).alias("f"), F.max(order).alias("g"))
-    known = stage(known.filter("f != g").select("digest", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"), F.col("f.at").alias("fat")), "chunks-known")
-    again = chunks.join(known, "digest").filter(~(F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")) & (F.col("at") == F.col("fat"))))
-    lists = again.groupBy("id", "h").agg(F.collect_set(F.struct("at", "n", "fid", "fh", "fat")).alias("parts"))
-    runs = stage(_joined_runs(lists), "chunk-runs")
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        known = rows.groupBy("digest").agg(F.min(order).alias("f"), F.max(order).alias("g"))
+        return known.filter("f != g").select("digest", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"), F.col("f.at").alias("fat"))
+
+    def later(x):
+        return ~(x["id"].eqNullSafe(x["fid"]) & (x["h"] == x["fh"]) & (x["at"] == x["fat"]))
+
+    # Chunks that occur more than once, first occurrences among them: sequences are made of both.
+    known = stage(firsts(chunks), "chunks-known")
+    several = chunks.join(known, "digest").groupBy("id", "h").agg(F.collect_set(F.struct("at", "n", "digest", "fid", "fh", "fat")).alias("parts"))
+    several = stage(several, "chunk-parts")
+    again = F.filter("parts", lambda p: ~(F.col("id").eqNullSafe(p["fid"]) & (F.col("h") == p["fh"]) & (p["at"] == p["fat"])))
+    runs = _joined_runs(several.select("id", "h", again.alias("parts")).filter(F.size("parts") > 0)).withColumn("asked", F.lit(o.agreed * o.least))
+    sequences = stage(_sequences(several, o), "chunk-sequences")
+    votes = sequences.join(firsts(sequences), "digest")
+    votes = votes.filter(later(votes)).groupBy("id", "h").agg(F.collect_set(F.struct("at", "n", "fid", "fh", "fat")).alias("parts"))
+    runs = stage(runs.unionAll(_seeds(votes).withColumn("asked", F.lit(float(o.least)))), "chunk-runs")
+    discard(known, several, sequences)
 
     sides = [("id", "h", "s", 0), ("id", "h", "e", 1), ("sid", "sh", "sat", 0), ("eid", "eh", "eat", 1)]
     asked = None
@@ -215,7 +291,7 @@ def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
         return F.coalesce(F.when(stop > 0, stop - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
 
     own = F.col("same") + common("w0", "w2") + common("w1", "w3")
-    grown = runs.filter(own >= o.agreed * o.least).select(
+    grown = runs.filter(own >= F.col("asked")).select(
         "id", "h", (F.col("s") - common("w0", "w2")).alias("start"), (F.col("e") + common("w1", "w3")).alias("end"),
         F.col("sid").alias("first_doc_id"), (F.col("sat") - common("w0", "w2")).alias("first_start"),
     )

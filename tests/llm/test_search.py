@@ -172,3 +172,21 @@ def test_chunks_resist_insertions():
     assert len(before - after) <= 3
     digest, first, n = chunks.chunks_of(("a " * 500).encode(), o)
     assert n.sum() == 500 and n.max() <= o.longest
+
+
+@pytest.mark.parametrize("low, high, lines", [(26, 30, 2), (18, 25, 3), (6, 9, 8)])
+def test_repeats_whose_lines_stood_apart_before(make, low, high, lines):
+    rng = random.Random(14)
+    single = [prose(rng, rng.randint(low, high)) for _ in range(60)]
+    texts = [f"{prose(rng, 20)}\n{line}\n{prose(rng, 20)}" for line in single]
+    passages = [p for p in ("\n".join(rng.sample(single, lines)) for _ in range(45)) if len(p.split()) > 50][:30]
+    assert len(passages) == 30
+    for _ in range(2):
+        texts += [f"{prose(rng, 25)}\n{p}\n{prose(rng, 25)}" for p in passages]
+    found = {}
+    for r in chunks.repeats(make(texts)).collect():
+        found.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    second = len(texts) - len(passages)
+    whole = [set(range(25, 25 + len(p.split()))) <= found.get(second + k, set()) for k, p in enumerate(passages)]
+    assert all(whole), whole.count(False)
+    assert not set(found) & set(range(len(single)))
