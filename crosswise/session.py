@@ -25,15 +25,19 @@ def build_session(app: str = "crosswise", cores: str = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+    """The folder that driver and executors share, as the session names it, qualified by its file system.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a local folder is chosen and set.
+    Only a local session (tests, one machine) may leave ``spark.checkpoint.dir`` unset; it gets a folder of its own.
     """
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_crosswise_dir", None)
     if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="crosswise-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        there = context._crosswise_dir = "file://" + tempfile.mkdtemp(prefix="crosswise-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(there)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def scratch(spark: SparkSession, name: str) -> str:
