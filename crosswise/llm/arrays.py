@@ -54,3 +54,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lengths) - lengths
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
+
+
+def slices_of(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """``ids`` cut into runs of these lengths, one after another, as binary values (little-endian uint32) over one buffer."""
+    ends = np.concatenate(([0], np.cumsum(lengths))) * 4
+    kind, width = (pa.binary(), np.int32) if ends[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    body = np.ascontiguousarray(ids, "<u4")
+    return pa.Array.from_buffers(kind, len(lengths), [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(body)]).cast(pa.binary())

@@ -10,9 +10,9 @@ partition packs its own rows, in blocks of bounded size: there is no shuffle,
 memory does not depend on the input, and a lost task repacks one partition.
 A block's last windows are the only ones that a larger block would fill better.
 
-Defined results: a null or empty text is its end id alone; repeated rows are
-packed each; ties keep input order; an empty table gives no rows; other columns
-of the input are ignored; a null doc_id is kept as null.
+Defined results: a null or empty text is its end id alone; a very long text is encoded by
+itself and cut into full windows and one rest; repeated rows are packed each; ties keep input order; an
+empty table gives no rows; other columns of the input are ignored; a null doc_id is kept as null.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crosswise.llm.arrays import pieces_of, texts_of, trim
+from crosswise.llm.arrays import pieces_of, slices_of, texts_of, trim
 from crosswise.llm.tokens import encoder
 from crosswise.session import ship
 
@@ -79,23 +79,21 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack_block(ids: list, counts: list, names: list, capacity: int, base: int) -> tuple[pa.RecordBatch, int]:
-    flat, count = np.concatenate(ids).astype("<u4"), np.concatenate(counts)
-    doc = pa.concat_arrays(names)
-    begin = np.cumsum(count) - count
+    flat, count = np.concatenate(ids), np.concatenate(counts)
     full, rest = count // capacity, count % capacity
     tails = np.flatnonzero(rest)
     window, offset, opened = best_fit_decreasing(rest[tails], capacity)
-    row = np.concatenate((np.repeat(np.arange(len(count)), full), tails))
-    nth = np.concatenate((np.arange(int(full.sum())) - np.repeat(np.cumsum(full) - full, full), full[tails]))
-    start = nth * capacity
-    length = np.concatenate((np.full(int(full.sum()), capacity, np.int64), rest[tails]))
-    sequence = base + np.concatenate((opened + np.arange(int(full.sum())), window))
-    place = np.concatenate((np.zeros(int(full.sum()), np.int64), offset))
-    body = flat.tobytes()
-    at = 4 * (begin[row] + start)
-    pieces = pa.array([body[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist())], pa.binary())
-    columns = [doc.take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, count[row], sequence, place)), pieces]
-    return pa.record_batch(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), opened + int(full.sum())
+    # Pieces in the order of their ids: each document's full windows, then its tail.
+    pieces = full + (rest > 0)
+    row = np.repeat(np.arange(len(count)), pieces)
+    start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+    length = np.minimum(capacity, count[row] - start)
+    whole = length == capacity
+    sequence, place = np.empty(len(row), np.int64), np.zeros(len(row), np.int64)
+    sequence[whole] = base + opened + np.arange(int(whole.sum()))
+    sequence[~whole], place[~whole] = base + window, offset
+    columns = [pa.concat_arrays(names).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, count[row], sequence, place)), slices_of(flat, length)]
+    return pa.record_batch(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), opened + int(whole.sum())
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 2_000_000) -> DataFrame:
@@ -112,10 +110,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
         ids, counts, names, held = [], [], [], 0
         for batch in batches:
             for piece in pieces_of(batch, most=4 << 20):
-                flat, count = code.encode(texts_of(piece))
-                ends = np.cumsum(count)
-                ids.append(np.insert(flat, ends, end_id))
-                counts.append(count + 1)
+                flat, count = code.encode(texts_of(piece), end_id)
+                ids.append(flat)
+                counts.append(count)
                 names.append(piece.column("doc_id").cast(pa.int64()))
                 held += len(ids[-1])
                 if held >= block_tokens:

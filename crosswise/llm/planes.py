@@ -18,13 +18,12 @@ never read. The manifest (one row per shard) is all that reaches the driver.
 
 Defined results: a null text is an empty one and has the end id alone; null
 doc_ids come first; equal doc_ids are ordered by text hash and text; repeated rows are
-kept; an empty table gives no shards and no rows; other columns are ignored.
+kept; a very long text spans blocks and is read back whole; an empty table gives no shards and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswise.llm.arrays import pieces_of, texts_of
+from crosswise.llm.arrays import pieces_of, slices_of, texts_of
 from crosswise.llm.tokens import encoder
 from crosswise.session import scratch, ship, shuffle_partitions
 
@@ -122,15 +121,17 @@ class ShardReader:
 
     def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first document, its start in the shard, ids of some whole documents), in order."""
-        left, begin, done = np.zeros(0, np.uint32), 0, 0
+        held, begin, done = 0, 0, 0
         ends = np.cumsum(self.lengths)
+        wait = []  # blocks of a document that has not ended yet
         for k in range(len(self.chunks)):
-            left = np.concatenate((left, self.read_block(k)))
-            upto = int(np.searchsorted(ends, begin + len(left), side="right"))
+            wait.append(self.read_block(k))
+            held += len(wait[-1])
+            upto = int(np.searchsorted(ends, begin + held, side="right"))
             if upto > done:
-                size = int(ends[upto - 1]) - begin
+                left, size = np.concatenate(wait), int(ends[upto - 1]) - begin
                 yield done, begin, left[:size]
-                left, begin, done = left[size:], begin + size, upto
+                wait, held, begin, done = [left[size:]], held - size, begin + size, upto
 
 
 def _open(uri: str, mode: str):
@@ -145,10 +146,11 @@ def _open(uri: str, mode: str):
     return store.open_output_stream(path)
 
 
-def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, plane_bits: int = 8, id_bits: int = 16, block: int = 65536, level: int = 3) -> list[tuple[str, int, int]]:
+def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, plane_bits: int = 8, id_bits: int = 16, block: int = 65536, level: int = 3, shard_ids: int = 1 << 26) -> list[tuple[str, int, int]]:
     """Encode ``docs`` into shard files under ``folder``; the manifest, in doc_id order: (uri, documents, ids).
 
-    ``id_bits`` is 16 or 32 and must hold every id; an id that does not fit is an error.
+    ``id_bits`` is 16 or 32 and must hold every id; an id that does not fit is an error. A task begins
+    another file after ``shard_ids`` ids, so a file and its index stay bounded however much a task gets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,28 +158,36 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
 
         from pyspark import TaskContext
 
-        code, part, out, writer, uri = encoder(vocabulary), TaskContext.get().partitionId(), None, None, None
+        code, part, out, writer, uri, done = encoder(vocabulary), TaskContext.get().partitionId(), None, None, None, []
+
+        def close() -> None:
+            n, ids = writer.close()
+            out.close()
+            done.append((part, len(done), uri, n, ids))
+
         for batch in batches:
-            for piece in pieces_of(batch, most=16 << 20):
-                flat, count = code.encode(texts_of(piece))
-                if max(end_id, int(flat.max()) if len(flat) else 0) >> id_bits:
+            for piece in pieces_of(batch, most=4 << 20):
+                flat, count = code.encode(texts_of(piece), end_id)
+                if int(flat.max()) >> id_bits:
                     raise ValueError(f"an id needs more than {id_bits} bits")
                 if writer is None:
-                    uri = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex[:8]}.planes"
+                    uri = f"{folder}/shard-{part:06d}-{len(done):06d}-{uuid.uuid4().hex[:8]}.planes"
                     out = _open(uri, "w")
                     writer = ShardWriter(out, id_bits, plane_bits, block, level)
-                writer.add(piece.column("doc_id").cast(pa.int64()), np.insert(flat, np.cumsum(count), end_id), count + 1)
+                writer.add(piece.column("doc_id").cast(pa.int64()), flat, count)
+                if writer.n >= shard_ids:
+                    close()
+                    writer = None
         if writer is not None:
-            n, ids = writer.close()
-            out.close()
-            yield pa.record_batch([pa.array([x]) for x in (part, uri, n, ids)], names=["part", "uri", "n_docs", "n_ids"])
+            close()
+        yield pa.record_batch([pa.array(list(x), t) for x, t in zip(list(zip(*done)) or [[]] * 5, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()])], names=["part", "nth", "uri", "n_docs", "n_ids"])
 
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     dealt = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    rows = dealt.select("doc_id", "text").mapInArrow(run, "part long, uri string, n_docs long, n_ids long").collect()
-    return [(r.uri, r.n_docs, r.n_ids) for r in sorted(rows, key=lambda r: r.part)]
+    rows = dealt.select("doc_id", "text").mapInArrow(run, "part long, nth long, uri string, n_docs long, n_ids long").collect()
+    return [(r.uri, r.n_docs, r.n_ids) for r in sorted(rows, key=lambda r: (r.part, r.nth))]
 
 
 def read_shards(spark: SparkSession, manifest: list[tuple[str, int, int]]) -> DataFrame:
@@ -194,16 +204,17 @@ def read_shards(spark: SparkSession, manifest: list[tuple[str, int, int]]) -> Da
                 uri, base = todo[k]
                 with _open(uri, "r") as file:
                     shard = ShardReader(file)
+                    ends_of = np.cumsum(shard.lengths)
                     for first, begin, ids in shard.documents():
-                        some = slice(first, first + int(np.searchsorted(np.cumsum(shard.lengths[first:]), len(ids), side="right")))
-                        n, body = shard.lengths[some], ids.astype("<u4").tobytes()
+                        some = slice(first, int(np.searchsorted(ends_of, begin + len(ids), side="right")))
+                        n = shard.lengths[some]
                         ends = np.cumsum(n)
                         yield pa.record_batch(
                             [
                                 pa.array(shard.names[some], pa.int64(), mask=shard.present[some] == 0),
                                 pa.array(base + begin + ends - n, pa.int64()),
                                 pa.array(n, pa.int64()),
-                                pa.array([body[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary()),
+                                slices_of(ids, n),
                             ],
                             names=["doc_id", "start", "n_tokens", "ids"],
                         )
@@ -212,10 +223,6 @@ def read_shards(spark: SparkSession, manifest: list[tuple[str, int, int]]) -> Da
     return spark.range(0, len(todo), 1, len(todo)).mapInArrow(run, schema)
 
 
-def crc_of(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
-
-
 def token_planes(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """Write shards into the session's shared folder and read the documents back from them."""
     spark = docs.sparkSession

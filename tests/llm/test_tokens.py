@@ -7,19 +7,20 @@ import pytest
 
 from crosswise.llm import packing, planes
 from crosswise.llm.queries import vocabulary
-from crosswise.llm.tokens import UnitEncoder
+from crosswise.llm.tokens import PartEncoder
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
 @pytest.mark.parametrize("name", FILES)
-def test_units_equal_whole_texts(name):
+def test_parts_equal_whole_texts(name):
     rng = random.Random(1)
-    parts = [" ", "  ", "\n", "a", "Bc", ".", ",", "'s", "é", "12", "\t", " ", "😀", "ß", "<|endoftext|>", "Σ"]
-    texts = ["", " ", "plain words, here.\nAnd there", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500))]
-    code = UnitEncoder(vocabulary(name), remember=200)
+    parts = [" ", "  ", "\n", "a", "Bc", ".", ",", "'s", "é", "12", "\t", " ", "😀", "ß", "<|endoftext|>", "<|ENDOFTEXT|>", "Σ",
+             "!", "%%", "$", "#", "\u00a0", "\u3000", "\u2003", "\x85", "\r\n", "×", "÷", "ñ", "\u0301", "İ", "K", "\x1f", "\x00", "'", "’s", "日本", "I'LL", "7", "_"]
+    texts = ["", " ", "plain words, here.\nAnd there", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(6000))]
+    code = PartEncoder(vocabulary(name), remember=2000)
     assert code.mode != "whole"
-    for some in (texts[:700], texts[700:]):
+    for some in (texts[:700], texts[700:3000], texts[3000:]):
         ids, counts = code.encode(pa.array(some))
         got = np.split(ids, np.cumsum(counts)[:-1])
         want = [e.ids for e in code.tok.encode_batch(some, add_special_tokens=False)]
@@ -41,7 +42,7 @@ def test_shards_hold_all_ids(spark, odd, bits):
     manifest = planes.write_shards(odd, name, planes.scratch(spark, "t"), plane_bits=bits, block=500)
     rows = planes.read_shards(spark, manifest).collect()
     rows.sort(key=lambda r: r.start)
-    tok = UnitEncoder(name).tok
+    tok = PartEncoder(name).tok
     texts = [(r.doc_id, r.text) for r in odd.collect()]
     want = sorted((-1 if d is None else d, zlib.crc32(np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes())) for d, t in texts)
     assert sorted((-1 if r.doc_id is None else r.doc_id, zlib.crc32(r.ids)) for r in rows) == want
@@ -81,7 +82,7 @@ def test_best_fit_is_tightest():
 def test_packing_covers_every_id(odd):
     name = vocabulary("byte_bpe_50k.json")
     rows = packing.pack_documents(odd, name, 64, block_tokens=5000).collect()
-    tok = UnitEncoder(name).tok
+    tok = PartEncoder(name).tok
     want = sorted(np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for r in odd.collect())
     windows, docs = {}, {}
     for r in rows:
