@@ -7,6 +7,8 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def trim() -> None:
@@ -62,3 +64,8 @@ def slices_of(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
     kind, width = (pa.binary(), np.int32) if ends[-1] < 1 << 31 else (pa.large_binary(), np.int64)
     body = np.ascontiguousarray(ids, "<u4")
     return pa.Array.from_buffers(kind, len(lengths), [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(body)]).cast(pa.binary())
+
+
+def whole_row(docs: DataFrame, name: str = "row") -> Column:
+    """All columns as one struct, so that an operator's own columns cannot clash with them; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias(name)

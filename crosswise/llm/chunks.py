@@ -6,32 +6,34 @@ the 16 bytes before. A word ends a chunk if its value is the largest among the
 words, at least ``reach`` + 1 long, and where they end depends on nearby text only: an insertion shifts none but its
 neighbours. Runs without such a word are cut every ``longest`` words, counted from the last cut.
 
-Chunks are deduplicated by digest: the first occurrence, by (doc_id, text hash,
-place), stays. Consecutive chunks that occurred before join into runs; both ends of a
-run are then compared word by word with the text beside the earlier occurrence, so
-that a run reaches as far as the repetition does. Runs of ``least`` words or more are
-repeats, if the words that agree on one earlier place are ``agreed`` of ``least`` (so
-that unlike pieces side by side are none); shorter ones are left alone.
-
-A chunk's first occurrence may be in a document that holds no more of the passage. So
-where chunks that occur several times stand side by side, sequences of 16 to 40 words of them have digests and
-first occurrences of their own; a stretch verbatim at such a place is grown
-like a run and is a repeat if ``least`` words stand there in one piece.
-
-The shuffles carry digests and places, pre-aggregated for the first occurrences;
-a digest that a third of the documents share is split by the skew handling of the
-join, as neither side collects its group. Texts are shuffled once to fetch the words
-beside the runs, and once more where texts are edited.
+Where words repeat with a period of ``reach`` or less no value is the largest; such a stretch is cut at
+the largest value of its period, every 12 words, so its chunks are alike wherever it begins.
+
+Texts alike count once: the row of smallest doc_id stands for them, and the others are
+repeats from end to end. Of the texts that stay, chunks are deduplicated by digest.
+Runs of consecutive chunks that all occur more than once, and could with the chunks beside them
+hold ``least`` words, get digests for their sequences of 16 to 40 words, from every chunk on.
+A sequence's first occurrence, by (doc_id, text hash, place), stays; later ones of one
+document and shift are put together and compared word by word with the text beside the earlier
+occurrence, so that a repeat reaches as far as the repetition does. What stands there
+verbatim for ``least`` words is a repeat. Longer sequences have first occurrences of
+their own, so a passage is found too where its parts stood apart in still earlier documents.
+
+The shuffles carry digests and places, pre-aggregated for counts and first occurrences; a digest
+that a third of the documents share is split by the skew handling of the join, as neither
+side collects its group. Texts are shuffled once to fetch the words beside the runs, and once
+more where texts are edited.
 
 Defined results: a null or empty text has no chunks; rows alike in doc_id and text
 count as one document; a null doc_id comes first in the order; a passage that
-repeats inside one document is a repeat there (one that overlaps itself, as periodic junk
-does, is found in part or not at all); an empty table gives no rows; other columns are
-ignored, or kept by ``drop_repeats``, which leaves null texts null and may leave a text empty.
+repeats inside one document is a repeat there, also where it overlaps itself, as periodic junk does;
+a very long text is one row of a list of its chunks; an empty table gives no rows; other columns are
+ignored, or kept by ``drop_repeats`` whatever their names, which leaves null texts null and may leave a text empty.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,23 +42,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswise.llm.arrays import pieces_of, texts_of
+from crosswise.llm.arrays import pieces_of, texts_of, whole_row
 from crosswise.session import discard, ship, stage
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 GEAR = np.random.default_rng(20240501).integers(0, 1 << 16, 256).astype(np.uint16)
 
-RUN = {"id": pa.int64(), "h": pa.int64(), "s": pa.int32(), "e": pa.int32(), "sid": pa.int64(), "sh": pa.int64(), "sat": pa.int32(), "eid": pa.int64(), "eh": pa.int64(), "eat": pa.int32(), "same": pa.int32()}
-RUN_SCHEMA = ", ".join(f"{name} {'long' if kind == pa.int64() else 'int'}" for name, kind in RUN.items())
-
 
 @dataclass(frozen=True)
 class Options:
     reach: int = 3
     longest: int = 64
     least: int = 50
-    agreed: float = 0.6
     sequences: tuple[int, ...] = (16, 24, 32, 40)
 
 
@@ -89,11 +87,29 @@ def chunk_ends(body: np.ndarray, ends: np.ndarray, o: Options) -> np.ndarray:
     cuts = np.unique(np.concatenate((cuts, [n])))
     gaps = np.diff(cuts, prepend=0)
     if gaps.max() > o.longest:
-        more = [np.arange(a - g + o.longest, a, o.longest) for a, g in zip(cuts[gaps > o.longest], gaps[gaps > o.longest])]
+        more = [_inner_cuts(value[a - g : a], o) + a - g for a, g in zip(cuts[gaps > o.longest], gaps[gaps > o.longest])]
         cuts = np.unique(np.concatenate((cuts, *more)))
     return cuts
 
 
+def _inner_cuts(value: np.ndarray, o: Options) -> np.ndarray:
+    """Cuts of a stretch without a largest value: in step with its period if it has one, and never over ``longest`` words apart."""
+    same = np.zeros(len(value), bool)
+    for k in range(1, o.reach + 1):
+        same[k:] |= value[k:] == value[:-k]
+    out, at = [], 0
+    if same.any():
+        step = math.lcm(*range(1, o.reach + 1)) * 2
+        for k in (np.flatnonzero(same & (value == value[same].max())) + 1).tolist():
+            if not out or k >= at + step:
+                out.append(k)
+                at = k
+    ends = np.array([0, *out, len(value)])
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        out += range(a + o.longest, b, o.longest)
+    return np.array(sorted(out), np.int64)
+
+
 def chunks_of(text: bytes, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, first word and number of words of each chunk of a text."""
     from xxhash import xxh3_64_intdigest
@@ -107,117 +123,80 @@ def chunks_of(text: bytes, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return digest.view(np.int64), first, cuts - first
 
 
-def _chunk_rows(docs: DataFrame, o: Options) -> DataFrame:
-    """(digest, id, h, at, n) of every chunk."""
+def _chunk_lists(docs: DataFrame, o: Options) -> DataFrame:
+    """(id, h, digests, at) of every row: its chunks' digests, and their first words, the number of all words last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces_of(batch):
                 found = [chunks_of(t.as_py().encode(), o) for t in texts_of(piece)]
-                row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                digest, at, n = (np.concatenate([f[k] for f in found]) for k in range(3))
-                own = [piece.column("id").take(pa.array(row)), piece.column("h").take(pa.array(row))]
-                yield pa.record_batch([pa.array(digest), *own, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["digest", "id", "h", "at", "n"])
+                size = np.array([len(f[0]) for f in found], np.int64)
+                ends = [np.append(at, at[-1] + n[-1] if len(at) else 0).astype(np.int32) for _, at, n in found]
+                digests = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), np.concatenate([f[0] for f in found]))
+                places = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size + 1))).astype(np.int32), np.concatenate(ends))
+                yield pa.record_batch([piece.column("id"), piece.column("h"), digests, places], names=["id", "h", "digests", "at"])
 
-    return docs.select("id", "h", "text").mapInArrow(run, "digest long, id long, h long, at int, n int")
+    return docs.select("id", "h", "text").mapInArrow(run, "id long, h long, digests array<bigint>, at array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
 
 
-def _shift(part: dict) -> tuple:
-    """Which document a chunk occurred in before, and how far its place there is from here."""
-    return part["fid"], part["fh"], part["fat"] - part["at"]
-
+def _runs_of(marked: np.ndarray, at: np.ndarray, o: Options) -> Iterator[tuple[int, int]]:
+    """Runs (first, last + 1) of consecutive marked chunks that could hold ``least`` words with what may agree beside them."""
+    edge = np.flatnonzero(np.diff(marked, prepend=-2) != 1)
+    for a, b in zip(edge.tolist(), np.append(edge[1:], len(marked)).tolist()):
+        first, last = int(marked[a]), int(marked[b - 1]) + 1
+        begin = at[first - 1] + 1 if first else 0
+        end = at[last + 1] - 1 if last + 1 < len(at) else at[last]
+        if end - begin >= o.least:
+            yield first, last
 
-def _aligned(parts: list[dict]) -> tuple:
-    """The earlier document and shift that most words of these chunks agree on."""
-    words: dict[tuple, int] = {}
-    for p in parts:
-        words[_shift(p)] = words.get(_shift(p), 0) + p["n"]
-    return max(words, key=words.get)
 
-
-def _unbroken(parts: list[dict]) -> Iterator[list[dict]]:
-    """Chunks of one document, sorted by place, as runs of consecutive ones."""
-    begin = 0
-    for j in range(1, len(parts) + 1):
-        if j == len(parts) or parts[j]["at"] != parts[j - 1]["at"] + parts[j - 1]["n"]:
-            yield parts[begin:j]
-            begin = j
-
-
-def _sequences(parts: DataFrame, o: Options) -> DataFrame:
-    """(digest, id, h, at, n) of sequences of chunks that all stand elsewhere too: from every chunk on, the fewest that have so many words."""
+def _sequences(lists: DataFrame, o: Options) -> DataFrame:
+    """(digest, id, h, at, n) of the sequences in runs of chunks that all occur more than once: from every chunk on, the fewest that have so many words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            ids, hs, lists = (batch.column(k) for k in range(3))
-            for k in range(batch.num_rows):
-                digests, places, sizes = [], [], []
-                for run_ in _unbroken(sorted(lists[k].as_py(), key=lambda p: p["at"])):
-                    raw = np.array([p["digest"] for p in run_], np.int64).tobytes()
-                    end = np.cumsum([p["n"] for p in run_])
-                    start = end - [p["n"] for p in run_]
+            made, owner = [], []
+            for k, (digests, at, marked) in enumerate(zip(*(batch.column(n) for n in ("digests", "at", "marked")))):
+                raw, at = digests.values.to_numpy(zero_copy_only=False), at.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                for first, last in _runs_of(np.unique(marked.values.to_numpy(zero_copy_only=False)), at, o):
+                    body, start, end = raw[first:last].tobytes(), at[first:last], at[first + 1 : last + 1]
                     stops = np.stack([np.searchsorted(end, start + words) for words in o.sequences])
-                    for i in range(len(run_)):
-                        for j in sorted({int(x) for x in stops[:, i] if x < len(run_)}):
-                            digests.append(xxh3_64_intdigest(raw[8 * i : 8 * j + 8]))
-                            places.append(run_[i]["at"])
-                            sizes.append(int(end[j] - start[i]))
-                if digests:
-                    own = [pa.array([x[k].as_py()] * len(digests), pa.int64()) for x in (ids, hs)]
-                    made = [pa.array(np.array(digests, np.uint64).view(np.int64)), *own, pa.array(places, pa.int32()), pa.array(sizes, pa.int32())]
-                    yield pa.record_batch(made, names=["digest", "id", "h", "at", "n"])
+                    i = np.broadcast_to(np.arange(last - first), stops.shape)
+                    new = stops < last - first
+                    new[1:] &= stops[1:] != stops[:-1]
+                    i, j = i[new], stops[new]
+                    found = [xxh3_64_intdigest(body[8 * x : 8 * y + 8]) for x, y in zip(i.tolist(), j.tolist())]
+                    made.append((np.array(found, np.uint64).view(np.int64), start[i], end[j] - start[i]))
+                    owner.append(np.full(len(found), k))
+            if made:
+                digest, at, n = (np.concatenate(x) for x in zip(*made))
+                own = [batch.column(c).take(pa.array(np.concatenate(owner))) for c in ("id", "h")]
+                yield pa.record_batch([pa.array(digest), *own, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["digest", "id", "h", "at", "n"])
 
-    return parts.mapInArrow(run, "digest long, id long, h long, at int, n int")
+    return lists.mapInArrow(run, "digest long, id long, h long, at int, n int")
 
 
 def _seeds(votes: DataFrame) -> DataFrame:
-    """Stretches that stand verbatim at one earlier place, in the form of ``_joined_runs``: sequences of one document and shift, put together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hs, lists = (batch.column(k) for k in range(3))
-            out = {k: [] for k in RUN}
-            for k in range(batch.num_rows):
-                by: dict[tuple, list] = {}
-                for p in sorted(lists[k].as_py(), key=lambda p: p["at"]):
-                    spans = by.setdefault(_shift(p), [])
-                    if spans and p["at"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], p["at"] + p["n"])
-                    else:
-                        spans.append([p["at"], p["at"] + p["n"]])
-                for (i, g, d), spans in by.items():
-                    for s, e in spans:
-                        for name, x in zip(out, (ids[k].as_py(), hs[k].as_py(), s, e, i, g, s + d, i, g, e + d, e - s)):
-                            out[name].append(x)
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out.values(), RUN.values())], names=list(out))
-
-    return votes.mapInArrow(run, RUN_SCHEMA)
-
-
-def _joined_runs(places: DataFrame) -> DataFrame:
-    """Runs of consecutive repeated chunks of each document, with where both ends occurred before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hs, lists = (batch.column(k) for k in range(3))
-            out = {k: [] for k in RUN}
-            for k in range(batch.num_rows):
-                for run_ in _unbroken(sorted(lists[k].as_py(), key=lambda p: p["at"])):
-                    s, e = run_[0]["at"], run_[-1]["at"] + run_[-1]["n"]
-                    (sid, sh, sd), (eid, eh, ed), best = _aligned(run_[:8]), _aligned(run_[-8:]), _aligned(run_)
-                    same = sum(p["n"] for p in run_ if _shift(p) == best)
-                    row = (ids[k].as_py(), hs[k].as_py(), s, e, sid, sh, s + sd, eid, eh, e + ed, same)
-                    for name, x in zip(out, row):
-                        out[name].append(x)
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out.values(), RUN.values())], names=list(out))
-
-    return places.mapInArrow(run, RUN_SCHEMA)
+    """Stretches that stand verbatim at one earlier place: sequences of one document and shift that overlap or touch, put together."""
+    here = F.col("at") - F.col("fat")
+    place = ("id", "h", "fid", "fh", "shift")
+    spans = votes.select("id", "h", "fid", "fh", here.alias("shift"), "at", "n").groupBy(*place).agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("v"))
+    end = lambda x: x["at"] + x["n"]
+    span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    joined = F.aggregate(
+        "v", F.expr("cast(array() as array<struct<s:int,e:int>>)"),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (x["at"] <= F.element_at(done, -1)["e"]),
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(span(F.element_at(done, -1)["s"], F.greatest(F.element_at(done, -1)["e"], end(x))))),
+        ).otherwise(F.concat(done, F.array(span(x["at"], end(x))))),
+    )
+    return spans.select(*place, F.explode(joined).alias("x")).select("id", "h", "fid", "fh", F.col("x.s").alias("s"), F.col("x.e").alias("e"), (F.col("x.s") - F.col("shift")).alias("fs"), (F.col("x.e") - F.col("shift")).alias("fe"))
 
 
 def _beside(docs: DataFrame, asked: DataFrame, o: Options) -> DataFrame:
@@ -226,14 +205,10 @@ def _beside(docs: DataFrame, asked: DataFrame, o: Options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        seen: set[tuple] = set()  # rows alike meet in one task, as the join dealt them by these keys
         for batch in batches:
             for piece in pieces_of(batch):
                 rows = []
                 for i, h, text, spots in zip(*(piece.column(n).to_pylist() for n in ("id", "h", "text", "spots"))):
-                    if (i, h) in seen:
-                        continue
-                    seen.add((i, h))
                     raw = (text or "").encode()
                     starts, ends = words_in(np.frombuffer(raw, np.uint8))
                     for spot in spots:
@@ -245,36 +220,40 @@ def _beside(docs: DataFrame, asked: DataFrame, o: Options) -> DataFrame:
 
     spots = asked.distinct().groupBy("id", "h").agg(F.collect_list(F.struct("at", "side")).alias("spots"))
     one = docs.join(spots.select(F.col("id").alias("i"), F.col("h").alias("g"), "spots"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
-    return one.select("id", "h", "text", "spots").mapInArrow(run, "id long, h long, at int, side int, words array<bigint>")
+    found = one.select("id", "h", "text", "spots").mapInArrow(run, "id long, h long, at int, side int, words array<bigint>")
+    return found.dropDuplicates(["id", "h", "at", "side"])  # rows alike were each answered
 
 
 def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """One row per repeat: doc_id, h (text hash), start and n_words (in words), first_doc_id and first_start (where it occurred before)."""
     ship(docs.sparkSession)
     docs = _keyed(docs)
+    every = stage(_chunk_lists(docs, o), "chunk-lists")
+    # One row for all texts alike, in words too: the class is known by two hashes of its chunks and text.
+    words = F.element_at("at", -1)
+    kinds = [F.col("h"), F.xxhash64("digests", "at").alias("g")]
+    rows = every.select("id", *kinds, words.alias("n"))
+    firsts = stage(rows.groupBy("h", "g").agg(F.min(F.struct("id")).alias("f")).select(F.col("f.id").alias("fid"), "h", "g"), "chunk-firsts")
+    copies = rows.filter(F.col("n") >= o.least).join(firsts, ["h", "g"]).filter(~F.col("id").eqNullSafe(F.col("fid")))
+    copies = copies.select("id", "h", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("fid").alias("first_doc_id"), F.lit(0).alias("first_start")).distinct()
+    lists = every.select("id", *kinds, "digests", "at").join(firsts.select("fid", F.col("h").alias("fh"), F.col("g").alias("fg")), F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg")))
+    lists = stage(lists.select("id", "h", "digests", "at").dropDuplicates(["id", "h"]), "chunk-texts")
+
+    several = lists.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("digest")
+    places = lists.select("id", "h", F.posexplode("digests").alias("nth", "digest"))
+    marked = places.join(several, "digest").groupBy("id", "h").agg(F.collect_list("nth").alias("marked"))
+    marked = marked.select(F.col("id").alias("i"), F.col("h").alias("g"), "marked")
+    whole = lists.join(marked, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).drop("i", "g")
+    sequences = stage(_sequences(whole, o), "chunk-sequences")
+
     order = F.struct("id", "h", "at")
-    chunks = _chunk_rows(docs, o)
-
-    def firsts(rows: DataFrame) -> DataFrame:
-        known = rows.groupBy("digest").agg(F.min(order).alias("f"), F.max(order).alias("g"))
-        return known.filter("f != g").select("digest", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"), F.col("f.at").alias("fat"))
-
-    def later(x):
-        return ~(x["id"].eqNullSafe(x["fid"]) & (x["h"] == x["fh"]) & (x["at"] == x["fat"]))
-
-    # Chunks that occur more than once, first occurrences among them: sequences are made of both.
-    known = stage(firsts(chunks), "chunks-known")
-    several = chunks.join(known, "digest").groupBy("id", "h").agg(F.collect_set(F.struct("at", "n", "digest", "fid", "fh", "fat")).alias("parts"))
-    several = stage(several, "chunk-parts")
-    again = F.filter("parts", lambda p: ~(F.col("id").eqNullSafe(p["fid"]) & (F.col("h") == p["fh"]) & (p["at"] == p["fat"])))
-    runs = _joined_runs(several.select("id", "h", again.alias("parts")).filter(F.size("parts") > 0)).withColumn("asked", F.lit(o.agreed * o.least))
-    sequences = stage(_sequences(several, o), "chunk-sequences")
-    votes = sequences.join(firsts(sequences), "digest")
-    votes = votes.filter(later(votes)).groupBy("id", "h").agg(F.collect_set(F.struct("at", "n", "fid", "fh", "fat")).alias("parts"))
-    runs = stage(runs.unionAll(_seeds(votes).withColumn("asked", F.lit(float(o.least)))), "chunk-runs")
-    discard(known, several, sequences)
-
-    sides = [("id", "h", "s", 0), ("id", "h", "e", 1), ("sid", "sh", "sat", 0), ("eid", "eh", "eat", 1)]
+    known = sequences.groupBy("digest").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter("f != l")
+    known = known.select("digest", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"), F.col("f.at").alias("fat"))
+    votes = sequences.join(known, "digest").filter(~(F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")) & (F.col("at") == F.col("fat"))))
+    runs = stage(_seeds(votes), "chunk-runs")
+    discard(lists, sequences)
+
+    sides = [("id", "h", "s", 0), ("id", "h", "e", 1), ("fid", "fh", "fs", 0), ("fid", "fh", "fe", 1)]
     asked = None
     for i, h, at, side in sides:
         own = runs.select(F.col(i).alias("id"), F.col(h).alias("h"), F.col(at).alias("at"), F.lit(side).alias("side"))
@@ -290,11 +269,10 @@ def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
         stop = F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), False)
         return F.coalesce(F.when(stop > 0, stop - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
 
-    own = F.col("same") + common("w0", "w2") + common("w1", "w3")
-    grown = runs.filter(own >= F.col("asked")).select(
+    grown = runs.select(
         "id", "h", (F.col("s") - common("w0", "w2")).alias("start"), (F.col("e") + common("w1", "w3")).alias("end"),
-        F.col("sid").alias("first_doc_id"), (F.col("sat") - common("w0", "w2")).alias("first_start"),
-    )
+        F.col("fid").alias("first_doc_id"), (F.col("fs") - common("w0", "w2")).alias("first_start"),
+    ).filter(F.col("end") - F.col("start") >= o.least).unionAll(copies)
     # Runs of one document that now overlap are one repeat.
     merged = grown.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc_id", "first_start"))).alias("r"))
     joined = F.aggregate(
@@ -308,17 +286,16 @@ def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
             ),
         ).otherwise(F.concat(done, F.array(x))),
     )
-    spans = merged.withColumn("x", F.explode(joined)).filter(F.col("x.end") - F.col("x.start") >= o.least)
+    spans = merged.withColumn("x", F.explode(joined))
     return spans.select(F.col("id").alias("doc_id"), "h", F.col("x.start").alias("start"), (F.col("x.end") - F.col("x.start")).alias("n_words"), "x.first_doc_id", "x.first_start")
 
 
 def drop_repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """``docs`` with every repeat cut out of its text, the first occurrence left; all columns and rows stay."""
     found = stage(repeats(docs, o), "repeats")
-    spans = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n_words")).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__i"), F.col("h").alias("__g"), "__spans")
-    marked = docs.withColumn("__h", F.xxhash64("text"))
-    joined = marked.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")), "left").drop("__h", "__i", "__g")
+    spans = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n_words")).alias("spans")).toDF("i", "g", "spans")
+    marked = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    joined = marked.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
 
     def cut(text: str | None, spans: list | None) -> str | None:
         if not spans or text is None:
@@ -332,13 +309,13 @@ def drop_repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
             at = starts[last] if last < len(starts) else len(raw)
         return b"".join([*out, raw[at:]]).decode()
 
-    names = docs.columns
+    where = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = batch.schema.get_field_index("text")
-            made = [cut(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist())]
-            columns = [pa.array(made, pa.string()) if k == where else batch.column(k) for k in range(len(names))]
-            yield pa.record_batch(columns, names=names)
+            columns = batch.column("row").flatten()
+            made = [cut(t, s) if s else t for t, s in zip(columns[where].to_pylist(), batch.column("spans").to_pylist())]
+            columns[where] = pa.array(made, pa.string())
+            yield pa.record_batch(columns, names=[f.name for f in batch.schema.field("row").type])
 
-    return joined.select(*names, "__spans").mapInArrow(run, docs.schema)
+    return joined.select("row", "spans").mapInArrow(run, docs.schema)
