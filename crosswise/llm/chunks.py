@@ -240,6 +240,7 @@ def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     lists = stage(lists.select("id", "h", "digests", "at").dropDuplicates(["id", "h"]), "chunk-texts")
 
     several = lists.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("digest")
+    several = stage(several, "chunk-several")  # a join splits a hot digest only where no aggregate stands between it and its shuffle
     places = lists.select("id", "h", F.posexplode("digests").alias("nth", "digest"))
     marked = places.join(several, "digest").groupBy("id", "h").agg(F.collect_list("nth").alias("marked"))
     marked = marked.select(F.col("id").alias("i"), F.col("h").alias("g"), "marked")
@@ -249,9 +250,10 @@ def repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     order = F.struct("id", "h", "at")
     known = sequences.groupBy("digest").agg(F.min(order).alias("f"), F.max(order).alias("l")).filter("f != l")
     known = known.select("digest", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"), F.col("f.at").alias("fat"))
+    known = stage(known, "chunk-known")
     votes = sequences.join(known, "digest").filter(~(F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")) & (F.col("at") == F.col("fat"))))
     runs = stage(_seeds(votes), "chunk-runs")
-    discard(lists, sequences)
+    discard(lists, several, sequences, known)
 
     sides = [("id", "h", "s", 0), ("id", "h", "e", 1), ("fid", "fh", "fs", 0), ("fid", "fh", "fe", 1)]
     asked = None
