@@ -11,9 +11,10 @@ them, writes its segment of the filter (sized for its own n-grams) and the exact
 unigram counts that fall in it. Bucket numbers grow with the corpus, so a
 bucket's size does not, and a frequent n-gram reaches its bucket once per batch, already counted.
 
-Scoring. Segments are sent to the workers in blocks of ``block_bytes`` at most: while the filter
-fits one block, as one broadcast; beyond that the documents pass block after block, each
-adding the levels that its segments know, so nothing unbounded is broadcast and no n-gram is left out.
+Scoring. While the filter and the unigram counts are ``broadcast_bytes`` at most, they are broadcast once and every
+task probes them. A larger filter, of any size, stays where it is: each batch of documents sends its distinct
+words and pairs, sorted and packed, to their buckets; a bucket's task answers them by probing its
+segment, and the answers go back to the batch. Both ways give the same scores, in one pass over the documents.
 
 The model: P(w | h) = m * f(h, w) / c(h) + (1 - m) * base(w), where f is the count
 read back (no pair can be more frequent than its words, so f is cut at their counts),
@@ -26,8 +27,8 @@ same 64-bit hash stands for a word throughout (128-bit digests of it were not ne
 10^7 words collide with probability 3e-6).
 
 Defined results: a null or empty text is its end alone; a null doc_id is never
-held out and its row trains; repeated rows count and are scored each; with no training rows all counts
-are 0; an empty table gives no rows; other columns are ignored.
+held out and its row trains; repeated rows count and are scored each; a very long text is a batch of its own; with no
+training rows all counts are 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswise.llm.arrays import pieces_of, space_words, texts_of
-from crosswise.session import ship, stage
+from crosswise.session import scratch, ship, stage
 
 END = np.uint64(0x9D5C1F0A3B7E2468)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +87,11 @@ def counts_of(levels: np.ndarray, base: float) -> np.ndarray:
     return np.where(levels > 0, np.sqrt(low * high), 0.0)
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the key, so sorted keys are sorted by bucket too."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 class Segment:
     """A Bloom filter over (key, level) pairs, of a power of two of bits."""
 
@@ -118,7 +124,8 @@ class Options:
     probes: int = 6
     share: float = 0.15
     bucket_tokens: int = 2_000_000
-    block_bytes: int = 192 << 20
+    batch_tokens: int = 2_000_000
+    broadcast_bytes: int = 16 << 20
 
 
 def _train_rows(docs: DataFrame) -> DataFrame:
@@ -141,7 +148,7 @@ def gather(docs: DataFrame, o: Options) -> tuple[DataFrame, int]:
             for kind, parts in enumerate(zip(*held)):
                 key, count = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
                 total = np.bincount(count, np.concatenate([c for _, c in parts]), len(key)).astype(np.uint32)
-                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                bucket = bucket_of(key, buckets)
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cut)).tolist():
                     k, c = key[cut[b] : cut[b + 1]], total[cut[b] : cut[b + 1]]
@@ -157,7 +164,7 @@ def gather(docs: DataFrame, o: Options) -> tuple[DataFrame, int]:
                 pair, inner = pairs_of(tokens, counts)
                 held.append(tuple((k, c.astype(np.float64)) for k, c in (np.unique(tokens, return_counts=True), np.unique(pair[inner], return_counts=True))))
                 waiting += len(tokens)
-                if waiting > 2_000_000:
+                if waiting > o.batch_tokens:
                     yield from out(held)
                     held, waiting = [], 0
         if held:
@@ -200,20 +207,14 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
 
 
 class Block:
-    """The filter's segments and the unigram counts of buckets ``low`` to ``high`` (not included)."""
-
-    def __init__(self, low: int, rows: list, buckets: int):
-        self.low, self.high, self.buckets = low, low + len(rows), buckets
-        self.bits = np.concatenate([np.frombuffer(r.bits, np.uint64) if r else np.zeros(0, np.uint64) for r in rows])
-        self.words = np.concatenate([np.frombuffer(r.words, np.uint64) if r else np.zeros(0, np.uint64) for r in rows])
-        self.counts = np.concatenate([np.frombuffer(r.counts, "<i8") if r else np.zeros(0, "<i8") for r in rows])
-        if self.counts.max(initial=0) < 1 << 31:
-            self.counts = self.counts.astype(np.int32)
-        self.size = np.array([len(r.bits) // 8 if r else 0 for r in rows], np.uint64)
-        self.start = np.cumsum(self.size).astype(np.int64) - self.size.astype(np.int64)
+    """The filter's segments and the unigram counts of consecutive buckets from ``low`` on; a bucket may have none."""
 
-    def _bucket(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64) - self.low
+    def __init__(self, low: int, rows: list[tuple[bytes, bytes, bytes] | None], buckets: int):
+        self.low, self.buckets = low, buckets
+        part = lambda k, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[k], kind) for r in rows if r)])
+        self.bits, self.words, self.counts = part(0, np.uint64), part(1, np.uint64), part(2, "<i8")
+        self.size = np.array([len(r[0]) // 8 if r else 0 for r in rows], np.uint64)
+        self.start = np.cumsum(self.size).astype(np.int64) - self.size.astype(np.int64)
 
     def count(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of this block's words, 0 for others."""
@@ -225,7 +226,7 @@ class Block:
     def level(self, keys: np.ndarray, probes: int) -> np.ndarray:
         """The level of each key by probing 1, 2, ... until one is missing; 0 for other blocks' keys."""
         out = np.zeros(len(keys), np.int64)
-        bucket = self._bucket(keys)
+        bucket = bucket_of(keys, self.buckets) - self.low
         live = np.flatnonzero((bucket >= 0) & (bucket < len(self.size)))
         live = live[self.size[bucket[live]] > 0]
         level = 0
@@ -240,68 +241,147 @@ class Block:
         return out
 
 
-def _blocks(buckets: DataFrame, n: int, most: int) -> Iterator[Block]:
-    """Consecutive buckets, as many as fit in ``most`` bytes, streamed to the driver in order."""
-    low, rows, size = 0, [], 0
-    for row in buckets.orderBy("bucket").toLocalIterator():
-        own = len(row.bits) + len(row.words) + len(row.counts)
-        if rows and size + own > most:
-            yield Block(low, rows, n)
-            low, rows, size = low + len(rows), [], 0
-        rows += [None] * (row.bucket - low - len(rows)) + [row]
-        size += own
-    yield Block(low, rows, n) if rows else Block(0, [None], n)
+@dataclass(frozen=True)
+class Totals:
+    tokens: int
+    distinct: int
+
+    @property
+    def floor(self) -> float:
+        return self.tokens + 0.5 * (self.distinct + 1)
+
+
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def scored_rows(names: pa.Array, sizes: np.ndarray, counts: np.ndarray, levels: np.ndarray, totals: Totals, o: Options) -> pa.RecordBatch:
+    """From each token's count and its pair's level, text after text."""
+    start = np.cumsum(sizes) - sizes
+    base = (counts + 0.5) / totals.floor
+    context = np.zeros(len(counts), np.int64)
+    context[1:] = counts[:-1]
+    context[start] = 0
+    seen = np.minimum(counts_of(levels, o.base), np.minimum(counts, context))
+    mass = o.share * context / (context + 1)
+    likely = mass * seen / np.maximum(context, 1) + (1 - mass) * base
+    made = [np.add.reduceat(x, start) for x in ((counts > 0).astype(np.int64), np.log10(base), np.log10(likely))]
+    return pa.record_batch([names, *(pa.array(x) for x in (sizes, *made))], names=[x.split()[0] for x in SCORED.split(", ")])
+
+
+def _broadcast_scores(rows: DataFrame, block: Block, totals: Totals, o: Options) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces_of(batch, most=4 << 20):
+                tokens, sizes = hashed_tokens(texts_of(piece))
+                pair, inner = pairs_of(tokens, sizes)
+                levels = np.zeros(len(tokens), np.int64)
+                levels[inner] = shared.value.level(pair[inner], o.probes)
+                yield scored_rows(piece.column("doc_id"), sizes, shared.value.count(tokens), levels, totals, o)
+
+    return rows.mapInArrow(run, SCORED)
+
+
+def _press(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(_planes(np.ascontiguousarray(x)))
+
+
+def _unpress(raw: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    return _unplanes(zstandard.ZstdDecompressor().decompress(raw), width)
+
+
+ASKED = "kind int, batch long, bucket int, body binary, sizes binary, ids binary, present binary"
+
+
+def _asked(rows: DataFrame, buckets: int, o: Options) -> DataFrame:
+    """Per batch of documents: kind 0, its distinct words by bucket; 1, its distinct pairs; 2 and 3, which of them each token is and makes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        def out(held: list, batch: int) -> Iterator[pa.RecordBatch]:
+            names = pa.concat_arrays([n for n, *_ in held])
+            tokens, sizes = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            pair, inner = pairs_of(tokens, sizes)
+            made = []
+            for kind, flat in enumerate((tokens, pair[inner])):
+                keys, codes = np.unique(flat, return_inverse=True)
+                cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    made.append((kind, batch, b, _press(np.diff(keys[cut[b] : cut[b + 1]], prepend=np.uint64(0))), None, None, None))
+                made.append((2 + kind, batch, None, _press(codes.astype(np.uint32)), *((_press(sizes), _press(names.fill_null(0).to_numpy(zero_copy_only=False)), _press(names.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8))) if not kind else (None,) * 3)))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            for at in range(0, len(made), 256):
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*made[at : at + 256]), kinds)], names=[x.split()[0] for x in ASKED.split(", ")])
+
+        held, waiting, batch = [], 0, TaskContext.get().partitionId() << 32
+        for rows_ in batches:
+            for piece in pieces_of(rows_):
+                held.append((piece.column("doc_id"), *hashed_tokens(texts_of(piece))))
+                waiting += len(held[-1][1])
+                if waiting > o.batch_tokens:
+                    yield from out(held, batch)
+                    held, waiting, batch = [], 0, batch + 1
+        if held:
+            yield from out(held, batch)
+
+    return rows.mapInArrow(run, ASKED)
+
+
+def _partitioned_scores(rows: DataFrame, gathered: DataFrame, buckets: int, totals: Totals, o: Options) -> DataFrame:
+    spark = rows.sparkSession
+    path = scratch(spark, "lm-asked")
+    _asked(rows, buckets, o).write.partitionBy("kind").parquet(path)
+    asked = spark.read.schema(ASKED).parquet(path)
+
+    def answer(segment: pa.Table, questions: pa.Table) -> pa.Table:
+        of = int(questions.column("bucket")[0].as_py()) if len(questions) else 0
+        block = Block(of, [next(zip(*(segment.column(c).to_pylist() for c in ("bits", "words", "counts"))), None)], buckets)
+        columns = [questions.column(c).to_pylist() for c in ("kind", "batch", "body")]
+        made = []
+        for kind, _, body in zip(*columns):
+            keys = np.cumsum(_unpress(body, 8), dtype=np.uint64)
+            made.append(_press(block.level(keys, o.probes).astype(np.uint8) if kind else block.count(keys)))
+        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array([of] * len(made), pa.int32()), pa.array(made, pa.binary())], names=["kind", "batch", "bucket", "body"])
+
+    def judge(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(documents):
+            return pa.table({name: pa.array([], pa.float64() if "score" in name else pa.int64()) for name in (x.split()[0] for x in SCORED.split(", "))})
+        own = {r["kind"]: r for r in documents.to_pylist()}
+        sizes, ids, present = (_unpress(own[2][c], w) for c, w in (("sizes", 8), ("ids", 8), ("present", 1)))
+        sizes, ids = sizes.astype(np.int64), ids.view(np.int64)
+        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "body"))), key=lambda x: x[:2])
+        count, level = (np.concatenate([np.zeros(0, np.int64), *(_unpress(body, w).astype(np.int64) for k, _, body in told if k == kind)]) for kind, w in ((0, 8), (1, 1)))
+        counts = count[_unpress(own[2]["body"], 4)]
+        inner = np.ones(len(counts), bool)
+        inner[np.cumsum(sizes) - sizes] = False
+        levels = np.zeros(len(counts), np.int64)
+        levels[inner] = level[_unpress(own[3]["body"], 4)]
+        return pa.Table.from_batches([scored_rows(pa.array(ids, mask=present == 0), sizes, counts, levels, totals, o)])
+
+    segments = gathered.select(F.col("bucket").cast("int").alias("bucket"), "bits", "words", "counts")
+    questions = asked.filter("kind < 2").select("kind", "batch", "bucket", "body")
+    answers = segments.groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(answer, "kind int, batch long, bucket int, body binary")
+    documents = asked.filter("kind >= 2").drop("bucket")
+    return documents.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(judge, SCORED)
 
 
 def bloom_scores(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
     gathered, n_buckets = gather(docs, o)
-    sums = gathered.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
-    total, distinct = int(sums.n or 0), int(sums.v or 0)
-    floor = total + 0.5 * (distinct + 1)
-    final = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    carried = "doc_id long, text string, __counts binary, __levels binary"
-
-    def rows_of(piece: pa.RecordBatch, tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> pa.RecordBatch:
-        start = np.cumsum(sizes) - sizes
-        base = (counts + 0.5) / floor
-        context = np.zeros(len(tokens), np.int64)
-        context[1:] = counts[:-1]
-        context[start] = 0
-        seen = np.minimum(counts_of(levels, o.base), np.minimum(counts, context))
-        mass = o.share * context / (context + 1)
-        likely = mass * seen / np.maximum(context, 1) + (1 - mass) * base
-        made = [np.add.reduceat(x, start) for x in ((counts > 0).astype(np.int64), np.log10(base), np.log10(likely))]
-        return pa.record_batch([piece.column("doc_id"), *(pa.array(x) for x in (sizes, *made))], names=[x.split()[0] for x in final.split(", ")])
-
-    def step(shared, first: bool, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            for batch in batches:
-                for piece in pieces_of(batch, most=4 << 20):
-                    tokens, sizes = hashed_tokens(texts_of(piece))
-                    pair, inner = pairs_of(tokens, sizes)
-                    counts, levels = block.count(tokens), np.zeros(len(tokens), np.int64)
-                    levels[inner] = block.level(pair[inner], o.probes)
-                    if not first:
-                        counts += np.frombuffer(b"".join(piece.column("__counts").to_pylist()), "<i8")
-                        levels += np.frombuffer(b"".join(piece.column("__levels").to_pylist()), np.int8)
-                    if last:
-                        yield rows_of(piece, tokens, sizes, counts, levels)
-                    else:
-                        cut = np.cumsum(sizes)[:-1]
-                        own = [[x.tobytes() for x in np.split(y, cut)] for y in (counts.astype("<i8"), levels.astype(np.int8))]
-                        yield pa.record_batch([piece.column("doc_id"), piece.column("text"), *(pa.array(x, pa.binary()) for x in own)], names=["doc_id", "text", "__counts", "__levels"])
-
-        return run
-
+    whole = F.sum(F.length("bits") + F.length("words") + F.length("counts"))
+    sums = gathered.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), whole.alias("size")).first()
+    totals = Totals(int(sums.n or 0), int(sums.v or 0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    waiting, first = None, True
-    for block in _blocks(gathered, n_buckets, o.block_bytes):
-        if waiting is not None:
-            rows, first = rows.mapInArrow(step(waiting, first, False), carried), False
-        waiting = spark.sparkContext.broadcast(block)
-    scored = rows.mapInArrow(step(waiting, first, True), final)
+    if (sums.size or 0) <= o.broadcast_bytes:
+        found = {r.bucket: (r.bits, r.words, r.counts) for r in gathered.select("bucket", "bits", "words", "counts").collect()}
+        scored = _broadcast_scores(rows, Block(0, [found.get(k) for k in range(n_buckets)], n_buckets), totals, o)
+    else:
+        scored = _partitioned_scores(rows, gathered, n_buckets, totals, o)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

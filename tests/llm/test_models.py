@@ -15,27 +15,45 @@ from crosswise.llm.queries import QUERIES, SQL
 from .conftest import prose
 
 
-@pytest.mark.parametrize("block_bytes", [64 << 20, 2000])
-def test_language_model(make, odd, block_bytes):
+def brute_scores(tokens, held, share=0.15):
+    """Base score and score of each text by plain counting: a pair's count is the middle of its power of two."""
+    seen = [t for t, h in zip(tokens, held) if not h]
+    c, pairs = Counter(x for t in seen for x in t), Counter(p for t in seen for p in zip(t, t[1:]))
+    floor = sum(c.values()) + 0.5 * (len(c) + 1)
+    out = []
+    for t in tokens:
+        base = [(c[x] + 0.5) / floor for x in t]
+        likely = list(base)
+        for k in range(1, len(t)):
+            before, n = c[t[k - 1]], pairs[t[k - 1], t[k]]
+            level = n.bit_length()
+            f = min(math.sqrt(2 ** (level - 1) * (2**level - 1)) if n else 0, before, c[t[k]])
+            m = share * before / (before + 1)
+            likely[k] = m * f / max(before, 1) + (1 - m) * base[k]
+        out.append((sum(map(math.log10, base)), sum(map(math.log10, likely))))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_language_model(make, odd, broadcast_bytes):
     rng = random.Random(11)
     words = [prose(rng, 1) for _ in range(60)]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None]
-    o = bloomlm.Options(bucket_tokens=100, block_bytes=block_bytes)
-    got = {r.doc_id: r for r in bloomlm.bloom_scores(make(texts), o).collect()}
+    texts = [" ".join(rng.choice(words[: rng.choice([5, 60])]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", " ".join(words * 200)]
+    o = bloomlm.Options(bucket_tokens=100, bits_a_pair=64, probes=12, broadcast_bytes=broadcast_bytes, batch_tokens=400)
+    docs = make(texts, extra=["1 AS kind", "'x' AS bucket"])
+    scored = bloomlm.bloom_scores(docs, o)
+    assert str(scored._jdf.queryExecution().optimizedPlan()).count("MapInArrow") <= 1 and scored.columns[0] == "doc_id"
+    got = {r.doc_id: r for r in scored.collect()}
     tokens = [[*(t or "").encode().lower().split(), None] for t in texts]
     held = [zlib.crc32(str(k).encode()) % 5 == 1 for k in range(len(texts))]
     c = Counter(x for t, h in zip(tokens, held) if not h for x in t)
-    n, v = sum(c.values()), len(c)
-    for k, t in enumerate(tokens):
+    for k, (t, (base, score)) in enumerate(zip(tokens, brute_scores(tokens, held))):
         r = got[k]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(t), sum(c[x] > 0 for x in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t))
-        assert r.score < 0
-    one = {k: r.score for k, r in got.items()}
-    whole = {r.doc_id: r.score for r in bloomlm.bloom_scores(make(texts), bloomlm.Options(bucket_tokens=100)).collect()}
-    assert one == pytest.approx(whole)  # blocks change nothing
-    assert bloomlm.bloom_scores(odd).count() == odd.count()
-    assert bloomlm.bloom_scores(odd.limit(0)).count() == 0
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(t), sum(c[x] > 0 for x in t), sum(c.values()))
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+    both = [sorted((r.doc_id if r.doc_id is not None else -1, r.n_known, round(r.score, 6)) for r in bloomlm.bloom_scores(odd, bloomlm.Options(broadcast_bytes=n)).collect()) for n in (0, 1 << 30)]
+    assert both[0] == both[1] and len(both[0]) == odd.count()
+    assert bloomlm.bloom_scores(odd.limit(0), o).count() == 0
 
 
 def test_bloom_levels_never_too_low():
@@ -45,8 +63,7 @@ def test_bloom_levels_never_too_low():
     level = bloomlm.levels_of(counts, 2.0)
     bits = bloomlm.Segment.build(keys, level, 12.0, 6)
     words = np.zeros(0, np.uint64).tobytes()
-    row = type("R", (), {"bits": bits.tobytes(), "words": words, "counts": words})
-    block = bloomlm.Block(0, [row], 1)
+    block = bloomlm.Block(0, [(bits.tobytes(), words, words)], 1)
     got = block.level(keys, 6)
     assert (got >= level).all() and (got == level).mean() > 0.98
     assert (block.level(rng.integers(0, 1 << 63, 5000).astype(np.uint64), 6) > 0).mean() < 0.02
