@@ -11,10 +11,11 @@ them, writes its segment of the filter (sized for its own n-grams) and the exact
 unigram counts that fall in it. Bucket numbers grow with the corpus, so a
 bucket's size does not, and a frequent n-gram reaches its bucket once per batch, already counted.
 
-Scoring. While the filter and the unigram counts are ``broadcast_bytes`` at most, they are broadcast once and every
-task probes them. A larger filter, of any size, stays where it is: each batch of documents sends its distinct
-words and pairs, sorted and packed, to their buckets; a bucket's task answers them by probing its
-segment, and the answers go back to the batch. Both ways give the same scores, in one pass over the documents.
+Scoring. A filter of ``broadcast_bytes`` at most (made from ``broadcast_text`` bytes of text at most) is broadcast once and every
+task probes it. Beyond that nothing is broadcast: batches of documents are packed and kept once; each sends its
+distinct words and pairs with their training counts to the buckets; a bucket's task builds its segment,
+answers every batch by probing it, and the answers go back to the batch. Keys are shuffled once,
+already counted, and a batch asks for a frequent pair once. Both ways give the same scores.
 
 The model: P(w | h) = m * f(h, w) / c(h) + (1 - m) * base(w), where f is the count
 read back (no pair can be more frequent than its words, so f is cut at their counts),
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswise.llm.arrays import pieces_of, space_words, texts_of
-from crosswise.session import scratch, ship, stage
+from crosswise.session import ship, stage
 
 END = np.uint64(0x9D5C1F0A3B7E2468)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -126,44 +127,75 @@ class Options:
     bucket_tokens: int = 2_000_000
     batch_tokens: int = 2_000_000
     broadcast_bytes: int = 16 << 20
+    broadcast_text: int = 64 << 20
 
 
 def _train_rows(docs: DataFrame) -> DataFrame:
     return docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, F.lit(True)))
 
 
-def gather(docs: DataFrame, o: Options) -> tuple[DataFrame, int]:
-    """Per bucket: the filter's segment, exact unigram hashes (sorted) and counts, and totals; and the number of buckets."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-int(size) // 6 // o.bucket_tokens))
+def _counted(tokens: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct words and distinct pairs of some texts, sorted, and how often they occur in texts of weight 1."""
+    pair, inner = pairs_of(tokens, counts)
+    if weight is None:
+        return [np.unique(x, return_counts=True) for x in (tokens, pair[inner])]
+    each, out = np.repeat(weight, counts), []
+    for x, w in ((tokens, each), (pair[inner], each[inner])):
+        key, at = np.unique(x, return_inverse=True)
+        out.append((key, np.bincount(at, w, len(key)).astype(np.int64)))
+    return out
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+def _by_bucket(counted: list, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bucket, kind, number of keys, packed keys and counts) for sorted keys of kind 0, words, and 1, pairs."""
+    for kind, (key, total) in enumerate(counted):
+        cut = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            some = slice(cut[b], cut[b + 1])
+            yield b, kind, int(cut[b + 1] - cut[b]), _press(np.diff(key[some], prepend=np.uint64(0)), total[some].astype(np.uint32))
+
+
+def _keys_in(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, counts = _unpress(body, (8, 4), n)
+    return np.cumsum(gaps, dtype=np.uint64), counts
+
+
+def _segment(parts: Iterator[tuple[int, np.ndarray, np.ndarray]], o: Options) -> dict:
+    """A bucket's segment, exact word counts and totals, from (kind, keys, counts) of all batches."""
+    held = {0: [(np.zeros(0, np.uint64), np.zeros(0))], 1: [(np.zeros(0, np.uint64), np.zeros(0))]}
+    for kind, keys, counts in parts:
+        held[kind].append((keys, counts.astype(np.float64)))
+    found = []
+    for kind in (0, 1):
+        key, at = np.unique(np.concatenate([k for k, _ in held[kind]]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([c for _, c in held[kind]]), len(key)).astype(np.int64)
+        found.append((key[total > 0], total[total > 0]))  # a key of held-out texts alone is only asked for
+    (one, n_one), (two, n_two) = found
+    bits = Segment.build(two, levels_of(n_two, o.base), o.bits_a_pair, o.probes)
+    return {"distinct": len(one), "tokens": int(n_one.sum()), "bits": bits.tobytes(), "words": one.tobytes(), "counts": n_one.astype("<i8").tobytes()}
+
+
+def _bucket_number(docs: DataFrame, o: Options) -> tuple[int, int]:
+    """Bytes of text, and the number of buckets."""
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    return size, max(1, -(-size // 6 // o.bucket_tokens))
+
+
+def gather(docs: DataFrame, buckets: int, o: Options) -> DataFrame:
+    """Per bucket: the filter's segment, exact unigram hashes (sorted) and counts, and totals."""
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for kind, parts in enumerate(zip(*held)):
-                key, count = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                total = np.bincount(count, np.concatenate([c for _, c in parts]), len(key)).astype(np.uint32)
-                bucket = bucket_of(key, buckets)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    k, c = key[cut[b] : cut[b + 1]], total[cut[b] : cut[b + 1]]
-                    gaps = np.diff(k, prepend=np.uint64(0))
-                    rows.append((b, kind, len(k), press.compress(_planes(gaps) + _planes(c))))
+            tokens, counts = (np.concatenate(x) for x in zip(*held))
+            rows = list(_by_bucket(_counted(tokens, counts), buckets))
             for at in range(0, len(rows), 256):
                 yield pa.record_batch([pa.array(x) for x in zip(*rows[at : at + 256])], names=["bucket", "kind", "n", "body"])
 
         held, waiting = [], 0
         for batch in batches:
             for piece in pieces_of(batch):
-                tokens, counts = hashed_tokens(texts_of(piece))
-                pair, inner = pairs_of(tokens, counts)
-                held.append(tuple((k, c.astype(np.float64)) for k, c in (np.unique(tokens, return_counts=True), np.unique(pair[inner], return_counts=True))))
-                waiting += len(tokens)
+                held.append(hashed_tokens(texts_of(piece)))
+                waiting += len(held[-1][0])
                 if waiting > o.batch_tokens:
                     yield from out(held)
                     held, waiting = [], 0
@@ -171,39 +203,32 @@ def gather(docs: DataFrame, o: Options) -> tuple[DataFrame, int]:
             yield from out(held)
 
     def merged(table: pa.Table) -> pa.Table:
-        import zstandard
+        rows = zip(*(table.column(c).to_pylist() for c in ("kind", "n", "body")))
+        made = {"bucket": int(table.column("bucket")[0].as_py())} | _segment(((kind, *_keys_in(n, body)) for kind, n, body in rows), o)
+        return pa.table({k: [v] for k, v in made.items()})
 
-        open_ = zstandard.ZstdDecompressor()
-        found = {}
-        for kind in (0, 1):
-            keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
-            for k, n, body in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "body"))):
-                if k == kind:
-                    raw = open_.decompress(body)
-                    keys.append(np.cumsum(_unplanes(raw[: 8 * n], 8)))
-                    counts.append(_unplanes(raw[8 * n :], 4).astype(np.float64))
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            found[kind] = key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
-        one, n_one = found[0]
-        two, n_two = found[1]
-        level = levels_of(n_two, o.base)
-        bits = Segment.build(two, level, o.bits_a_pair, o.probes)
-        row = [int(table.column("bucket")[0].as_py()), len(one), int(n_one.sum()), len(two), bits.tobytes(), one.tobytes(), n_one.astype("<i8").tobytes()]
-        return pa.table([pa.array([x]) for x in row], names=["bucket", "distinct", "tokens", "pairs", "bits", "words", "counts"])
-
-    ship(spark)
+    ship(docs.sparkSession)
     parts = _train_rows(docs).select("text").mapInArrow(packed, "bucket long, kind long, n long, body binary")
-    schema = "bucket long, distinct long, tokens long, pairs long, bits binary, words binary, counts binary"
-    return stage(parts.groupBy("bucket").applyInArrow(merged, schema), "lm-buckets"), buckets
+    return stage(parts.groupBy("bucket").applyInArrow(merged, "bucket long, distinct long, tokens long, bits binary, words binary, counts binary"), "lm-buckets")
+
 
+def _press(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as byte planes, compressed."""
+    import zstandard
+
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers as byte planes, which compress better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
+def _unpress(raw: bytes, widths: tuple[int, ...], n: int) -> list[np.ndarray]:
+    """The columns, as unsigned numbers of these widths."""
+    import zstandard
 
-def _unplanes(raw: bytes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").reshape(-1)
+    body, out, at = zstandard.ZstdDecompressor().decompress(raw), [], 0
+    for w in widths:
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * w, at).reshape(w, n).T).view(f"<u{w}").reshape(-1))
+        at += n * w
+    return out
 
 
 class Block:
@@ -283,105 +308,111 @@ def _broadcast_scores(rows: DataFrame, block: Block, totals: Totals, o: Options)
     return rows.mapInArrow(run, SCORED)
 
 
-def _press(x: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(_planes(np.ascontiguousarray(x)))
-
-
-def _unpress(raw: bytes, width: int) -> np.ndarray:
-    import zstandard
-
-    return _unplanes(zstandard.ZstdDecompressor().decompress(raw), width)
-
-
-ASKED = "kind int, batch long, bucket int, body binary, sizes binary, ids binary, present binary"
-
-
-def _asked(rows: DataFrame, buckets: int, o: Options) -> DataFrame:
-    """Per batch of documents: kind 0, its distinct words by bucket; 1, its distinct pairs; 2 and 3, which of them each token is and makes."""
+def _packed_batches(rows: DataFrame, o: Options) -> DataFrame:
+    """(batch, ids, texts): documents by the batch, packed, in one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
-        def out(held: list, batch: int) -> Iterator[pa.RecordBatch]:
-            names = pa.concat_arrays([n for n, *_ in held])
-            tokens, sizes = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-            pair, inner = pairs_of(tokens, sizes)
-            made = []
-            for kind, flat in enumerate((tokens, pair[inner])):
-                keys, codes = np.unique(flat, return_inverse=True)
-                cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    made.append((kind, batch, b, _press(np.diff(keys[cut[b] : cut[b + 1]], prepend=np.uint64(0))), None, None, None))
-                made.append((2 + kind, batch, None, _press(codes.astype(np.uint32)), *((_press(sizes), _press(names.fill_null(0).to_numpy(zero_copy_only=False)), _press(names.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8))) if not kind else (None,) * 3)))
-            kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-            for at in range(0, len(made), 256):
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*made[at : at + 256]), kinds)], names=[x.split()[0] for x in ASKED.split(", ")])
+        press = zstandard.ZstdCompressor(level=1)
+
+        def out(held: list, batch: int) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            return pa.record_batch([pa.array([batch]), pa.array([press.compress(sink.getvalue())], pa.binary())], names=["batch", "body"])
 
         held, waiting, batch = [], 0, TaskContext.get().partitionId() << 32
         for rows_ in batches:
             for piece in pieces_of(rows_):
-                held.append((piece.column("doc_id"), *hashed_tokens(texts_of(piece))))
-                waiting += len(held[-1][1])
-                if waiting > o.batch_tokens:
-                    yield from out(held, batch)
+                held.append(piece)
+                waiting += piece.nbytes
+                if waiting > 6 * o.batch_tokens:
+                    yield out(held, batch)
                     held, waiting, batch = [], 0, batch + 1
         if held:
-            yield from out(held, batch)
+            yield out(held, batch)
 
-    return rows.mapInArrow(run, ASKED)
+    trains = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, F.lit(True))
+    return rows.select("doc_id", "text", trains.alias("trains")).mapInArrow(run, "batch long, body binary")
 
 
-def _partitioned_scores(rows: DataFrame, gathered: DataFrame, buckets: int, totals: Totals, o: Options) -> DataFrame:
-    spark = rows.sparkSession
-    path = scratch(spark, "lm-asked")
-    _asked(rows, buckets, o).write.partitionBy("kind").parquet(path)
-    asked = spark.read.schema(ASKED).parquet(path)
+def _unpacked(body: bytes) -> pa.RecordBatch:
+    import zstandard
 
-    def answer(segment: pa.Table, questions: pa.Table) -> pa.Table:
-        of = int(questions.column("bucket")[0].as_py()) if len(questions) else 0
-        block = Block(of, [next(zip(*(segment.column(c).to_pylist() for c in ("bits", "words", "counts"))), None)], buckets)
-        columns = [questions.column(c).to_pylist() for c in ("kind", "batch", "body")]
-        made = []
-        for kind, _, body in zip(*columns):
-            keys = np.cumsum(_unpress(body, 8), dtype=np.uint64)
-            made.append(_press(block.level(keys, o.probes).astype(np.uint8) if kind else block.count(keys)))
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array([of] * len(made), pa.int32()), pa.array(made, pa.binary())], names=["kind", "batch", "bucket", "body"])
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(body)) as reader:
+        return reader.read_all().combine_chunks().to_batches()[0]
+
+
+def _partitioned_scores(rows: DataFrame, buckets: int, o: Options) -> tuple[DataFrame, Totals]:
+    packed = stage(_packed_batches(rows, o), "lm-batches")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, body in zip(*(batch.column(c).to_pylist() for c in ("batch", "body"))):
+                own = _unpacked(body)
+                tokens, sizes = hashed_tokens(texts_of(own))
+                weight = own.column("trains").to_numpy(zero_copy_only=False).astype(np.float64)
+                made = [(number, *row) for row in _by_bucket(_counted(tokens, sizes, weight), buckets)]
+                for at in range(0, len(made), 256):
+                    yield pa.record_batch([pa.array(x) for x in zip(*made[at : at + 256])], names=["batch", "bucket", "kind", "n", "body"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        of = int(table.column("bucket")[0].as_py())
+        columns = {c: table.column(c).to_pylist() for c in ("batch", "kind", "n", "body")}
+        parts = lambda: ((kind, *_keys_in(n, body)) for kind, n, body in zip(*(columns[c] for c in ("kind", "n", "body"))))
+        own = _segment(parts(), o)
+        block = Block(of, [(own["bits"], own["words"], own["counts"])], buckets)
+        made = [_press(block.level(keys, o.probes).astype(np.uint8) if kind else block.count(keys)) for kind, keys, _ in parts()]
+        return pa.table(
+            [pa.array(x, t) for x, t in (
+                ([*columns["batch"], None], pa.int64()), ([of] * (len(made) + 1), pa.int64()), ([*columns["kind"], 2], pa.int64()), ([*columns["n"], 0], pa.int64()),
+                ([*made, None], pa.binary()), ([None] * len(made) + [own["tokens"]], pa.int64()), ([None] * len(made) + [own["distinct"]], pa.int64()),
+            )],
+            names=["batch", "bucket", "kind", "n", "body", "tokens", "distinct"],
+        )
+
+    keys = "batch long, bucket long, kind long, n long, body binary"
+    answers = stage(packed.mapInArrow(ask, keys).groupBy("bucket").applyInArrow(answer, keys + ", tokens long, distinct long"), "lm-answers")
+    sums = answers.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
+    totals = Totals(int(sums.n or 0), int(sums.v or 0))
 
-    def judge(documents: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(documents):
+    def judge(documents: pa.Table, told: pa.Table) -> pa.Table:
+        made = []
+        for body in documents.column("body").to_pylist():
+            own = _unpacked(body)
+            tokens, sizes = hashed_tokens(texts_of(own))
+            pair, inner = pairs_of(tokens, sizes)
+            found = sorted(zip(*(told.column(c).to_pylist() for c in ("kind", "bucket", "n", "body"))), key=lambda x: x[:2])
+            count, level = (np.concatenate([np.zeros(0, np.int64), *(_unpress(raw, (w,), n)[0].astype(np.int64) for k, _, n, raw in found if k == kind)]) for kind, w in ((0, 8), (1, 1)))
+            levels = np.zeros(len(tokens), np.int64)
+            levels[inner] = level[np.unique(pair[inner], return_inverse=True)[1]]
+            made.append(scored_rows(own.column("doc_id"), sizes, count[np.unique(tokens, return_inverse=True)[1]], levels, totals, o))
+        if not made:
             return pa.table({name: pa.array([], pa.float64() if "score" in name else pa.int64()) for name in (x.split()[0] for x in SCORED.split(", "))})
-        own = {r["kind"]: r for r in documents.to_pylist()}
-        sizes, ids, present = (_unpress(own[2][c], w) for c, w in (("sizes", 8), ("ids", 8), ("present", 1)))
-        sizes, ids = sizes.astype(np.int64), ids.view(np.int64)
-        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "body"))), key=lambda x: x[:2])
-        count, level = (np.concatenate([np.zeros(0, np.int64), *(_unpress(body, w).astype(np.int64) for k, _, body in told if k == kind)]) for kind, w in ((0, 8), (1, 1)))
-        counts = count[_unpress(own[2]["body"], 4)]
-        inner = np.ones(len(counts), bool)
-        inner[np.cumsum(sizes) - sizes] = False
-        levels = np.zeros(len(counts), np.int64)
-        levels[inner] = level[_unpress(own[3]["body"], 4)]
-        return pa.Table.from_batches([scored_rows(pa.array(ids, mask=present == 0), sizes, counts, levels, totals, o)])
-
-    segments = gathered.select(F.col("bucket").cast("int").alias("bucket"), "bits", "words", "counts")
-    questions = asked.filter("kind < 2").select("kind", "batch", "bucket", "body")
-    answers = segments.groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(answer, "kind int, batch long, bucket int, body binary")
-    documents = asked.filter("kind >= 2").drop("bucket")
-    return documents.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(judge, SCORED)
+        return pa.Table.from_batches(made)
+
+    replies = answers.filter("kind < 2").select("batch", "bucket", "kind", "n", "body")
+    return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(judge, SCORED), totals
 
 
 def bloom_scores(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    gathered, n_buckets = gather(docs, o)
-    whole = F.sum(F.length("bits") + F.length("words") + F.length("counts"))
-    sums = gathered.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), whole.alias("size")).first()
-    totals = Totals(int(sums.n or 0), int(sums.v or 0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if (sums.size or 0) <= o.broadcast_bytes:
-        found = {r.bucket: (r.bits, r.words, r.counts) for r in gathered.select("bucket", "bits", "words", "counts").collect()}
-        scored = _broadcast_scores(rows, Block(0, [found.get(k) for k in range(n_buckets)], n_buckets), totals, o)
-    else:
-        scored = _partitioned_scores(rows, gathered, n_buckets, totals, o)
+    ship(docs.sparkSession)
+    size, buckets = _bucket_number(rows, o)
+    scored = None
+    if size <= o.broadcast_text:
+        gathered = gather(rows, buckets, o)
+        whole = F.sum(F.length("bits") + F.length("words") + F.length("counts"))
+        sums = gathered.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), whole.alias("size")).first()
+        if (sums.size or 0) <= o.broadcast_bytes:
+            totals = Totals(int(sums.n or 0), int(sums.v or 0))
+            found = {r.bucket: (r.bits, r.words, r.counts) for r in gathered.select("bucket", "bits", "words", "counts").collect()}
+            scored = _broadcast_scores(rows, Block(0, [found.get(k) for k in range(buckets)], buckets), totals, o)
+    if scored is None:
+        scored, totals = _partitioned_scores(rows, buckets, o)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

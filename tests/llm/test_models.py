@@ -34,12 +34,12 @@ def brute_scores(tokens, held, share=0.15):
     return out
 
 
-@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
-def test_language_model(make, odd, broadcast_bytes):
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0}, {"broadcast_text": 0}])
+def test_language_model(make, odd, limits):
     rng = random.Random(11)
     words = [prose(rng, 1) for _ in range(60)]
     texts = [" ".join(rng.choice(words[: rng.choice([5, 60])]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", " ".join(words * 200)]
-    o = bloomlm.Options(bucket_tokens=100, bits_a_pair=64, probes=12, broadcast_bytes=broadcast_bytes, batch_tokens=400)
+    o = bloomlm.Options(bucket_tokens=100, bits_a_pair=64, probes=12, batch_tokens=400, **limits)
     docs = make(texts, extra=["1 AS kind", "'x' AS bucket"])
     scored = bloomlm.bloom_scores(docs, o)
     assert str(scored._jdf.queryExecution().optimizedPlan()).count("MapInArrow") <= 1 and scored.columns[0] == "doc_id"
@@ -51,7 +51,7 @@ def test_language_model(make, odd, broadcast_bytes):
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(t), sum(c[x] > 0 for x in t), sum(c.values()))
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
-    both = [sorted((r.doc_id if r.doc_id is not None else -1, r.n_known, round(r.score, 6)) for r in bloomlm.bloom_scores(odd, bloomlm.Options(broadcast_bytes=n)).collect()) for n in (0, 1 << 30)]
+    both = [sorted((r.doc_id if r.doc_id is not None else -1, r.n_known, round(r.score, 6)) for r in bloomlm.bloom_scores(odd, bloomlm.Options(broadcast_text=n)).collect()) for n in (-1, 1 << 30)]
     assert both[0] == both[1] and len(both[0]) == odd.count()
     assert bloomlm.bloom_scores(odd.limit(0), o).count() == 0
 
