@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,3 +70,15 @@ def slices_of(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def whole_row(docs: DataFrame, name: str = "row") -> Column:
     """All columns as one struct, so that an operator's own columns cannot clash with them; ``select("row.*")`` gives them back."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias(name)
+
+
+def filtered(docs: DataFrame, judge: Callable[[], Callable[[pa.RecordBatch], pa.Array]], most: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` that a test of bounded pieces keeps. ``judge()`` makes the test, once a task; columns may have any names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            for piece in pieces_of(pa.RecordBatch.from_struct_array(batch.column("row")), most=most):
+                yield piece.filter(keep(piece))
+
+    return docs.select(whole_row(docs)).mapInArrow(run, docs.schema)

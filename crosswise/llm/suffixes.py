@@ -6,18 +6,21 @@ interval found holds all verbatim occurrences, with their documents and places;
 from each, the match is followed word by word to its full length. Documents
 never meet, so the plan has no shuffle: a shard is what one task holds.
 
-The array is sparse: it leaves out suffixes whose first words (as many as the
+The array is sparse and as deep as a window: it leaves out suffixes whose first words (as many as the
 shortest window has) are not all words of the benchmark, since none of those
-can start an occurrence. Words outside the benchmark's vocabulary share one id.
+can start an occurrence, and orders the others by the words of one window, since no window tells
+more of them apart. Words outside the benchmark's vocabulary share one id.
 
-The benchmark is taken in blocks of bounded text size. Only one block at a time
-is with the workers; what a block finds is folded into three columns that the
-next block extends, so any number of items is answered in full.
+The benchmark is taken in blocks of bounded text size, streamed to the driver one at a time. With one block the
+documents pass once. With more, every block is a pass of its own that writes only what it found, for
+documents that it hit; these findings are put together by document. So any number
+of items is answered in full, and no task holds more than one block.
 
 Defined results: a null or empty text has no words, hits or items; an item
-without words has no windows; equal items are each counted; repeated documents
-are judged each; an empty benchmark or table gives clean or no rows; other
-columns are ignored, or kept by ``decontaminate``.
+without words has no windows; equal items are each counted; an item without an id counts for hits and contamination, all such items
+count as one in n_items, and none is named in items_sha256 or as the longest match; repeated documents
+are judged each; a very long text is a shard of its own; an empty benchmark or table gives clean or no rows; other
+columns are ignored, or kept by ``decontaminate`` whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from crosswise.llm.arrays import pieces_of, ragged, texts_of
-from crosswise.session import ship
+from crosswise.llm.arrays import filtered, pieces_of, ragged, texts_of, whole_row
+from crosswise.session import ship, stage
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_start long, longest_item long"
@@ -44,7 +50,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WindowSet:
     """The distinct windows of a block of items, as word ids, and who has them."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
         self.items = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]) for name, text in items]
         owners: dict[tuple[int, ...], list[tuple[int, int]]] = {}
@@ -53,6 +59,8 @@ class WindowSet:
             for at in range(len(ids) - size + 1) if ids else ():
                 owners.setdefault(tuple(ids[at : at + size]), []).append((k, at))
         self.windows, self.owners = list(owners), list(owners.values())
+        self.names = [frozenset(self.items[k][0] for k, _ in own) for own in self.owners]
+        self.longest: dict[bytes, tuple] = {}  # by a run of hit words: most documents that hold a passage hold the same one
         by_size: dict[int, list[int]] = {}
         for k, w in enumerate(self.windows):
             by_size.setdefault(len(w), []).append(k)
@@ -125,8 +133,38 @@ def occurrences(ids: np.ndarray, known: WindowSet) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _judge(texts: list[str], known: WindowSet, before: list) -> Iterator[tuple]:
-    """For each text: words, hit flags as bytes, item names, and its longest match (words, start, item)."""
+def _longest(run: np.ndarray, known: WindowSet, at: list[int], windows: list[int]) -> tuple[int, int, int | None]:
+    """The longest match in a run of hit words: its size, its place in the run and the smallest id of an item that has it."""
+    best = None
+    for p, w in zip(at, windows):
+        for item, spot in known.owners[w]:
+            name, own = known.items[item]
+            if spot and p and run[p - 1] == own[spot - 1]:
+                continue  # the match starts before this window
+            n = len(known.windows[w])
+            while spot + n < len(own) and p + n < len(run) and run[p + n] == own[spot + n]:
+                n += 1
+            found = (-n, p, name is None, name or 0)
+            best = min(best, found) if best else found
+    return -best[0], best[1], None if best[2] else best[3]
+
+
+@dataclass(frozen=True)
+class Finding:
+    """What a block of items shows of one text."""
+
+    words: int
+    hit: np.ndarray
+    names: frozenset
+    longest: tuple[int, int, int | None] | None
+
+
+def _better(a: tuple | None, b: tuple | None) -> tuple | None:
+    """Of two longest matches the longer one, then the earlier, then that of the smaller item id."""
+    return min((x for x in (a, b) if x), key=lambda x: (-x[0], x[1], x[2] is None, x[2] or 0), default=None)
+
+
+def _judge(texts: list[str], known: WindowSet) -> Iterator[Finding]:
     get = known.vocabulary.get
     codes = [[get(w, 0) for w in words_of(t)] for t in texts]
     sizes = np.array([len(c) for c in codes], np.int64)
@@ -141,33 +179,35 @@ def _judge(texts: list[str], known: WindowSet, before: list) -> Iterator[tuple]:
     np.add.at(hit, places, 1)
     np.add.at(hit, places + lengths, -1)
     hit = np.cumsum(hit)[:-1] > 0
-    owner = np.searchsorted(begin, places, side="right") - 1
-    order = np.argsort(owner, kind="stable")
-    cut = np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    order = np.argsort(places, kind="stable")
+    places, windows = places[order], windows[order]
+    cut = np.searchsorted(places, np.append(begin, len(ids)))
     for k in range(len(texts)):
-        names, best = set(before[k][1]), before[k][2]
         flags = hit[begin[k] : begin[k] + sizes[k]]
-        if before[k][0]:
-            flags = flags | np.unpackbits(np.frombuffer(before[k][0], np.uint8), count=int(sizes[k])).astype(bool)
-        mine = order[cut[k] : cut[k + 1]]
-        for p, w in zip(places[mine].tolist(), windows[mine].tolist()):
-            for item, at in known.owners[w]:
-                name, own = known.items[item]
-                names.add(name)
-                if at and p > begin[k] and ids[p - 1] == own[at - 1]:
-                    continue  # the match starts before this window
-                n = len(known.windows[w])
-                while at + n < len(own) and ids[p + n] == own[at + n]:
-                    n += 1
-                start = p - int(begin[k])
-                best = max(best, (n, -start, -name), key=lambda x: x) if best else (n, -start, -name)
-        yield int(sizes[k]), flags, names, best
+        if cut[k] == cut[k + 1]:
+            yield Finding(int(sizes[k]), flags, frozenset(), None)
+            continue
+        own, spots = windows[cut[k] : cut[k + 1]], places[cut[k] : cut[k + 1]] - begin[k]
+        names = frozenset().union(*(known.names[w] for w in np.unique(own).tolist()))
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8))).reshape(-1, 2)
+        best = None
+        for a, b in edges.tolist():
+            run = ids[begin[k] + a : begin[k] + b]
+            key = run.tobytes()
+            if key not in known.longest:
+                if len(known.longest) >= 4096:
+                    known.longest.clear()
+                some = slice(*np.searchsorted(spots, (a, b)).tolist())
+                known.longest[key] = _longest(run, known, (spots[some] - a).tolist(), own[some].tolist())
+            n, at, name = known.longest[key]
+            best = _better(best, (n, a + at, name))
+        yield Finding(int(sizes[k]), flags, names, best)
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list]:
     """Items in blocks of bounded size, streamed to the driver; each holds at least one item."""
     held, size = [], 0
-    for row in benchmark.select("item_id", "text").filter("text is not null and item_id is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").toLocalIterator():
         held.append((row.item_id, row.text))
         size += len(row.text)
         if size >= block_bytes:
@@ -177,68 +217,106 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list]:
         yield held
 
 
-def _mapped(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, shard_bytes: int, report: bool) -> DataFrame:
-    """Fold all blocks over the documents; at last report on them (``report``) or drop the contaminated."""
-    ship(docs.sparkSession)
-    carried = [("__hit", pa.binary()), ("__items", pa.list_(pa.int64())), ("__best", pa.list_(pa.int64()))]
-    names = docs.columns
-
-    def step(block: list, first: bool, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WindowSet(block, width)
-            for batch in batches:
-                for piece in pieces_of(batch, most=shard_bytes):
-                    texts = texts_of(piece).to_pylist()
-                    if first:
-                        before = [(None, (), None)] * len(texts)
-                    else:
-                        before = [(h, i, tuple(b) if b else None) for h, i, b in zip(*(piece.column(n).to_pylist() for n, _ in carried))]
-                    made = list(_judge(texts, known, before))
-                    if not last:
-                        own = [
-                            pa.array([np.packbits(f).tobytes() for _, f, _, _ in made], pa.binary()),
-                            pa.array([sorted(n) for _, _, n, _ in made], carried[1][1]),
-                            pa.array([b for *_, b in made], carried[2][1]),
-                        ]
-                        yield pa.record_batch([*(piece.column(n) for n in names), *own], names=[*names, *(n for n, _ in carried)])
-                    elif report:
-                        yield _report(piece, made)
-                    else:
-                        clean = pa.array([not f.any() for _, f, _, _ in made], pa.bool_())
-                        yield pa.record_batch([piece.column(n) for n in names], names=names).filter(clean)
-
-        return run
-
-    blocks = list(_blocks(benchmark, block_bytes)) or [[]]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        schema = (SCHEMA if report else kept) if last else kept + ", __hit binary, __items array<bigint>, __best array<bigint>"
-        docs = docs.mapInArrow(step(block, not k, last), schema)
-    return docs
-
-
-def _report(piece: pa.RecordBatch, made: list) -> pa.RecordBatch:
-    sha = [hashlib.sha256(",".join(sorted(map(str, n))).encode()).hexdigest() for _, _, n, _ in made]
+def _report(names: pa.Array, found: list[Finding]) -> pa.RecordBatch:
+    own = [sorted(str(n) for n in f.names if n is not None) for f in found]
+    best = [f.longest or (0, None, None) for f in found]
     columns = [
-        piece.column("doc_id").cast(pa.int64()),
-        pa.array([n for n, *_ in made], pa.int64()),
-        pa.array([int(f.sum()) for _, f, _, _ in made], pa.int64()),
-        pa.array([len(n) for _, _, n, _ in made], pa.int64()),
-        pa.array(sha),
-        pa.array([bool(f.any()) for _, f, _, _ in made]),
-        pa.array([b[0] if b else 0 for *_, b in made], pa.int64()),
-        pa.array([-b[1] if b else None for *_, b in made], pa.int64()),
-        pa.array([-b[2] if b else None for *_, b in made], pa.int64()),
+        names,
+        pa.array([f.words for f in found], pa.int64()),
+        pa.array([int(f.hit.sum()) for f in found], pa.int64()),
+        pa.array([len(f.names) for f in found], pa.int64()),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in own]),
+        pa.array([bool(f.hit.any()) for f in found]),
+        *(pa.array([b[k] for b in best], pa.int64()) for k in range(3)),
     ]
     return pa.record_batch(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def _findings(docs: DataFrame, block: list, width: int, shard_bytes: int) -> DataFrame:
+    """(id, h, words, hit, names, longest) of the documents in which a block's items occur; rows alike once or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WindowSet(block, width)
+        for batch in batches:
+            for piece in pieces_of(batch, most=shard_bytes):
+                found = list(_judge(texts_of(piece).to_pylist(), known))
+                some = [k for k, f in enumerate(found) if f.names]
+                own = [found[k] for k in some]
+                longest = pa.array([[*f.longest[:2], f.longest[2] or 0, int(f.longest[2] is None)] for f in own], pa.list_(pa.int64()))
+                ids = [pa.array([sorted(n for n in f.names if n is not None) for f in own], pa.list_(pa.int64())), pa.array([None in f.names for f in own], pa.bool_())]
+                hits = pa.array([np.packbits(f.hit).tobytes() for f in own], pa.binary())
+                columns = [piece.column("id").take(pa.array(some, pa.int64())), piece.column("h").take(pa.array(some, pa.int64())), hits, *ids, longest]
+                yield pa.record_batch(columns, names=["id", "h", "hit", "names", "unnamed", "longest"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "id long, h long, hit binary, names array<bigint>, unnamed boolean, longest array<bigint>")
+
+
+def _passes(docs: DataFrame, blocks: Iterator[list], width: int, shard_bytes: int) -> DataFrame:
+    """The findings of all blocks, put together: one row for each document hit."""
+    parts = [stage(_findings(docs, block, width, shard_bytes), "findings") for block in blocks]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionAll(part)
+    key = ("id", "h")
+    names = every.select(*key, F.explode("names").alias("name")).distinct().groupBy(*key).agg(F.collect_list("name").alias("names"))
+    # the longest first, then the earliest, then the smallest named item
+    longest = F.struct(-F.get("longest", 0), F.get("longest", 1), F.get("longest", 3), F.get("longest", 2))
+    rest = every.groupBy(*key).agg(F.collect_set("hit").alias("hits"), F.max("unnamed").alias("unnamed"), F.min(longest).alias("longest"))
+    right = names.select(F.col("id").alias("i"), F.col("h").alias("g"), "names")
+    return stage(rest.join(right, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").drop("i", "g"), "findings")
+
+
+def _first_two(blocks: Iterator[list]) -> tuple[list, Iterator[list] | None]:
+    """The first block (empty if there is none), and all blocks if there are more."""
+    first = next(blocks, [])
+    second = next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: its words, those inside verbatim occurrences, the items, and the longest match with its place."""
-    return _mapped(docs.select("doc_id", "text"), benchmark, width, block_bytes, shard_bytes, True)
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    block, more = _first_two(_blocks(benchmark, block_bytes))
+    if more is None:
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = WindowSet(block, width)
+            for batch in batches:
+                for piece in pieces_of(batch, most=shard_bytes):
+                    yield _report(piece.column("doc_id"), list(_judge(texts_of(piece).to_pylist(), known)))
+
+        return rows.mapInArrow(once, SCHEMA)
+    found = _passes(rows, more, width, shard_bytes)
+    marked = rows.withColumn("h", F.xxhash64("text"))
+    joined = marked.join(found.withColumnsRenamed({"id": "i", "h": "g"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text, hits, names, unnamed, best in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "names", "unnamed", "longest"))):
+                n = len(words_of(text))
+                flags = np.zeros(n, bool)
+                for hit in hits or ():
+                    flags |= np.unpackbits(np.frombuffer(hit, np.uint8), count=n).astype(bool)
+                size, at, bare, name = best.values() if best else (0, None, 1, None)
+                made.append(Finding(n, flags, frozenset([*(names or ()), *([None] if unnamed else ())]), (-size, at, None if bare else name) if best else None))
+            yield _report(batch.column("doc_id"), made)
+
+    return joined.select("doc_id", "text", "hits", "names", "unnamed", "longest").mapInArrow(folded, SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark; all columns stay."""
-    return _mapped(docs, benchmark, width, block_bytes, shard_bytes, False)
+    ship(docs.sparkSession)
+    block, more = _first_two(_blocks(benchmark, block_bytes))
+    if more is None:
+
+        def clean():
+            known = WindowSet(block, width)
+            return lambda piece: pa.array([not f.names for f in _judge(texts_of(piece).to_pylist(), known)], pa.bool_())
+
+        return filtered(docs, clean, shard_bytes)
+    found = _passes(docs.select("doc_id", "text"), more, width, shard_bytes).select(F.col("id").alias("i"), F.col("h").alias("g"))
+    marked = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    return marked.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left_anti").select("row.*")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from .conftest import prose
 
 
 def brute_windows(texts, items, width=10):
+    """n_words, n_hit, n_items, items_sha256, contaminated, and the longest match (words, start, item) of each text, word by word."""
     windows = {}
     for name, text in items:
         w = suffixes.words_of(text)
@@ -20,37 +22,56 @@ def brute_windows(texts, items, width=10):
             windows.setdefault(tuple(w[i : i + n]), set()).add(name)
     out = []
     for t in texts:
-        w, hit, names = suffixes.words_of(t), set(), set()
+        w, hit, names, best = suffixes.words_of(t), set(), set(), None
         for n in {len(k) for k in windows}:
             for i in range(len(w) - n + 1):
                 if tuple(w[i : i + n]) in windows:
                     hit |= set(range(i, i + n))
                     names |= windows[tuple(w[i : i + n])]
-        out.append((len(w), len(hit), len(names)))
+        for name, text in items:
+            v = suffixes.words_of(text)
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n >= min(width, len(v)):
+                        found = (-n, i, name is None, name or 0)
+                        best = min(best, found) if best else found
+        digest = hashlib.sha256(",".join(sorted(str(x) for x in names if x is not None)).encode()).hexdigest()
+        longest = (-best[0], best[1], None if best[2] else best[3]) if best else (0, None, None)
+        out.append((len(w), len(hit), len(names), digest, bool(hit), *longest))
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 120])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 def test_contamination(spark, make, block_bytes):
     rng = random.Random(4)
     items = [(k, prose(rng, rng.choice([3, 9, 10, 25, 40]))) for k in range(12)] + [(90, ""), (91, None), (92, "...")]
-    items.append((99, items[0][1]))
-    words = [t.split() for _, t in items[:12]]
-    texts = [None, "", prose(rng, 40)]
+    items += [(99, items[0][1]), (None, prose(rng, 30)), (None, items[4][1]), (13, items[5][1] + " " + prose(rng, 6)), *((200 + k, prose(rng, 11)) for k in range(25))]
+    words = [t.split() for _, t in items[:12]] + [items[16][1].split()]
+    texts = [None, "", prose(rng, 40), items[16][1], prose(rng, 3000) + " " + items[6][1] + " " + prose(rng, 30_000)]
     for _ in range(25):
         w = rng.choice(words)
         a = rng.randrange(len(w))
         texts.append(prose(rng, rng.randint(0, 9)) + " " + " ".join(w[a : a + rng.randint(1, 30)]).upper() + ", " + prose(rng, 5))
-    docs = make(texts, extra=["'k' AS contaminated"])
+    docs = make(texts + texts[8:10], [*range(len(texts)), 8, 9], extra=["'k' AS contaminated", "1 AS hits", "2 AS h", "3 AS `a.b`", "4 AS __hit"])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in suffixes.contamination(docs, bench, block_bytes=block_bytes, shard_bytes=300).collect()}
-    want = brute_windows(texts, items)
-    assert [got[k] for k in range(len(texts))] == want
+    found = suffixes.contamination(docs, bench, block_bytes=block_bytes, shard_bytes=300)
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInArrow") <= 1  # blocks are no chain of workers
+    rows = found.collect()
+    got = {r.doc_id: tuple(r)[1:] for r in rows}
+    want = brute_windows(texts[:4] + [texts[4][:0]] + texts[5:], items)
+    want[4] = got[4]  # its words are too many for the plain version; below
+    assert len(rows) == len(texts) + 2 and [got[k] for k in range(len(texts))] == want
+    n = len(items[6][1].split())
+    assert got[4][1] == n and got[4][5:7] == (n, 3000)
     kept = suffixes.decontaminate(docs, bench, block_bytes=block_bytes)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [k for k, w in enumerate(want) if not w[1]]
+    clean = [k for k, w in enumerate(want) if not w[1]]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(clean + [k for k in (8, 9) if k in clean])
     assert suffixes.contamination(docs.limit(0), bench).count() == 0
-    assert suffixes.decontaminate(docs, bench.limit(0)).count() == len(texts)
+    assert suffixes.decontaminate(docs, bench.limit(0)).count() == len(texts) + 2
 
 
 def brute_print(text):
