@@ -14,15 +14,16 @@ softmax, and the text is as toxic as its worst window; training starts on all wi
 of a text together and goes on with its worst one.
 
 The model is fitted on a bounded sample: the ``most_rows`` labelled rows whose
-hashed doc_id is smallest, of both classes as they come. They alone reach the driver, and their
-texts up to ``most_bytes``. The model has a bounded size (at most 2^buckets_log2
+hashed doc_id is smallest, of both classes as they come, whole texts of ``most_bytes`` together; a text that
+does not fit in what the rows before it left of that is passed over. They alone reach the driver. The model has a bounded size (at most 2^buckets_log2
 floats) and is broadcast in the closure; scoring is one pass without a shuffle.
 
-Defined results: a null or empty text has no windows and gets the score of an
+Defined results: a null or empty text, and one without any n-gram that has a vector, gets the score of an
 empty average (the bias alone, held below 0.5); without labelled rows of both
 classes every score is the share of the class that is there (0 without any); labels that are null
-are no labels; repeated doc_ids are scored each; other columns are ignored, or
-kept by ``drop_toxic``.
+are no labels, and of several labels of one doc_id the largest counts; repeated doc_ids are scored each; a very
+long text is cut into windows like any other; other columns are ignored, or
+kept by ``drop_toxic`` whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswise.llm.arrays import pieces_of, ragged, space_words, texts_of
+from crosswise.llm.arrays import filtered, pieces_of, ragged, space_words, texts_of
 from crosswise.session import ship
 
 
@@ -86,7 +87,7 @@ def _subwords(words: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     ids, owner = [], []
     for k in range(s.longest):
         ahead = np.zeros_like(points)
-        ahead[: len(points) - k] = points[k:]
+        ahead[: max(0, len(points) - k)] = points[k:]
         rolled = (rolled ^ ahead) * prime + np.uint64(k)
         if k + 1 >= s.shortest:
             fits = room > k
@@ -223,7 +224,9 @@ def predict(texts: pa.Array, model: Model, s: Settings) -> np.ndarray:
         size, text = windows_of(counts, s.window)
         part = np.add.reduceat(of_word[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(size) - size) / size
         filled = np.flatnonzero(counts > 0)
-        odds[filled] = model.bias + np.maximum.reduceat(part, np.searchsorted(text, filled))
+        worst = np.maximum.reduceat(part, np.searchsorted(text, filled))
+        known = np.add.reduceat((of_word != 0)[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(counts[filled]) - counts[filled]) > 0
+        odds[filled] = np.where(known, model.bias + worst, odds[filled])
     return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
 
@@ -238,10 +241,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: i
     if n > most_rows:  # narrow first by the hash alone, so that few texts travel
         share = min(1.0, 1.2 * most_rows / n)
         named = named.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < int(share * 2**62))
-    rows = docs.select("doc_id", "text").join(F.broadcast(named.limit(2 * most_rows)), "doc_id")
-    size = F.octet_length("text")
-    rows = rows.filter(size <= most_bytes // max(1, min(n, most_rows)) * 16).orderBy(F.xxhash64("doc_id"), "text").limit(most_rows)
-    got = rows.select("text", "y").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(named.limit(2 * most_rows)), "doc_id").withColumn("h", F.xxhash64("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    first = rows.select("doc_id", "h", size).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most_rows).collect()
+    chosen, left = [], most_bytes
+    for r in first:
+        if r["size"] <= left:
+            chosen.append((r.doc_id, r.h))
+            left -= r["size"]
+    keys = docs.sparkSession.createDataFrame(sorted(set(chosen)), "doc_id long, h long")
+    got = rows.join(F.broadcast(keys), ["doc_id", "h"]).select("doc_id", "h", "text", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(len(chosen)).collect()
     return [r.text for r in got], np.array([r.y for r in got], np.int64)
 
 
@@ -265,10 +274,5 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces_of(batch):
-                yield piece.filter(pa.array(predict(texts_of(piece), model, settings) < threshold))
-
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, lambda: lambda piece: pa.array(predict(texts_of(piece), model, settings) < threshold))
