@@ -16,14 +16,15 @@ segment has none and another has one at most. So a pair meets
 
 Candidates are verified by counting differing bits in the join itself, and only
 links come out. Keys are made for distinct fingerprints, so thousands of copies count as
-one. A key with very many fingerprints is not joined row by row: its two sides are
+one. A key with very many fingerprints on either side is not joined row by row: its two sides are
 cut into blocks, every pair of blocks is compared in one bounded task, and each gives
 only a spanning forest of its links. No link is lost, since components need no more.
+(How many a key lists is told from a sixteenth of the fingerprints, as it only chooses between two ways to the same links.)
 
 Defined results: a null or empty text has no words and fingerprint zero, linked
 like any other; null doc_ids take part but a component is named by its smallest
-non-null id; repeated rows and ties fall together; an empty table gives no rows;
-other columns are ignored, or kept by ``drop_near_duplicates``.
+non-null id; repeated rows and ties fall together; a very long text is hashed in runs of 65,536 shingles; an
+empty table gives no rows; other columns are ignored, or kept by ``drop_near_duplicates`` whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosswise.llm.arrays import pieces_of, space_words, texts_of
+from crosswise.llm.arrays import pieces_of, space_words, texts_of, whole_row
 from crosswise.operators.components import connected_components
 from crosswise.session import ship, stage
 
@@ -184,32 +185,39 @@ def _forest(errors: int):
     return run
 
 
-def links(prints: DataFrame, errors: int = 3, hot: int = 512) -> DataFrame:
+def links(prints: DataFrame, errors: int = 3, hot: int = 512, block: int = 2048) -> DataFrame:
     """``prints(fp)``, distinct, -> links (u, v) whose components are those of all pairs that differ in ``errors`` bits at most.
 
-    Keys of up to ``hot`` fingerprints on the side of single keys give all their links, larger ones a forest for each pair of blocks.
+    Keys of up to ``hot`` fingerprints on the side of single keys, and about sixteen times as many on the listing side,
+    give all their links, larger ones a forest for each pair of blocks.
     """
     if errors > 3:
         raise ValueError("the tables hold for three errors at most")
     ship(prints.sparkSession)
     single, listed = _keyed(prints, False, "b"), _keyed(prints, True, "a")
-    crowded = stage(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "hot-keys")
+    some = _keyed(prints.filter(F.pmod(F.xxhash64("fp"), F.lit(16)) == 0), True, "a")
+    ones = single.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("m"))
+    many = some.groupBy("key").agg(F.lit(0).cast("long").alias("n"), (F.count(F.lit(1)) * 16).alias("m"))
+    crowded = ones.filter(F.col("n") > hot).unionAll(many.filter(F.col("m") > 16 * hot)).groupBy("key").agg(F.max("n").alias("n"), F.max("m").alias("m"))
+    crowded = stage(crowded, "hot-keys")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= errors
     if not crowded.head(1):
         return listed.join(single, "key").filter((F.col("a") < F.col("b")) & near).select(F.col("a").alias("u"), F.col("b").alias("v"))
     plain = listed.join(crowded, "key", "left_anti").join(single.join(crowded, "key", "left_anti"), "key")
     found = plain.filter((F.col("a") < F.col("b")) & near).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    sized = crowded.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int"))
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    lefts = listed.join(sized, "key").select("key", block("a").alias("i"), other.alias("j"), "a")
-    rights = single.join(sized, "key").select("key", other.alias("i"), block("b").alias("j"), "b")
+    # A key's listing side has about six times its single side, and what the sample told.
+    blocks = lambda c: F.greatest(F.ceil(c / block), F.lit(1)).cast("int")
+    sized = crowded.select("key", blocks(F.greatest("m", F.col("n") * 6)).alias("lefts"), blocks(F.col("n")).alias("rights"))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = listed.join(sized, "key").select("key", own("a", "lefts").alias("i"), every("rights").alias("j"), "a")
+    rights = single.join(sized, "key").select("key", every("lefts").alias("i"), own("b", "rights").alias("j"), "b")
     keys = ("key", "i", "j")
     forests = lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(_forest(errors), "u long, v long")
     return found.unionAll(forests)
 
 
-def _components(docs: DataFrame, errors: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+def fingerprint_groups(docs: DataFrame, errors: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """The rows' (doc_id, h, fp), and for each fingerprint its component's root."""
     rows = stage(simhash(docs, shingle), "simhash")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
@@ -221,7 +229,7 @@ def _components(docs: DataFrame, errors: int, shingle: int) -> tuple[DataFrame,
 
 def near_duplicates(docs: DataFrame, errors: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every row."""
-    rows, whole = _components(docs, errors, shingle)
+    rows, whole = fingerprint_groups(docs, errors, shingle)
     named = whole.join(whole.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return rows.select("doc_id", "fp").join(named, "fp")
 
@@ -231,7 +239,7 @@ def drop_near_duplicates(docs: DataFrame, errors: int = 3, shingle: int = 3) ->
 
     Rows alike in doc_id and text are one document.
     """
-    rows, whole = _components(docs, errors, shingle)
+    rows, whole = fingerprint_groups(docs, errors, shingle)
     return keep_first(docs, rows, whole, "fp")
 
 
@@ -240,13 +248,12 @@ def keep_first(docs: DataFrame, rows: DataFrame, whole: DataFrame, node: str) ->
     order = (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("h"))
     first = rows.groupBy(node).agg(F.min(F.struct(*order)).alias("o"))
     kept = first.join(whole, node).groupBy("root").agg(F.min("o").alias("o"))
-    kept = stage(kept.select(F.col("o").getField("col1").alias("none"), F.col("o").getField("col2").alias("id"), F.col("o").getField("h").alias("h")), "kept")
-    marks = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")]
-    names = ["__none", "__id", "__h"]
-    marked = docs.withColumns(dict(zip(names, marks)))
-    out = marked.join(kept, (marked["__none"] == kept["none"]) & (marked["__id"] == kept["id"]) & (marked["__h"] == kept["h"]), "left_semi")
+    names = ["none", "id", "h"]
+    kept = stage(kept.select("o.*").toDF(*names), "kept")
+    mine = docs.select(whole_row(docs), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
+    out = mine.join(kept, names, "left_semi")
     repeated = rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head(1)
     if repeated:
         nth = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
-        out = out.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    return out.drop(*names)
+        out = out.withColumn("nth", nth).filter("nth = 1")
+    return out.select("row.*")

@@ -3,8 +3,11 @@
 Two texts are alike if their sets of five-word shingles (of lower-cased words)
 have a Jaccard similarity of ``least`` or more; documents that such links join are one group.
 
-Candidates share one of 24 bands of five MinHash values each. A pair at 0.8 misses
-all of them with a chance of 7 in 100,000, closer pairs with less; no other cut is made. Every
+Candidates come from operator 9 first: five-word SimHash fingerprints grouped through Golay keys, each text of a group being
+checked against the group's first. But a pair at 0.8 differs in about ten bits of 64, and Golay keys for so
+many errors would list most of the code, so three errors alone leave six of seven such pairs apart. Therefore texts
+that share one of 24 bands of five MinHash values are candidates too. A pair at 0.8 misses
+all bands with a chance of 7 in 100,000, closer pairs with less; no other cut is made. Every
 candidate link is then checked on the sets themselves before grouping.
 
 A key of up to ``hot`` texts gives all its pairs. In a larger one each text is first
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswise.llm.arrays import pieces_of, space_words, texts_of
-from crosswise.llm.fuzzy import keep_first
+from crosswise.llm.fuzzy import fingerprint_groups, keep_first
 from crosswise.operators.components import connected_components
 from crosswise.session import discard, ship, stage
 
@@ -141,6 +144,14 @@ def _block_links(least: float):
     return run
 
 
+def _fuzzy_pairs(docs: DataFrame, shingle: int) -> DataFrame:
+    """Each text with the first text of its group by operator 9."""
+    rows, whole = fingerprint_groups(docs, 3, shingle)
+    texts = stage(rows.join(whole.select("fp", "root"), "fp").groupBy("h").agg(F.min("root").alias("root")), "fuzzy-texts")
+    first = texts.groupBy("root").agg(F.min("h").alias("low"))
+    return texts.join(first, "root").filter("low < h").select(F.col("low").alias("u"), F.col("h").alias("v"))
+
+
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     roots = connected_components(links)
     return nodes.join(roots, nodes.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("root"))
@@ -158,8 +169,9 @@ def groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, hot: int = 32,
     some, many = shared.filter(F.col("n") <= hot), shared.filter(F.col("n") > hot)
     pairs = some.select("key", F.col("h").alias("u")).join(some.select("key", F.col("h").alias("v")), "key").filter("u < v").select("u", "v")
     stars = many.filter("low < h").select(F.col("low").alias("u"), F.col("h").alias("v"))
-    pairs = stage(pairs.unionAll(stars).distinct(), "resembling")
-    nodes = stage(shared.select("h").distinct(), "resembling-texts")
+    found = pairs.unionAll(stars).unionAll(_fuzzy_pairs(docs, shingle))
+    pairs = stage(found.distinct(), "resembling")
+    nodes = stage(shared.select("h").unionAll(pairs.select("u")).unionAll(pairs.select("v")).distinct(), "resembling-texts")
     asked = texts.join(nodes, "h", "left_semi").select("h", "doc_id")
     sets = stage(_sets(docs, asked, shingle), "shingle-sets")
     links = stage(_checked(pairs, sets, least), "resembling-links")
