@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswise.llm.arrays import pieces_of, space_words, texts_of
+from crosswise.llm.arrays import pieces_of, space_words, texts_of, trim
 from crosswise.session import ship, stage
 
 END = np.uint64(0x9D5C1F0A3B7E2468)
@@ -125,7 +125,7 @@ class Options:
     probes: int = 6
     share: float = 0.15
     bucket_tokens: int = 2_000_000
-    batch_tokens: int = 2_000_000
+    batch_tokens: int = 1_500_000
     broadcast_bytes: int = 16 << 20
     broadcast_text: int = 64 << 20
 
@@ -356,6 +356,8 @@ def _partitioned_scores(rows: DataFrame, buckets: int, o: Options) -> tuple[Data
                 tokens, sizes = hashed_tokens(texts_of(own))
                 weight = own.column("trains").to_numpy(zero_copy_only=False).astype(np.float64)
                 made = [(number, *row) for row in _by_bucket(_counted(tokens, sizes, weight), buckets)]
+                del own, tokens
+                trim()
                 for at in range(0, len(made), 256):
                     yield pa.record_batch([pa.array(x) for x in zip(*made[at : at + 256])], names=["batch", "bucket", "kind", "n", "body"])
 
@@ -365,11 +367,15 @@ def _partitioned_scores(rows: DataFrame, buckets: int, o: Options) -> tuple[Data
         parts = lambda: ((kind, *_keys_in(n, body)) for kind, n, body in zip(*(columns[c] for c in ("kind", "n", "body"))))
         own = _segment(parts(), o)
         block = Block(of, [(own["bits"], own["words"], own["counts"])], buckets)
+        del own
         made = [_press(block.level(keys, o.probes).astype(np.uint8) if kind else block.count(keys)) for kind, keys, _ in parts()]
+        tokens, distinct = int(block.counts.sum()), len(block.words)
+        del block
+        trim()
         return pa.table(
             [pa.array(x, t) for x, t in (
                 ([*columns["batch"], None], pa.int64()), ([of] * (len(made) + 1), pa.int64()), ([*columns["kind"], 2], pa.int64()), ([*columns["n"], 0], pa.int64()),
-                ([*made, None], pa.binary()), ([None] * len(made) + [own["tokens"]], pa.int64()), ([None] * len(made) + [own["distinct"]], pa.int64()),
+                ([*made, None], pa.binary()), ([None] * len(made) + [tokens], pa.int64()), ([None] * len(made) + [distinct], pa.int64()),
             )],
             names=["batch", "bucket", "kind", "n", "body", "tokens", "distinct"],
         )
@@ -390,6 +396,7 @@ def _partitioned_scores(rows: DataFrame, buckets: int, o: Options) -> tuple[Data
             levels = np.zeros(len(tokens), np.int64)
             levels[inner] = level[np.unique(pair[inner], return_inverse=True)[1]]
             made.append(scored_rows(own.column("doc_id"), sizes, count[np.unique(tokens, return_inverse=True)[1]], levels, totals, o))
+        trim()
         if not made:
             return pa.table({name: pa.array([], pa.float64() if "score" in name else pa.int64()) for name in (x.split()[0] for x in SCORED.split(", "))})
         return pa.Table.from_batches(made)
