@@ -159,6 +159,12 @@ def _sum_by(key: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(key, rows[:, d], n) for d in range(rows.shape[1])], axis=1)
 
 
+def _worst(odds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The window of largest odds (the last of equals) of each text, whose windows begin at ``first``."""
+    most = np.repeat(np.maximum.reduceat(odds, first), np.diff(np.append(first, len(odds))))
+    return np.maximum.reduceat(np.where(odds == most, np.arange(len(odds)), -1), first)
+
+
 def fit(texts: list[str | None], labels: np.ndarray, s: Settings) -> Model:
     """Train embeddings and softmax jointly.
 
@@ -176,38 +182,44 @@ def fit(texts: list[str | None], labels: np.ndarray, s: Settings) -> Model:
     kept = telling(word, counts, labels, gram, grams, s)
     buckets = np.flatnonzero(kept)
     mine = kept[gram]
-    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), grams)[mine]
+    own = np.repeat(np.arange(len(grams), dtype=np.int32), grams)[mine]
     gram = np.searchsorted(buckets, gram[mine])
-    every, grams = grams, np.bincount(of_word, minlength=len(grams))
+    every, grams = grams, np.bincount(own, minlength=len(grams))
     size, text = windows_of(counts, s.window)
     spot = np.repeat(np.arange(len(size)), size)
     told = np.flatnonzero(grams[word] > 0)  # n-grams without a vector of their own have a zero vector
-    n = grams[word[told]]
-    member = gram[ragged((np.cumsum(grams) - grams)[word[told]], n)]
-    window = np.repeat(spot[told], n)
-    share = np.repeat(1.0 / (every[word[told]] * size[spot[told]]), n)
+    spoken, word = np.unique(word[told], return_inverse=True)
+    spot, part = spot[told], 1.0 / size[spot[told], None]
+    held = np.bincount(spot, minlength=len(size))
+    begin = np.cumsum(held) - held
+    # Distinct words as means of their n-grams, then windows as means of their words.
+    n = grams[spoken]
+    member = gram[ragged((np.cumsum(grams) - grams)[spoken], n)]
+    of_word = np.repeat(np.arange(len(spoken)), n)
+    share = np.repeat(1.0 / every[spoken], n)[:, None]
     rng = np.random.default_rng(s.seed)
     table = rng.uniform(-0.1, 0.1, (len(buckets), s.dim))
     out, bias = rng.uniform(-0.1, 0.1, (s.dim, 2)), np.log(np.array([1 - toxic, toxic]))
     goal = np.eye(2)[labels]
     first = np.searchsorted(text, np.arange(len(counts)))
-    last = np.concatenate((first[1:], [len(text)])) - 1
     adam = Adam([table, out, bias], s.rate)
     for step in range(s.warm_steps + s.steps):
-        hidden = _sum_by(window, table[member] * share[:, None], len(size))
+        vectors = _sum_by(of_word, table[member] * share, len(spoken))
+        hidden = _sum_by(spot, vectors[word] * part, len(size))
         if step < s.warm_steps:
             pooled = _sum_by(text, hidden, len(counts))
         else:
-            worst = np.lexsort((hidden @ (out[:, 1] - out[:, 0]), text))[last]
+            worst = _worst(hidden @ (out[:, 1] - out[:, 0]), first)
             pooled = hidden[worst]
         d = (_softmax(pooled, out, bias) - goal) / len(goal)
         back = d @ out.T
         if step < s.warm_steps:
-            d_hidden = back[text]
-        else:
-            d_hidden = np.zeros_like(hidden)
-            d_hidden[worst] = back
-        adam.step([_sum_by(member, d_hidden[window] * share[:, None], len(buckets)), pooled.T @ d, d.sum(axis=0)])
+            some, d_hidden = slice(None), back[text[spot]]
+        else:  # only the worst windows' words are to blame
+            some = ragged(begin[worst], held[worst])
+            d_hidden = np.repeat(back, held[worst], axis=0)
+        d_vectors = _sum_by(word[some], d_hidden * part[some], len(spoken))
+        adam.step([_sum_by(member, d_vectors[of_word] * share, len(buckets)), pooled.T @ d, d.sum(axis=0)])
     return Model(buckets, table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
