@@ -1,11 +1,11 @@
 """Homomorphic multiset hash of paragraphs (operator 6), in DataFrame functions alone.
 
 A text is the multiset of its pieces (paragraphs, cut further after the marks that
-end sentences and clauses; the marks stay with them). Every piece hashes to a wide
-vector, and a text's fingerprint is the sum of its pieces' vectors:
+end sentences and clauses; the marks stay with them: many texts are one paragraph, of which whole paragraphs tell nothing).
+Every piece hashes to a wide vector, each long of it under a seed of its own, and a text's fingerprint is the sum of its pieces' vectors:
 
 * 4 identity lanes, each a 32-bit hash, summed modulo 2^32;
-* 126 likeness lanes, each a hash bit, summed modulo 2^20; and the number of pieces.
+* 128 likeness lanes, each a hash bit, summed modulo 2^30; and the number of pieces.
 
 Sums make it independent of order and homomorphic: ``added`` and ``removed``
 insert and delete a text's pieces without the rest of the text. Equal multisets
@@ -13,19 +13,20 @@ have equal lanes. With a set bit read as +1 and a clear one as -1, the inner pro
 texts' likeness lanes estimates how many pieces they share, so their cosine, cut
 at 0, is the likeness (standard error about 0.09); equal fingerprints have 1.
 
-Three likeness lanes of 21 bits share a long, so one addition serves three. Runs of up to
+Two likeness lanes of 31 bits share a long, so one addition serves both. Runs of up to
 127 pieces are summed in lanes of 8 bits first, eight to a long, and then widened.
 
 The next document in ascending doc_id order is found without a global window:
-ids fall into ranges of about equal row counts, each range's first row also goes to the
+rows fall into ranges of (doc_id, text hash) between quantiles of a sample of keys, so ranges are about equal
+wherever the ids lie; each range's first row also goes to the
 range before it, as a guest (the very first one to the last range), and ``lead`` runs
 inside ranges. Texts are shuffled once. Ranges number 65,536 at most, so the
 table of their first rows is bounded and broadcast.
 
 Defined results: a null text is empty and has one empty piece; null doc_ids come
 first; equal doc_ids are ordered by text hash, and rows alike in both stand side
-by side; a lone row is its own next; an empty table gives no rows; other columns
-are ignored. Texts of over a million pieces keep exact identity lanes; their likeness wraps.
+by side, in one range; a lone row is its own next; a very long text has the same lanes, which hold 2^30 pieces
+without wrapping; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +34,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashes of a piece for identity (two lanes each) and for likeness (63 lanes each).
+#: Hashes of a piece for identity (two lanes each) and for likeness (64 lanes each).
 IDENTITY, LIKENESS = 2, 2
-PACKED = 21 * LIKENESS
-LANES = 63 * LIKENESS
+PACKED = 32 * LIKENESS
+LANES = 64 * LIKENESS
 #: After a line break or a mark that ends a sentence or clause; a mark and a line break after it are one end.
 PIECE = r"(?<=\n)|(?<=[.,;:!?])(?!\n)"
-ONES = 1 | 1 << 21 | 1 << 42
-KEPT = ONES * 0xFFFFF
+ONES = 1 | 1 << 31
+KEPT = ONES * 0x3FFFFFFF
 LOW = 0xFFFFFFFF
+LEAST = -(1 << 63)
 #: The lowest bit of each of a long's eight 8-bit lanes, and how many pieces fit them without a carry into the sign.
 NARROW, RUN = 0x0101010101010101, 127
 
@@ -53,10 +55,12 @@ def _folded(total: Column, more: Column, sign: int) -> Column:
         a, b = F.get(total, k), F.get(more, k)
         if k < 2 * IDENTITY:
             out.append((a + b if sign > 0 else a + F.lit(LOW + 1) - b).bitwiseAND(F.lit(LOW)))
+        elif k == 2 * IDENTITY + PACKED:
+            out.append(a + b if sign > 0 else a - b)
         elif sign > 0:
             out.append((a + b).bitwiseAND(F.lit(KEPT)))
         else:
-            out.append((a.bitwiseOR(F.lit(ONES << 20)) - b).bitwiseAND(F.lit(KEPT)))
+            out.append((a.bitwiseOR(F.lit(ONES << 30)) - b).bitwiseAND(F.lit(KEPT)))
     return F.array(*out)
 
 
@@ -80,7 +84,7 @@ def fingerprint(text: Column, piece: str = PIECE) -> Column:
     """The lanes of a text as array<bigint>: identity, packed likeness, number of pieces."""
     hashes = F.transform(
         F.split(F.coalesce(text, F.lit("")), piece),
-        lambda p: F.array(*[F.xxhash64(p, F.lit(k)) for k in range(IDENTITY + LIKENESS)]),
+        lambda p: F.array(*[F.xxhash64(F.lit(k), p) for k in range(IDENTITY + LIKENESS)]),
     )
 
     longs = 2 * IDENTITY + 8 * LIKENESS
@@ -97,7 +101,7 @@ def fingerprint(text: Column, piece: str = PIECE) -> Column:
 
         def lanes(total: Column) -> Column:
             bit = lambda hash_, b: F.shiftright(F.get(total, 2 * IDENTITY + 8 * hash_ + b % 8), 8 * (b // 8)).bitwiseAND(F.lit(0xFF))
-            packed = [bit(x, m) + F.shiftleft(bit(x, m + 21), 21) + F.shiftleft(bit(x, m + 42), 42) for x in range(LIKENESS) for m in range(21)]
+            packed = [bit(x, m) + F.shiftleft(bit(x, m + 32), 31) for x in range(LIKENESS) for m in range(32)]
             exact = [F.get(total, k).bitwiseAND(F.lit(LOW)) for k in range(2 * IDENTITY)]
             return F.array(*exact, *packed, F.size(run).cast("long"))
 
@@ -115,8 +119,8 @@ def _signed(lanes: Column) -> Column:
     """Likeness lanes as +1/-1 sums."""
     pieces = F.get(lanes, F.lit(2 * IDENTITY + PACKED))
     packed = F.slice(lanes, 2 * IDENTITY + 1, PACKED)
-    at = lambda shift: F.transform(packed, lambda x: (F.shiftright(x, shift).bitwiseAND(F.lit(0xFFFFF)) * 2 - pieces).cast("double"))
-    return F.concat(at(0), at(21), at(42))
+    at = lambda shift: F.transform(packed, lambda x: (F.shiftright(x, shift).bitwiseAND(F.lit(0x3FFFFFFF)) * 2 - pieces).cast("double"))
+    return F.concat(at(0), at(31))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -131,29 +135,42 @@ def as_text(lanes: Column) -> Column:
     return F.array_join(F.transform(lanes, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, carried: list[str], rows_a_range: int = 1024, cells: int = 4096, most_ranges: int = 65536) -> DataFrame:
+def _range_of(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the sorted bounds are at most (doc_id, h), by binary search in two constant arrays."""
+    if not bounds:
+        return F.lit(0)
+    ids, hs = (F.split(F.lit(",".join(str(b[k]) for b in bounds)), ",").cast("array<bigint>") for k in (0, 1))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def step(at: Column, more: Column) -> Column:
+        id_, h = F.get(ids, at + more - 1), F.get(hs, at + more - 1)
+        return F.when((id_ < key) | ((id_ == key) & (h <= F.col("h"))), at + more).otherwise(at)  # beyond the end: null
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
+def range_bounds(docs: DataFrame, rows_a_range: int, most_ranges: int, a_range: int = 8) -> list[tuple[int, int]]:
+    """Keys (doc_id, h) that cut ``docs`` into about equal ranges, from a sample of ``a_range`` keys for each."""
+    n = docs.count()
+    ranges = min(most_ranges, -(-n // rows_a_range))
+    if ranges < 2:
+        return []
+    share = min(1 << 30, int((1 << 30) * a_range * ranges / n) + 1)
+    some = docs.select("doc_id", "h").filter(F.pmod(F.xxhash64(F.lit(11), "doc_id", "h"), F.lit(1 << 30)) < share)
+    keys = some.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("k")).collect()  # a key that many rows share counts once
+    keys = sorted((LEAST if r.doc_id is None else r.doc_id, r.h, r.k) for r in keys)
+    bounds, at, want = [], 0, sum(k for *_, k in keys) / ranges
+    for id_, h, k in keys:
+        if at >= want * (len(bounds) + 1):
+            bounds.append((id_, h))
+        at += k
+    return bounds
+
+
+def with_next(docs: DataFrame, carried: list[str], rows_a_range: int = 1024, most_ranges: int = 65536) -> DataFrame:
     """``docs(doc_id, h, ...)`` with ``next_<name>`` for each carried column, of the next row by (doc_id, h), the last row's being the first's."""
-    edge = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    low = float(edge.lo if edge.lo is not None else 0)
-    width = max(1.0, (float(edge.hi if edge.hi is not None else 0) - low) / cells)
-    rows_a_range = max(rows_a_range, 2 * (edge.n or 0) // most_ranges + 1, 1)
-    spot = F.coalesce((F.col("doc_id").cast("double") - F.lit(low)) / F.lit(width), F.lit(0.0))
-    cell = F.least(F.floor(spot).cast("int"), F.lit(cells - 1))
-    count = {r.cell: r.n for r in docs.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``cells`` rows
-    bases, parts, at, filled = [], [], 0, 0
-    for k in range(cells):
-        n = count.get(k, 0)
-        if filled and filled + n > rows_a_range:
-            at, filled = at + 1, 0
-        bases.append(at)
-        parts.append(-(-n // rows_a_range) or 1)  # a full cell is cut evenly, small cells share a range
-        if parts[-1] > 1:
-            at += parts[-1]
-        else:
-            filled += n
-    pick = lambda values: F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>"), cell + 1)
-    inside = F.least(F.floor((spot - cell) * pick(parts)).cast("int"), pick(parts) - 1)
-    ranged = docs.withColumn("range", pick(bases) + F.greatest(inside, F.lit(0)))
+    ranged = docs.withColumn("range", _range_of(range_bounds(docs, rows_a_range, most_ranges)))
 
     own = F.struct(F.col("doc_id").alias("id"), F.col("h").alias("h"))
     firsts = ranged.groupBy("range").agg(F.min(own).alias("first"))
