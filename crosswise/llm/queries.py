@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crosswise.llm.bloomlm import bloom_scores
 from crosswise.llm.chunks import repeats
-from crosswise.llm.fixity import HEAD, audit, lay_out, warc_record
+from crosswise.llm.fixity import HEAD, audit, files_for, lay_out, warc_record
 from crosswise.llm.fuzzy import near_duplicates
 from crosswise.llm.interleave import interleave
 from crosswise.llm.multiset import as_text, fingerprints
@@ -15,6 +15,7 @@ from crosswise.llm.packing import pack_documents
 from crosswise.llm.planes import token_planes
 from crosswise.llm.suffixes import contamination
 from crosswise.llm.toxicity import score, train
+from crosswise.session import stage
 
 
 def vocabulary(name: str) -> str:
@@ -34,9 +35,12 @@ def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         "page_id", F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("length"), F.sha2(damaged, 256).alias("other")
     )
-    archive = lay_out(pages)
-    replica = archive.filter(F.coalesce(F.col("page_id") % 389 != 17, F.lit(True))).withColumn("digest", F.col("other"))
-    return audit(archive, replica).select("page_id", "file", "offset", "length", "copies", "status", "expected", "found")
+    pages = stage(pages, "pages")  # both replicas are laid out from their own records, apart from each other
+    files = files_for(pages)
+    archive = lay_out(pages.select("page_id", "digest", "length"), files)
+    kept = pages.filter(F.coalesce(F.col("page_id") % 389 != 17, F.lit(True)))
+    replica = lay_out(kept.select("page_id", F.col("other").alias("digest"), "length"), files)
+    return audit(archive, replica)
 
 
 OP1_SQL = f"""
@@ -48,14 +52,17 @@ l AS (
          sha256(CASE WHEN page_id % 97 = 13 THEN 'X' || substr(body, 2) ELSE body END) AS other, count(*) AS copies
   FROM r GROUP BY ALL),
 p AS (
-  SELECT *, ('0x' || substr(digest, 1, 8))::BIGINT % greatest(1, (SELECT (count(*) + 8191) // 8192 FROM l)) AS file FROM l),
+  SELECT *, ('0x' || substr(sha256(coalesce(page_id::VARCHAR, digest)), 1, 8))::BIGINT % greatest(1, (SELECT (count(*) + 8191) // 8192 FROM r)) AS file FROM l),
 o AS (
   SELECT *, coalesce(sum(length * copies) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, digest
-                                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM p)
-SELECT page_id, file, "offset", length, copies,
-       CASE WHEN page_id % 389 = 17 THEN 'missing' ELSE 'corrupt' END AS status, digest AS expected,
-       CASE WHEN page_id % 389 = 17 THEN NULL ELSE other END AS found
-FROM o WHERE page_id % 389 = 17 OR digest <> other
+                                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+         row_number() OVER (PARTITION BY page_id ORDER BY digest) AS nth, row_number() OVER (PARTITION BY page_id ORDER BY other) AS mth
+  FROM p WHERE true)
+SELECT o.page_id, file, "offset", length, copies,
+       CASE WHEN o.page_id % 389 = 17 THEN 'missing' ELSE 'corrupt' END AS status, digest AS expected,
+       CASE WHEN o.page_id % 389 = 17 THEN NULL ELSE x.other END AS found
+FROM o JOIN (SELECT page_id, mth, other FROM o) x ON o.page_id = x.page_id AND o.nth = x.mth
+WHERE o.page_id % 389 = 17 OR o.page_id % 97 = 13
 """.replace("'" + HEAD + "'", "E'" + HEAD.replace("\r\n", "\\r\\n") + "'")
 
 

@@ -95,10 +95,54 @@ def test_next_document(make, ids):
     h = {t: r for t, r in docs.select("text", F.xxhash64("text")).collect()}
     order = sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]]))
     body = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
-    got = sorted((r.text, r.next_text) for r in multiset.with_next(body, ["text"], rows_a_range=4, cells=8).collect())
+    got = sorted((r.text, r.next_text) for r in multiset.with_next(body, ["text"], rows_a_range=4).collect())
     assert got == sorted((order[k][1], order[(k + 1) % 30][1]) for k in range(30))
 
 
+def test_an_outlying_id_leaves_ranges_even(spark):
+    ids = [*range(4000), 10**17, -(10**18), *[77] * 1500]
+    body = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "doc_id long, h long")
+    bounds = multiset.range_bounds(body, 250, 64)
+    sizes = [r.n for r in body.groupBy(multiset._range_of(bounds).alias("g")).agg(F.count("h").alias("n")).collect()]
+    assert 15 <= len(sizes) <= 24 and max(sizes) < 2 * 250 + 100
+
+
+def brute_lanes(text):
+    """A text's fingerprint, piece by piece: 4 identity lanes, 64 longs of two likeness lanes, and the number of pieces."""
+    import re
+
+    import xxhash
+
+    pieces = re.split(multiset.PIECE, text or "")
+    hashes = [[xxhash.xxh64_intdigest(p.encode(), xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)) for k in range(4)] for p in pieces]
+    out = [sum((h[k] >> shift) & 0xFFFFFFFF for h in hashes) % (1 << 32) for k in (0, 1) for shift in (0, 32)]
+    bits = [[sum(h[k] >> b & 1 for h in hashes) for b in range(64)] for k in (2, 3)]
+    return [*out, *(own[m] + (own[m + 32] << 31) for own in bits for m in range(32)), len(pieces)], [2 * x - len(pieces) for own in bits for x in own]
+
+
+def brute_likeness(a, b):
+    x, y = np.array(a, float), np.array(b, float)
+    return 1.0 if a == b else min(1.0, max(0.0, float(x @ y) / math.sqrt(float(x @ x) * float(y @ y)) if (x @ x) * (y @ y) else 0.0))
+
+
+def test_fingerprints_equal_brute_force(spark, make, tmp_path):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice(["ab", " ", ". ", ",", "\n", "é", "😀", "x!", "c?\n"]) for _ in range(rng.choice([0, 1, 2, 9, 60, 900]))) for _ in range(40)] + [None, None, "", "same. text", "same. text"]
+    make(texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op6_multiset_hash"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    code = lambda lanes: "".join(f"{x:016x}" for x in lanes)
+    for k, text in enumerate(texts):
+        t, after = text or "", texts[(k + 1) % len(texts)] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        (own, a), (other, b), (_, c) = brute_lanes(t), brute_lanes(edited), brute_lanes(after)
+        r = got[k]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (code(own), code(other))
+        assert r.near_edited == pytest.approx(1.0 if own == other else brute_likeness(a, b)) and r.near_next == pytest.approx(1.0 if t == after else brute_likeness(a, c))
+
+
 def test_edited_texts(make, odd):
     docs = make(["abcdef", "xy", ""])
     got = {r.doc_id: r for r in multiset.fingerprints(docs).collect()}
@@ -161,19 +205,50 @@ def record(page, digest, length=100):
 
 
 def test_merkle_audit(spark):
-    rows = [record(k, f"d{k}") for k in range(300)] + [record(None, "n"), record(7, "other"), record(7, "d7"), record(7, "d7")]
-    laid = fixity.lay_out(spark.createDataFrame(rows, "page_id long, digest string, length long"), records_a_file=40)
-    assert laid.count() == 302 and laid.filter("page_id = 7 AND copies = 3").count() == 1
-    assert fixity.audit(laid, laid, 256, 4).count() == 0
-    broken = laid.filter("page_id IS NULL OR page_id <> 5").withColumn("digest", F.when(F.col("page_id").isin(9, 200), "bad").otherwise(F.col("digest")))
-    got = {(r.page_id, r.status) for r in fixity.audit(laid, broken, 256, 4).collect()}
-    assert got == {(5, "missing"), (9, "corrupt"), (200, "corrupt")}
-    assert {r.status for r in fixity.audit(broken, laid, 256, 4).collect()} == {"extra", "corrupt"}
-    assert fixity.audit(laid.limit(0), laid.limit(0)).count() == 0
-    tree = fixity.MerkleTree(laid.select(F.lit(0).alias("replica"), "*"), 256, 4)
+    rows = [record(k, f"d{k}") for k in range(300)] + [record(None, "n"), record(None, "m"), record(7, "other"), record(7, "d7"), record(7, "d7")]
+
+    def laid(some):
+        frame = spark.createDataFrame(some, "page_id long, digest string, length long")
+        return fixity.lay_out(frame, 8)
+
+    def found(a, b):
+        return sorted((r.page_id, r.status, r.copies, r.expected, r.found) for r in fixity.audit(a, b, 256, 4).collect())
+
+    whole = laid(rows)
+    assert whole.count() == 303 and whole.filter("page_id = 7 AND copies = 3").count() == 1
+    assert found(whole, laid(rows)) == []
+    # Each replica is laid out apart: a record that is lost or damaged is one row, whatever moves behind it.
+    lost = laid([r for r in rows if r[0] != 5])
+    assert found(whole, lost) == [(5, "missing", 1, rows[5][1], None)] and found(lost, whole) == [(5, "extra", 1, None, rows[5][1])]
+    bad = [(r[0], "bad" if r[0] in (9, 200) else r[1], 3 if r[0] == 9 else r[2]) for r in rows[:-1] if r[0] != 5]
+    assert found(whole, laid(bad)) == [(5, "missing", 1, rows[5][1], None), (7, "missing", 1, rows[7][1], None), (9, "corrupt", 1, rows[9][1], "bad"), (200, "corrupt", 1, rows[200][1], "bad")]
+    assert fixity.audit(whole.limit(0), whole.limit(0)).count() == 0
+    tree = fixity.MerkleTree(whole.select(F.lit(0).alias("replica"), "*"), 256, 4)
     assert tree.levels[-1].count() == 1
 
 
+def test_warc_records_null_and_extra_columns(spark):
+    df = spark.createDataFrame([(None, None, 1), ("u", None, 2), (None, "é", 3)], "url string, html string, offset int")
+    got = [r.b for r in df.orderBy("offset").select(fixity.warc_record(F.col("url"), F.col("html")).alias("b")).collect()]
+    assert got[0].endswith("URI: \r\nContent-Length: 0\r\n\r\n\r\n\r\n") and "URI: u\r" in got[1] and "Length: 2\r" in got[2]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_files_are_read(spark, tmp_path, packed):
+    import gzip
+
+    bodies = [f"WARC/1.1\r\nWARC-Target-URI: http://x/{k}\r\nContent-Length: {n}\r\n\r\n{'y' * n}\r\n\r\n".encode() for k, n in enumerate((0, 5, 100_000))]
+    stored = [gzip.compress(b) if packed else b for b in bodies]
+    (tmp_path / "a.warc").write_bytes(b"".join(stored))
+    (tmp_path / "b.warc").write_bytes(b"".join(stored[:2]) + stored[2][:50])
+    rows = fixity.read_warc(spark, f"{tmp_path}/*.warc").collect()
+    ends = np.cumsum([0, *map(len, stored)]).tolist()
+    a = sorted((r.offset, r.length, r.uri, r.digest) for r in rows if r.file.endswith("a.warc"))
+    assert a == [(ends[k], len(stored[k]), f"http://x/{k}", hashlib.sha256(b).hexdigest()) for k, b in enumerate(bodies)]
+    b = sorted((r.offset, r.length, r.digest) for r in rows if r.file.endswith("b.warc"))
+    assert b[:2] == [(x[0], x[1], x[3]) for x in a[:2]] and b[2][:2] == (ends[2], 50) and b[2][2] != a[2][3]
+
+
 def test_audit_query_equals_its_sql(spark):
     import duckdb
 
