@@ -326,7 +326,7 @@ def _packed_batches(rows: DataFrame, o: Options) -> DataFrame:
 
         held, waiting, batch = [], 0, TaskContext.get().partitionId() << 32
         for rows_ in batches:
-            for piece in pieces_of(rows_):
+            for piece in pieces_of(rows_, most=1 << 20):
                 held.append(piece)
                 waiting += piece.nbytes
                 if waiting > 6 * o.batch_tokens:
