@@ -104,9 +104,14 @@ def looks_like_markush(name: Column) -> Column:
 
 
 def colour_index(value: Column, palette: int = 8) -> Column:
-    """A stable palette index from the folded value's md5; NULL for blank values."""
+    """A stable palette index from the whole md5 of the folded value; NULL for blank values and for none, which are gray."""
     v = blank_to_null(value)
-    return F.when(v.isNotNull(), F.conv(F.substring(F.md5(casefold(v, True)), 25, 8), 16, 10).cast("long") % palette)
+    digits = F.md5(casefold(v, True))
+    # The digest modulo the palette, four hex digits at a time.
+    index = F.lit(0).cast("long")
+    for k in range(8):
+        index = (index * 65536 + F.conv(F.substring(digits, 4 * k + 1, 4), 16, 10).cast("long")) % palette
+    return F.when(v.isNotNull() & (v != "(none)"), index)
 
 
 def rate_text(x: Column) -> Column:

@@ -7,7 +7,7 @@ needed: the smallest k for which the keys of tiers up to k already connect it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswise.functions.text import canonical_name
@@ -45,11 +45,17 @@ def tier_keys(entries: DataFrame) -> DataFrame:
 
 def resolve(entries: DataFrame) -> DataFrame:
     """(ord, cluster_id, match_tier): the smallest ``ord`` of the cluster, and its weakest needed tier (NULL for a lone entry)."""
-    anchored = stage(tier_keys(entries), "tier-keys").withColumn("anchor", F.min("ord").over(Window.partitionBy("doc_id", "tier", "key")))
+    keyed = stage(tier_keys(entries), "tier-keys")
+    # The smallest entry of a key by a partial aggregate; the join then splits a hot key.
+    anchors = stage(keyed.groupBy("doc_id", "tier", "key").agg(F.min("ord").alias("anchor"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "tier-anchors")
+    anchored = keyed.join(anchors, ["doc_id", "tier", "key"])
     edges = stage(anchored.filter("ord <> anchor").select("tier", F.col("ord").alias("u"), F.col("anchor").alias("v")).distinct(), "tier-edges")
     parts = entries.select("ord")
+    roots = None
     for k in range(len(TIERS)):
-        roots = connected_components(edges.filter(F.col("tier") <= k))
+        # A tier starts from the components of the tiers before it.
+        own = edges.filter(F.col("tier") == k).select("u", "v")
+        roots = connected_components(own if roots is None else own.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         parts = parts.join(roots.select(F.col("node").alias("ord"), F.col("root").alias(f"c{k}")), "ord", "left").withColumn(f"c{k}", F.coalesce(f"c{k}", "ord"))
     parts = stage(parts, "tier-parts")
     last = f"c{len(TIERS) - 1}"

@@ -1,21 +1,21 @@
 """Matching of records: 6-axis pairs with greedy assignment, tiered n-way edges with constrained clustering, line join, sweep.
 
 Pairs are made inside a document only, by an equi-join on ``doc_id``. The greedy passes are
-order-dependent, so each document's surviving edges are taken in one total order by one task;
-a document has tens of records, and its edges were thresholded natively before.
+order-dependent: each document's surviving edges are sorted into one total order and folded by a native
+``aggregate``, without Python. A document has tens of records, and its edges were thresholded before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosswise.functions import scores as S
 from crosswise.functions.text import blank_to_null, classes_match, diagnostic_label, step_label
-from crosswise.session import ship
+from crosswise.session import stage
 
 TIER_ORDER = ("provenance", "compound_jaccard", "combined")
 AXES = ("name", "smiles", "reactants", "procedure", "yield", "conditions")
@@ -66,17 +66,18 @@ def pair_scores(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 def assign(pairs: DataFrame, threshold: float = S.MATCH_AT) -> DataFrame:
     """Greedy one-to-one assignment: best composite first, ties by candidate then baseline order."""
 
-    def greedy(edges: pd.DataFrame) -> pd.DataFrame:
-        used_b, used_c, kept = set(), set(), []
-        for row in edges.sort_values(["composite", "c_ord", "b_ord"], ascending=[False, True, True]).itertuples():
-            if row.b_ord not in used_b and row.c_ord not in used_c:
-                used_b.add(row.b_ord)
-                used_c.add(row.c_ord)
-                kept.append(row.Index)
-        return edges.loc[kept]
+    kept = pairs.filter(F.col("composite") >= threshold)
+    edge = F.struct((-F.col("composite")).alias("worst"), "c_ord", "b_ord", "composite")
+    kinds = dict(pairs.dtypes)
+    start = F.expr(f"named_struct('b', cast(array() as array<{kinds['b_ord']}>), 'c', cast(array() as array<{kinds['c_ord']}>), 'x', cast(array() as array<double>))")
 
-    edges = pairs.filter(F.col("composite") >= threshold).select("doc_id", "b_ord", "c_ord", "composite")
-    return edges.groupBy("doc_id").applyInPandas(greedy, edges.schema)
+    def take(done: Column, e: Column) -> Column:
+        used = F.array_contains(done["b"], e["b_ord"]) | F.array_contains(done["c"], e["c_ord"])
+        return F.when(used, done).otherwise(F.struct(F.array_append(done["b"], e["b_ord"]).alias("b"), F.array_append(done["c"], e["c_ord"]).alias("c"), F.array_append(done["x"], e["composite"]).alias("x")))
+
+    won = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(edge)).alias("e")).select("doc_id", F.aggregate("e", start, take).alias("w"))
+    rows = won.select("doc_id", F.explode(F.arrays_zip(F.col("w.b").alias("b_ord"), F.col("w.c").alias("c_ord"), F.col("w.x").alias("composite"))).alias("r"))
+    return rows.select("doc_id", "r.b_ord", "r.c_ord", "r.composite")
 
 
 def match_details(pairs: DataFrame, matches: DataFrame, baseline: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -119,8 +120,8 @@ def label_overlap(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 EDGE_FIELDS = ("ord", "label", "name", "start_line", "end_line", "compound_smiles", "procedure_vector", "reaction_vector")
 
 
-def edges(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
-    """Every pair of different labels of a document that fires at some tier: the strongest, with its own score."""
+def edge_scores(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
+    """Every pair of different labels of a document with what each tier says of it (thresholds and switches have no part in it)."""
     p = _sides(entries, "l", EDGE_FIELDS).join(_sides(entries, "r", EDGE_FIELDS), "doc_id").filter("l_ord < r_ord and l_label <> r_label")
     a, b = (lambda n: F.col(f"l_{n}")), (lambda n: F.col(f"r_{n}"))
     overlap = S.interval_jaccard(a("start_line"), a("end_line"), b("start_line"), b("end_line"))
@@ -133,57 +134,70 @@ def edges(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFr
         (config.w_compound, F.col("sets")),
         (config.w_reaction, S.clamp01(S.cosine(a("reaction_vector"), b("reaction_vector")))),
     ])
-    p = p.withColumn("blend", F.coalesce(blend, F.lit(0.0)))
+    return p.select("doc_id", "l_ord", "r_ord", "l_label", "r_label", "overlap", "sets", F.coalesce(blend, F.lit(0.0)).alias("blend"))
+
+
+def fired(scored: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
+    """The scored pairs that fire at some tier: the strongest, with its own score."""
     fires = [
         F.lit(config.enable_provenance) & F.coalesce(F.col("overlap") >= config.tau_provenance, F.lit(False)),
         F.lit(config.enable_compound_jaccard) & F.coalesce(F.col("sets") >= config.tau_jaccard, F.lit(False)),
         F.lit(config.enable_combined) & (F.col("blend") >= config.tau_combined),
     ]
     tier, score = F.when(fires[0], 0).when(fires[1], 1).when(fires[2], 2), F.when(fires[0], F.col("overlap")).when(fires[1], F.col("sets")).when(fires[2], F.col("blend"))
-    return p.select("doc_id", "l_ord", "r_ord", "l_label", "r_label", tier.alias("tier"), score.alias("score")).filter("tier is not null")
+    return scored.select("doc_id", "l_ord", "r_ord", "l_label", "r_label", tier.alias("tier"), score.alias("score")).filter("tier is not null")
 
 
-def _merge(found: pd.DataFrame) -> pd.DataFrame:
-    """Single linkage, strongest edge first, at most one record per label in a cluster."""
-    root, labels, tier = {}, {}, {}
+def edges(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
+    """Every pair of different labels of a document that fires at some tier: the strongest, with its own score."""
+    return fired(edge_scores(entries, config), config)
 
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
 
-    for e in found.sort_values(["tier", "score", "l_ord", "r_ord"], ascending=[True, False, True, True]).itertuples():
-        a, b = find(e.l_ord), find(e.r_ord)
-        own_a, own_b = labels.setdefault(a, {e.l_label}), labels.setdefault(b, {e.r_label})
-        if a == b or own_a & own_b:
-            continue
-        low, high = min(a, b), max(a, b)
-        root[high] = low
-        labels[low] = own_a | own_b
-        tier[low] = max(e.tier, tier.get(a, 0), tier.get(b, 0))
-    doc = found["doc_id"].iloc[0]
-    rows = [(doc, x, find(x), tier.get(find(x))) for x in sorted(root)]
-    return pd.DataFrame(rows, columns=["doc_id", "ord", "cluster_id", "tier"]).astype({"tier": "Int32"})
+def _merged(found: DataFrame) -> DataFrame:
+    """Single linkage, strongest edge first, at most one record per label in a cluster: (doc_id, ord, cluster_id, tier)."""
+    kinds = dict(found.dtypes)
+    edge = F.struct("tier", (-F.col("score")).alias("weak"), "l_ord", "r_ord", "l_label", "r_label")
+    alone = lambda o, label: F.struct(F.array(o).alias("ords"), F.array(label).alias("labels"), F.lit(None).cast("int").alias("tier"))
+    ends = F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(alone(x["l_ord"], x["l_label"]), alone(x["r_ord"], x["r_label"])))))
 
+    def join(groups: Column, e: Column) -> Column:
+        a = F.get(F.filter(groups, lambda g: F.array_contains(g["ords"], e["l_ord"])), 0)
+        b = F.get(F.filter(groups, lambda g: F.array_contains(g["ords"], e["r_ord"])), 0)
+        both = F.struct(
+            F.concat(a["ords"], b["ords"]).alias("ords"), F.concat(a["labels"], b["labels"]).alias("labels"), F.greatest(e["tier"], a["tier"], b["tier"]).alias("tier")
+        )
+        rest = F.filter(groups, lambda g: ~F.array_contains(g["ords"], e["l_ord"]) & ~F.array_contains(g["ords"], e["r_ord"]))
+        # a cluster holds its own labels, so two records of one cluster overlap as well
+        return F.when(F.arrays_overlap(a["labels"], b["labels"]), groups).otherwise(F.concat(rest, F.array(both)))
 
-def cluster(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
-    """(doc_id, ord, label, cluster_id, match_tier); a record that fires nothing is its own cluster with tier NULL."""
-    ship(entries.sparkSession)
-    merged = edges(entries, config).groupBy("doc_id").applyInPandas(_merge, f"doc_id {dict(entries.dtypes)['doc_id']}, ord long, cluster_id long, tier int")
+    folded = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(edge)).alias("e")).select("doc_id", F.explode(F.aggregate("e", ends, join)).alias("g"))
+    return folded.select("doc_id", F.explode("g.ords").alias("ord"), F.array_min("g.ords").cast(kinds["l_ord"]).alias("cluster_id"), "g.tier")
+
+
+def _named(entries: DataFrame, found: DataFrame) -> DataFrame:
     tier = F.element_at(F.array(*[F.lit(t) for t in TIER_ORDER]), F.col("tier") + 1)
-    return entries.select("doc_id", "ord", "label").join(merged, ["doc_id", "ord"], "left").select(
+    return entries.select("doc_id", "ord", "label").join(_merged(found), ["doc_id", "ord"], "left").select(
         "doc_id", "ord", "label", F.coalesce("cluster_id", "ord").alias("cluster_id"), F.when(F.col("tier").isNotNull(), tier).alias("match_tier")
     )
 
 
+def cluster(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
+    """(doc_id, ord, label, cluster_id, match_tier); a record that fires nothing is its own cluster with tier NULL."""
+    return _named(entries, edges(entries, config))
+
+
 def sweep(entries: DataFrame, field: str, values: list[float], base: S.MatchConfig = S.MatchConfig()) -> DataFrame:
-    """Cluster diagnostics for each value of one threshold, with the change of the cluster count from value to value."""
-    from dataclasses import replace
+    """Cluster diagnostics for each value of one threshold, with the change of the cluster count from value to value.
 
+    Pairs are scored once, unless the values are weights of the score itself.
+    """
     n_labels = entries.select("label").distinct().count()
+    scored = None if field.startswith("w_") else stage(edge_scores(entries, base), "edge-scores")
     out = None
     for value in values:
-        found = cluster(entries, replace(base, **{field: value})).groupBy("doc_id", "cluster_id").agg(F.count(F.lit(1)).alias("size"), F.first("match_tier").alias("tier"))
+        config = replace(base, **{field: value})
+        found = _named(entries, fired(edge_scores(entries, config) if scored is None else scored, config))
+        found = found.groupBy("doc_id", "cluster_id").agg(F.count(F.lit(1)).alias("size"), F.first("match_tier").alias("tier"))
         row = found.agg(
             F.lit(float(value)).alias("tau"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("size") > 1).alias("multi"), F.count_if(F.col("size") == 1).alias("singletons"),
             F.count_if(F.col("size") == n_labels).alias("full"), F.count_if(F.col("size") >= -(-n_labels // 2)).alias("majority"), F.avg("size").alias("mean_size"),

@@ -13,6 +13,7 @@ from crosswise.operators import entities, lines, metrics, reactions
 from crosswise.plans import shapes
 from crosswise.sources import paths
 from crosswise.plans.shapes import REFERENCE, TOTAL_LINES, table
+from crosswise.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +44,7 @@ def _painted(spark, sf_dir):
 def _scores(spark, sf_dir):
     painted = _painted(spark, sf_dir)
     runs = shapes.sections(spark, sf_dir).select("doc_id", "label").distinct()
+    painted = stage(painted, "painted")  # read three times: by the runs, by the reference and for the distinct label pairs
     similar = lines.label_similarity(painted, REFERENCE, shapes.label_vectors(spark, sf_dir))
     return lines.line_scores(painted, runs, TOTAL_LINES, REFERENCE, similar)
 
@@ -91,7 +93,7 @@ models AS (SELECT i.doc_id, i.island, string_agg(DISTINCT s.label, ',' ORDER BY
            FROM islands i JOIN scores s USING (doc_id, line) WHERE NOT s.agree OR s.sim < {THRESHOLD} GROUP BY ALL)
 SELECT doc_id, start_line, end_line, round(avg_sim, 6) AS avg_sim, issue_kind, disagreeing FROM regions JOIN models USING (doc_id, island)""")
 def flag_regions(spark, sf_dir):
-    return rounded(lines.flag_regions(_scores(spark, sf_dir), THRESHOLD), "avg_sim")
+    return rounded(lines.flag_regions(stage(_scores(spark, sf_dir), "line-scores"), THRESHOLD), "avg_sim")
 
 
 @query(f"""WITH {FLAGGED},
@@ -99,7 +101,7 @@ inside AS (SELECT p.doc_id, r.start_line, p.label, p.line_type, count(*) AS n, m
            FROM painted p JOIN regions r ON p.doc_id = r.doc_id AND p.line BETWEEN r.start_line AND r.end_line GROUP BY ALL)
 SELECT doc_id, start_line, label, arg_max(line_type, (n, -first)) AS dominant FROM inside GROUP BY doc_id, start_line, label""")
 def region_dominant(spark, sf_dir):
-    return lines.dominant_values(_painted(spark, sf_dir), lines.flag_regions(_scores(spark, sf_dir), THRESHOLD))
+    return lines.dominant_values(_painted(spark, sf_dir), lines.flag_regions(stage(_scores(spark, sf_dir), "line-scores"), THRESHOLD))
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents")
@@ -303,8 +305,8 @@ def _two_sides(spark, sf_dir):
     return r.filter("label = 'm0'"), r.filter("label <> 'm0'")
 
 
-RECORDS = """records AS (
-  SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS ord, 'm' || (l_suppkey % 3) AS label, lower(p_name) AS name, p_brand AS smiles,
+RECORDS = f"""records AS (
+  SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(shapes.LINE_ORDER)}) AS ord, 'm' || (l_suppkey % 3) AS label, lower(p_name) AS name, p_brand AS smiles,
          [l_returnflag, l_linestatus, p_type] AS rs, list_distinct([l_returnflag, l_linestatus, p_brand, p_type]) AS cs, [l_discount, l_tax, l_quantity / 50] AS v,
          l_discount * 100 AS y, l_quantity AS t, l_tax = 0 AS room, l_tax * 100 AS h,
          CASE l_returnflag WHEN 'R' THEN 'inert' WHEN 'A' THEN 'air' END AS atm, l_returnflag AS sec, l_linestatus AS step, p_type,
@@ -335,24 +337,52 @@ def pair_scores(spark, sf_dir):
     return rounded(pairs, *[f"axis_{k}" for k in reactions.AXES], "composite")
 
 
+#: Greedy assignment as a recursion over each document's sorted pairs: which records are taken so far.
+MATCHED = "RECURSIVE " + PAIRS + f""",
+sorted AS (SELECT doc_id, b_ord, c_ord, composite, row_number() OVER (PARTITION BY doc_id ORDER BY composite DESC, c_ord, b_ord) AS k FROM scored_pairs WHERE composite >= {S.MATCH_AT}),
+fold AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS k, []::BIGINT[] AS bs, []::BIGINT[] AS cs FROM sorted
+  UNION ALL
+  SELECT f.doc_id, s.k, CASE WHEN list_contains(bs, b_ord) OR list_contains(cs, c_ord) THEN bs ELSE list_append(bs, b_ord) END,
+         CASE WHEN list_contains(bs, b_ord) OR list_contains(cs, c_ord) THEN cs ELSE list_append(cs, c_ord) END
+  FROM fold f JOIN sorted s ON f.doc_id = s.doc_id AND s.k = f.k + 1),
+lists AS (SELECT doc_id, arg_max(bs, k) AS bs, arg_max(cs, k) AS cs FROM fold GROUP BY doc_id),
+matched AS (SELECT doc_id, unnest(bs) AS b_ord, unnest(cs) AS c_ord FROM lists)"""
+
+
 def _matched(spark, sf_dir):
     base, other = _two_sides(spark, sf_dir)
-    pairs = reactions.pair_scores(base, other)
+    pairs = stage(reactions.pair_scores(base, other), "pair-scores")  # the pairs are scored once, however often they are read
     return base, other, pairs, reactions.assign(pairs)
 
 
-@query()
+@query(f"WITH {MATCHED} SELECT doc_id, b_ord, c_ord, round(composite::DOUBLE, 6) AS composite FROM matched JOIN scored_pairs USING (doc_id, b_ord, c_ord)")
 def bipartite_match(spark, sf_dir):
     return rounded(_matched(spark, sf_dir)[3], "composite")
 
 
-@query()
+_CLASS = "list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]', ' ', 'g'), ' '), lambda w: w <> ''))"
+_COVERAGE = ", ".join(f"round(avg((axis_{k} IS NOT NULL)::INT), 6) AS coverage_{k}" for k in reactions.AXES)
+
+
+@query(f"""WITH {MATCHED},
+words AS (SELECT doc_id, ord, y, {_CLASS.format("p_type")} AS ws FROM records),
+won AS (SELECT p.*, abs(b.y - c.y) AS dy, (len(b.ws) > 0 AND len(c.ws) > 0 AND (list_has_all(b.ws, c.ws) OR list_has_all(c.ws, b.ws)))::INT AS same
+        FROM matched m JOIN scored_pairs p USING (doc_id, b_ord, c_ord) JOIN words b ON b.doc_id = m.doc_id AND b.ord = m.b_ord JOIN words c ON c.doc_id = m.doc_id AND c.ord = m.c_ord),
+sides AS (SELECT doc_id, count(*) FILTER (label = 'm0') AS nb, count(*) FILTER (label <> 'm0') AS nc FROM records GROUP BY doc_id),
+own AS (SELECT doc_id, count(*) AS tp, round(avg(axis_reactants), 6) AS avg_reactants, round(100.0 * avg((axis_reactants = 1)::INT), 6) AS perfect_reactants_pct,
+               round(avg(dy), 6) AS yield_mae, round(100.0 * avg((dy <= 5)::INT), 6) AS yield_within_5_pct, round(avg(same), 6) AS class_accuracy, round(avg(axis_procedure), 6) AS avg_procedure,
+               {_COVERAGE} FROM won GROUP BY doc_id),
+counted AS (SELECT *, coalesce(tp, 0) AS n, nc - n AS fp, nb - n AS fn, coalesce(n / nullif(n + fp, 0), 0) AS p, coalesce(n / nullif(n + fn, 0), 0) AS r FROM sides LEFT JOIN own USING (doc_id))
+SELECT * EXCLUDE (nb, nc, n, p, r) REPLACE (n AS tp), round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM counted""")
 def match_report(spark, sf_dir):
     base, other, pairs, won = _matched(spark, sf_dir)
-    return reactions.match_report(reactions.match_details(pairs, won, base, other))
+    report = reactions.match_report(reactions.match_details(pairs, won, base, other))
+    return rounded(report, *[c for c, kind in report.dtypes if kind == "double"])
 
 
-@query()
+@query(f"""WITH {MATCHED} SELECT doc_id, b_ord, c_ord, round(axis_name::DOUBLE, 6) AS axis_name FROM scored_pairs p
+WHERE axis_name >= {S.NEAR_MISS[0]} AND axis_name < {S.NEAR_MISS[1]} AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = p.doc_id AND m.b_ord = p.b_ord AND m.c_ord = p.c_ord)""")
 def near_misses(spark, sf_dir):
     _, _, pairs, won = _matched(spark, sf_dir)
     return reactions.near_misses(pairs, won).select("doc_id", "b_ord", "c_ord", F.round("axis_name", 6).alias("axis_name"))
@@ -380,14 +410,42 @@ def cluster_edges(spark, sf_dir):
     return rounded(reactions.edges(shapes.records(spark, sf_dir)).drop("l_label", "r_label"), "score")
 
 
-@query()
+def _clustered(tau: float, name: str = "") -> str:
+    """Constrained single linkage as a recursion over each document's sorted edges: every record with its cluster's smallest record and tier."""
+    return f""",
+edges{name} AS (SELECT doc_id, l_ord, r_ord, CASE WHEN overlap >= {tau} THEN 0 WHEN sets >= 0.85 THEN 1 ELSE 2 END AS tier,
+                CASE WHEN overlap >= {tau} THEN overlap WHEN sets >= 0.85 THEN sets ELSE b END AS score FROM blend WHERE overlap >= {tau} OR sets >= 0.85 OR b >= 0.7),
+sorted{name} AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier, score DESC, l_ord, r_ord) AS k FROM edges{name}),
+fold{name} AS (
+  SELECT doc_id, 0::BIGINT AS k, list({{'o': ord, 'l': label, 'c': ord, 't': NULL::INT}}) AS st FROM records WHERE doc_id IN (SELECT doc_id FROM edges{name}) GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN list_has_any(list_transform(list_filter(st, lambda x: x.c = ca), lambda x: x.l), list_transform(list_filter(st, lambda x: x.c = cb), lambda x: x.l)) THEN st
+    ELSE list_transform(st, lambda x: CASE WHEN x.c = ca OR x.c = cb THEN {{'o': x.o, 'l': x.l, 'c': least(ca, cb), 't': greatest(tier, ta, tb)}} ELSE x END) END
+  FROM (SELECT f.doc_id, s.k, st, s.tier, list_filter(st, lambda x: x.o = s.l_ord)[1].c AS ca, list_filter(st, lambda x: x.o = s.r_ord)[1].c AS cb,
+               list_filter(st, lambda x: x.o = s.l_ord)[1].t AS ta, list_filter(st, lambda x: x.o = s.r_ord)[1].t AS tb
+        FROM fold{name} f JOIN sorted{name} s ON f.doc_id = s.doc_id AND s.k = f.k + 1)),
+ends{name} AS (SELECT doc_id, unnest(arg_max(st, k)) AS x FROM fold{name} GROUP BY doc_id),
+clusters{name} AS (SELECT r.doc_id, r.ord, r.label, coalesce(x.c, r.ord) AS cluster_id, x.t AS t FROM records r LEFT JOIN ends{name} e ON e.doc_id = r.doc_id AND e.x.o = r.ord)"""
+
+
+@query(f"WITH RECURSIVE {EDGES}{_clustered(0.5)} SELECT doc_id, ord, label, cluster_id, ['provenance', 'compound_jaccard', 'combined'][t + 1] AS match_tier FROM clusters")
 def reaction_clusters(spark, sf_dir):
     return reactions.cluster(shapes.records(spark, sf_dir))
 
 
-@query()
+SWEEP = (0.25, 0.5, 0.75)
+
+
+def _diagnosed(tau: float, name: str) -> str:
+    return f"""SELECT {tau}::DOUBLE AS tau, count(*) AS clusters, count(*) FILTER (n > 1) AS multi, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n = k) AS "full",
+count(*) FILTER (n >= ceil(k / 2)) AS majority, round(avg(n), 6) AS mean_size, count(*) FILTER (t = 0) AS provenance, count(*) FILTER (t = 1) AS compound_jaccard, count(*) FILTER (t = 2) AS combined
+FROM (SELECT count(*) AS n, any_value(t) AS t, (SELECT count(DISTINCT label) FROM records) AS k FROM clusters{name} GROUP BY doc_id, cluster_id)"""
+
+
+@query(f"""WITH RECURSIVE {EDGES}{"".join(_clustered(t, f"_{k}") for k, t in enumerate(SWEEP))}, rows AS ({" UNION ALL ".join(_diagnosed(t, f"_{k}") for k, t in enumerate(SWEEP))})
+SELECT *, clusters - lag(clusters) OVER (ORDER BY tau) AS delta FROM rows""")
 def threshold_sweep(spark, sf_dir):
-    return reactions.sweep(shapes.records(spark, sf_dir), "tau_provenance", [0.25, 0.5, 0.75])
+    return rounded(reactions.sweep(shapes.records(spark, sf_dir), "tau_provenance", list(SWEEP)), "mean_size")
 
 
 def _steps(spark, sf_dir):

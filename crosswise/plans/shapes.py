@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOTAL_LINES = 720
@@ -101,14 +101,18 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELLS = "cells AS (SELECT l_partkey AS cluster_id, 'm' || (l_suppkey % 5) AS label, l_orderkey * 10 + l_linenumber AS ord, l_returnflag AS flag, l_linestatus AS status FROM lineitem)"
 
 
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as records: an order is a document, supplier modulo 3 a run."""
+    """Line items as records: an order is a document, supplier modulo 3 a run, and the place in the order's sorted lines the record's number (line numbers repeat)."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type"), "l_partkey", "left")
     text = lambda c: F.col(c).cast("string")
     vector = F.array(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50)
     start = (F.col("l_quantity") * 2).cast("int")
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("long")
     return li.select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("ord"), F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("label"),
+        F.col("l_orderkey").alias("doc_id"), nth.alias("ord"), F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("label"),
         F.lower("p_name").alias("name"), F.col("p_brand").alias("smiles"),
         F.array(text("l_returnflag"), text("l_linestatus"), F.col("p_type")).alias("reactant_smiles"), F.array(F.col("p_name")).alias("reactant_names"),
         F.array(text("l_returnflag"), text("l_linestatus"), F.col("p_brand"), F.col("p_type")).alias("compound_smiles"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosswise.operators import lines
-from crosswise.sources.payloads import PayloadError, read_artifacts, typed_rows
+from crosswise.sources.payloads import PayloadError, read_artifacts, read_files, typed_rows
 
 STEP = {"step_index": 0, "step_label": "A", "section_label": "S", "section_type": "t", "start_line": 1, "end_line": 4}
 
@@ -69,3 +69,28 @@ def test_golden_agreement(spark):
     scored = lines.line_scores(lines.paint(sections, 1890), runs, 1890, "ref")
     assert sorted(r.n_agree for r in lines.run_scores(scored).collect()) == [899, 978, 1287]
     assert lines.type_distribution(sections).agg(F.sum("n")).first()[0] == 177
+
+
+@pytest.mark.parametrize("kind, content", [
+    ("prepass", '{"sections": [{"group_index": null, "section_index": 1, "start_line": Infinity, "end_line": 2}]}'),
+    ("prepass", '[{"section_index": 1, "start_line": 99999999999, "end_line": 2}]'),
+    ("reactions", "[" * 100_000),
+    ("compounds", '[{"identifier": "\\ud800"}]'),
+])
+def test_one_bad_artifact_is_one_error_row(spark, kind, content):
+    good = {"prepass": '[{"section_index": 1, "start_line": 1, "end_line": 2}]', "reactions": '[{"product_name": "p", "step_index": 99999999999}]', "compounds": '[{"identifier": "x"}]'}[kind]
+    df = spark.createDataFrame([("a", "r", content), ("b", "r", good)], "doc_id string, label string, content string")
+    got = {r.doc_id: r for r in read_artifacts(df, kind).collect()}
+    assert got["a"].error and got["b"].error is None and (kind != "reactions" or got["b"].step_index is None)
+
+
+def test_a_null_group_index_comes_first():
+    found = typed_rows('{"sections": [{"group_index": 2, "section_index": 2, "start_line": 1, "end_line": 1}, {"group_index": null, "section_index": 1, "start_line": 5, "end_line": 6}]}', "prepass")
+    assert [r["section_index"] for r in found] == [1, 2]
+
+
+def test_files_are_matched_by_their_whole_path(spark, tmp_path):
+    for name, text in (("a.json", "1"), ("ba.json", "2")):
+        (tmp_path / name).write_text(text)
+    got = read_files(spark, {("d", "x"): str(tmp_path / "a.json"), ("d", "y"): str(tmp_path / "ba.json")}).collect()
+    assert sorted((r.label, bytes(r.content)) for r in got) == [("x", b"1"), ("y", b"2")]
