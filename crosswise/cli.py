@@ -19,6 +19,10 @@ from crosswise.session import build_session
 from crosswise.sources.payloads import read_artifacts, read_files
 
 
+#: Numbers of a run's entries start at a multiple of this, which no artifact's own numbers reach.
+RUN_SPAN = 1 << 40
+
+
 def labelled(given: list[str]) -> dict[str, str]:
     """label=path arguments; labels must differ and there must be two at least."""
     pairs = [g.partition("=")[::2] for g in given]
@@ -55,9 +59,7 @@ def compare_lines(spark: SparkSession, runs: dict[str, str], markdown: str, kind
 def compare_compounds(spark: SparkSession, runs: dict[str, str], out: str | None) -> str:
     rows = loaded(spark, runs, "compounds")
     order = F.create_map(*[x for k, label in enumerate(runs) for x in (F.lit(label), F.lit(k))])
-    names = rows.select("label", "ord", F.explode(F.concat(F.array("identifier"), "aliases")).alias("n")).withColumn("n", canonical_name(F.col("n")))
-    pool = names.groupBy("label", "ord").agg(F.array_sort(F.collect_set("n")).alias("names"))
-    entries = rows.join(pool, ["label", "ord"]).withColumn("ord", F.try_element_at(order, F.col("label")).cast("long") * 1_000_000 + F.col("ord")).cache()
+    entries = entities.name_pool(rows.withColumn("ord", F.try_element_at(order, F.col("label")).cast("long") * RUN_SPAN + F.col("ord"))).cache()
     members = entities.members(entries, entities.resolve(entries)).cache()
     first, second = list(runs)[:2]
     if out:
@@ -68,8 +70,8 @@ def compare_compounds(spark: SparkSession, runs: dict[str, str], out: str | None
         "Runs": entities.label_counts(entries, members).orderBy("label"),
         f"Against {first}": entities.pairwise_metrics(members, first).orderBy("label"),
         "Memberships": entities.upset(table).orderBy(F.desc("n"), "membership"),
-        "Identifier types": entries.groupBy("label", "identifier_type").count().orderBy("label", "identifier_type"),
-        "Clusters": table.withColumn("match_tier", entities.tier_text(F.col("match_tier"))).orderBy(F.desc("size"), "name", "membership"),
+        "Identifier types": entities.identifier_types(entries).orderBy("label", "identifier_type"),
+        "Clusters": entities.by_consensus(table).withColumn("match_tier", entities.tier_text(F.col("match_tier"))),
         "Presence": metrics.presence_stats(metrics.presence_grid(members, tie_label=first)).orderBy("label"),
     }
     return reports.markdown("Compound comparison", tables)
@@ -85,7 +87,7 @@ def record_entries(spark: SparkSession, runs: dict[str, str], r1: dict[str, str]
         c["role"].alias("role"), F.coalesce(c["is_product"], F.lit(False)).alias("is_product"),
     ))
     order = F.create_map(*[x for k, label in enumerate(runs) for x in (F.lit(label), F.lit(k))])
-    rows = rows.withColumn("compounds", shaped).withColumn("ord", F.try_element_at(order, F.col("label")).cast("long") * 1_000_000 + F.col("ord"))
+    rows = rows.withColumn("compounds", shaped).withColumn("ord", F.try_element_at(order, F.col("label")).cast("long") * RUN_SPAN + F.col("ord"))
     rows = enrich.with_structures(rows).withColumn("name", canonical_name(F.col("product_name")))
     if r1:
         steps = read_artifacts(read_files(spark, {("doc", label): os.path.abspath(p) for label, p in r1.items()}), "r1")

@@ -26,12 +26,11 @@ def tier_text(tier):
     return out.otherwise(tier)
 
 
-def name_pool(identifier, aliases, ascii_only: bool = False):
-    """Canonical forms of an entry's identifier and aliases, distinct."""
-    names = F.concat(F.array(identifier), F.coalesce(aliases, F.array().cast("array<string>")))
-    if not ascii_only:
-        raise ValueError("canonicalise aliases after exploding them when they may hold non-ASCII text")
-    return F.array_distinct(F.filter(F.transform(names, lambda x: canonical_name(x, True)), lambda x: x.isNotNull()))
+def name_pool(entries: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """``entries(ord, identifier, aliases)`` with ``names``: the distinct canonical forms of the identifier and all aliases."""
+    each = entries.select("ord", F.explode(F.concat(F.array("identifier"), F.coalesce("aliases", F.expr("cast(array() as array<string>)")))).alias("n"))
+    pool = each.select("ord", canonical_name(F.col("n"), ascii_only).alias("n")).groupBy("ord").agg(F.array_sort(F.collect_set("n")).alias("names"))
+    return entries.drop("names").join(pool, "ord", "left")
 
 
 def tier_keys(entries: DataFrame) -> DataFrame:
@@ -64,12 +63,12 @@ def resolve(entries: DataFrame) -> DataFrame:
     return parts.join(whole.withColumn("match_tier", tier).select(last, "match_tier"), last).select("ord", F.col(last).alias("cluster_id"), "match_tier")
 
 
-def members(entries: DataFrame, clusters: DataFrame) -> DataFrame:
+def members(entries: DataFrame, clusters: DataFrame, ascii_only: bool = False) -> DataFrame:
     """One representative per cluster and label: the longest identifier, the first of equals."""
     joined = entries.join(clusters, "ord")
     pick = F.max_by(F.struct("ord", "identifier"), F.struct(F.length("identifier"), -F.col("ord"))).alias("r")
     return joined.groupBy("cluster_id", "label").agg(pick, F.count(F.lit(1)).alias("entries"), F.first("match_tier").alias("match_tier")).select(
-        "cluster_id", "label", "entries", "match_tier", F.col("r.ord").alias("ord"), F.col("r.identifier").alias("identifier"), canonical_name(F.col("r.identifier"), True).alias("canonical")
+        "cluster_id", "label", "entries", "match_tier", F.col("r.ord").alias("ord"), F.col("r.identifier").alias("identifier"), canonical_name(F.col("r.identifier"), ascii_only).alias("canonical")
     )
 
 
@@ -118,3 +117,31 @@ def matched_pairs(members_: DataFrame, first: str, second: str) -> DataFrame:
     side = lambda label, name: members_.filter(F.col("label") == label).select("cluster_id", F.col("identifier").alias(name))
     kind = F.when(F.col("a").isNull(), "second_only").when(F.col("b").isNull(), "first_only").otherwise("both")
     return side(first, "a").join(side(second, "b"), "cluster_id", "full_outer").withColumn("kind", kind)
+
+
+def cluster_grid(members_: DataFrame, labels: list[str], min_labels: int = 1) -> DataFrame:
+    """One row per cluster of ``min_labels`` labels or more: membership, size, one column per label with its identifier (empty where it has none), and the sort name."""
+    wide = members_.groupBy("cluster_id").pivot("label", labels).agg(F.first("identifier"))
+    table = cluster_table(members_).filter(F.col("size") >= min_labels).withColumn("membership", F.replace("membership", F.lit(","), F.lit(", ")))
+    return table.join(wide, "cluster_id").na.fill("", labels).select("cluster_id", "membership", "size", *[F.col(f"`{x}`") for x in labels], "name")
+
+
+def by_consensus(table: DataFrame) -> DataFrame:
+    """Clusters by size, largest first, then by their first canonical name; the id settles what is left."""
+    return table.orderBy(F.desc("size"), "name", "cluster_id")
+
+
+def with_members(members_: DataFrame, required: list[str]) -> DataFrame:
+    """Clusters whose labels are exactly the required ones."""
+    held = members_.groupBy("cluster_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return held.filter(F.col("labels") == F.array_sort(F.array_distinct(F.array(*map(F.lit, required))))).select("cluster_id")
+
+
+def containing(members_: DataFrame, label: str) -> DataFrame:
+    """Clusters that a label is in."""
+    return members_.filter(F.col("label") == label).select("cluster_id").distinct()
+
+
+def identifier_types(entries: DataFrame) -> DataFrame:
+    """Per label how many entries each type of identifier has; a missing type is a type."""
+    return entries.groupBy("label", "identifier_type").agg(F.count(F.lit(1)).alias("n"))

@@ -58,8 +58,8 @@ def line_scores(painted: DataFrame, runs: DataFrame, total_lines: int, reference
     return lines.select("doc_id", "label", "line", "line_type", "line_label", agree.alias("agree"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
-def label_similarity(painted: DataFrame, reference: str, vectors: DataFrame) -> DataFrame:
-    """Mean over models of the dot product for each distinct (reference label, run label) that meet on a line.
+def model_similarity(painted: DataFrame, reference: str, vectors: DataFrame) -> DataFrame:
+    """Each model's dot product for each distinct (reference label, run label) that meet on a line: a, b, model, sim.
 
     ``vectors(label_text, model, vector)``: unit vectors. Each pair is computed once, however many lines share it.
     """
@@ -68,7 +68,12 @@ def label_similarity(painted: DataFrame, reference: str, vectors: DataFrame) ->
     pairs = pairs.join(ref.filter("a != ''"), ["doc_id", "line"]).select("a", "b").distinct()
     left = vectors.select(F.col("label_text").alias("a"), "model", F.col("vector").alias("va"))
     right = vectors.select(F.col("label_text").alias("b"), "model", F.col("vector").alias("vb"))
-    return pairs.join(left, "a").join(right, ["b", "model"]).groupBy("a", "b").agg(F.avg(dot(F.col("va"), F.col("vb"))).alias("sim"))
+    return pairs.join(left, "a").join(right, ["b", "model"]).select("a", "b", "model", dot(F.col("va"), F.col("vb")).alias("sim"))
+
+
+def label_similarity(painted: DataFrame, reference: str, vectors: DataFrame) -> DataFrame:
+    """The models' mean similarity for each pair of labels."""
+    return model_similarity(painted, reference, vectors).groupBy("a", "b").agg(F.avg("sim").alias("sim"))
 
 
 def run_scores(scores: DataFrame) -> DataFrame:

@@ -46,6 +46,22 @@ def presence_grid(members: DataFrame, cluster: str = "cluster_id", label: str =
     return grid.join(have.withColumn("present", F.lit(True)), [cluster, label], "left").na.fill(False, ["present"])
 
 
+def cluster_baselines(members: DataFrame, fields: list[str], order: str = "ord", tie_label: str | None = None, n_labels: int | None = None, ascii_only: bool = False) -> DataFrame:
+    """Per cluster whether it counts as present, and for each field the majority of the labels that are in it; ties go to ``tie_label``'s value.
+
+    ``members`` has one row per cluster and label. ``n_labels``: how many labels were run, else those that occur.
+    """
+    total = n_labels if n_labels is not None else members.select("label").distinct().count()
+    own = F.coalesce(F.col("label") == F.lit(tie_label), F.lit(False))
+    k, tie = F.countDistinct("label"), F.bool_or(own)
+    out = members.groupBy("cluster_id").agg(F.when(k * 2 == total, tie).otherwise(k * 2 > total).alias("present"))
+    for field in fields:
+        ties = members.filter(own).select("cluster_id", F.col(field).alias("tie"))
+        won = majority(members, ["cluster_id"], field, order, ties, ascii_only).withColumnRenamed("winner", field)
+        out = out.join(won, "cluster_id", "left")
+    return out
+
+
 def presence_stats(grid: DataFrame, label: str = "label") -> DataFrame:
     """Per model precision, recall and F1 against the baseline; NULL on empty denominators, F1 0 when both are 0."""
     counts = grid.groupBy(label).agg(
@@ -59,10 +75,10 @@ def presence_stats(grid: DataFrame, label: str = "label") -> DataFrame:
     return out.withColumn("f1", f1)
 
 
-def field_accuracy(grid: DataFrame, label: str = "label") -> DataFrame:
+def field_accuracy(grid: DataFrame, label: str = "label", ascii_only: bool = False) -> DataFrame:
     """``grid(label, value, baseline)``: folded matches over rows whose baseline is not none; a missing value is a miss."""
-    known = grid.filter(vote_key(F.col("baseline"), True) != NONE)
-    hit = vote_key(F.col("value"), True) == vote_key(F.col("baseline"), True)
+    known = grid.filter(vote_key(F.col("baseline"), ascii_only) != NONE)
+    hit = vote_key(F.col("value"), ascii_only) == vote_key(F.col("baseline"), ascii_only)
     return known.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits")).withColumn("accuracy", F.col("hits") / F.col("n"))
 
 
@@ -72,25 +88,25 @@ def pivoted(grid: DataFrame, key: str, label: str, labels: list[str], value: str
     return wide.select(key, *[F.coalesce(F.col(x), F.lit(default)).alias(x) if default is not None else F.col(x) for x in labels])
 
 
-def field_options(values: DataFrame, value: str, order: str) -> DataFrame:
+def field_options(values: DataFrame, value: str, order: str, ascii_only: bool = False) -> DataFrame:
     """Distinct values by folded text, shown as first seen, with none before all others: (rank, shown)."""
-    seen = values.filter(vote_key(F.col(value), True) != NONE).groupBy(vote_key(F.col(value), True).alias("fold"))
+    seen = values.filter(vote_key(F.col(value), ascii_only) != NONE).groupBy(vote_key(F.col(value), ascii_only).alias("fold"))
     shown = seen.agg(F.min_by(strip(F.col(value)), F.col(order)).alias("shown"))
     # The options of one field are few: they are shown in one list.
     ranked = shown.withColumn("rank", F.row_number().over(Window.orderBy("fold"))).select("rank", "shown")
     return ranked.unionAll(values.sparkSession.range(1).select(F.lit(0).alias("rank"), F.lit(NONE).alias("shown")))
 
 
-def keep_confirmed(rows: DataFrame, presence: DataFrame, key: str) -> DataFrame:
+def keep_confirmed(rows: DataFrame, presence: DataFrame, key: str, ascii_only: bool = False) -> DataFrame:
     """Rows whose folded key is confirmed by the presence baseline; keys without a presence row are dropped."""
-    keys = presence.filter("baseline").select(vote_key(F.col(key), True).alias("__k")).distinct()
-    return rows.join(keys, vote_key(F.col(key), True) == F.col("__k"), "left_semi")
+    keys = presence.filter("baseline").select(vote_key(F.col(key), ascii_only).alias("__k")).distinct()
+    return rows.join(keys, vote_key(F.col(key), ascii_only) == F.col("__k"), "left_semi")
 
 
-def drop_rows(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
+def drop_rows(rows: DataFrame, deleted: DataFrame, key: str, ascii_only: bool = False) -> DataFrame:
     """Rows whose folded key is not in the list of deleted ones."""
-    keys = deleted.select(vote_key(F.col(key), True).alias("__k")).distinct()
-    return rows.join(keys, vote_key(F.col(key), True) == F.col("__k"), "left_anti")
+    keys = deleted.select(vote_key(F.col(key), ascii_only).alias("__k")).distinct()
+    return rows.join(keys, vote_key(F.col(key), ascii_only) == F.col("__k"), "left_anti")
 
 
 def apply_edits(grid: DataFrame, edits: DataFrame, keys: list[str], value: str) -> DataFrame:

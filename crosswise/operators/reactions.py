@@ -25,6 +25,12 @@ def synthetic_only(entries: DataFrame) -> DataFrame:
     return entries.filter(~F.coalesce("non_synthetic", F.lit(False)))
 
 
+def skipped_counts(entries: DataFrame) -> DataFrame:
+    """Per label how many records the matcher takes and how many it skips as not synthetic."""
+    skipped = F.coalesce("non_synthetic", F.lit(False))
+    return entries.groupBy("label").agg(F.count_if(~skipped).alias("kept"), F.count_if(skipped).alias("skipped"))
+
+
 def _sides(entries: DataFrame, prefix: str, names: Iterable[str]) -> DataFrame:
     return entries.select("doc_id", *[F.col(c).alias(f"{prefix}_{c}") for c in names])
 
@@ -94,8 +100,8 @@ def near_misses(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     return pairs.filter((F.col("axis_name") >= low) & (F.col("axis_name") < high)).join(matches, ["doc_id", "b_ord", "c_ord"], "left_anti")
 
 
-def match_report(details: DataFrame) -> DataFrame:
-    """Per document: counts, precision, recall, F1 (0 on empty denominators) and averages over matches (NULL without any)."""
+def match_report(details: DataFrame, misses: DataFrame | None = None) -> DataFrame:
+    """Per document: counts, precision, recall, F1 (0 on empty denominators) and averages over matches (NULL without any); with ``misses``, their number."""
     tp = F.col("match_type") == "CONTENT_MATCH"
     count = lambda kind: F.count_if(F.col("match_type") == kind)
     percent = lambda c: F.try_divide(100.0 * F.count_if(tp & c), F.count_if(tp & c.isNotNull()).cast("double"))
@@ -108,6 +114,8 @@ def match_report(details: DataFrame) -> DataFrame:
     )
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), (F.col(a) + F.col(b)).cast("double")), F.lit(0.0))
     out = out.withColumn("precision", rate("tp", "fp")).withColumn("recall", rate("tp", "fn"))
+    if misses is not None:
+        out = out.join(misses.groupBy("doc_id").agg(F.count(F.lit(1)).alias("near_misses")), "doc_id", "left").na.fill(0, ["near_misses"])
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
@@ -245,3 +253,21 @@ def row_label(e: dict[str, Column]) -> Column:
     short = F.when(F.length(t["product_smiles"]) <= 48, t["product_smiles"]).otherwise(F.concat(F.substring(t["product_smiles"], 1, 45), F.lit("...")))
     both = F.when(t["section_label"].isNotNull() & t["step_label"].isNotNull(), F.concat(t["section_label"], F.lit(" | "), t["step_label"]))
     return F.coalesce(t["reaction_id"], both, t["section_label"], t["step_label"], t["product_name"], short, F.lit("(unnamed reaction)"))
+
+
+def product_display(name: Column, smiles: Column) -> Column:
+    """What a record's product is called: its name, else its shortened structure."""
+    structure = blank_to_null(smiles)
+    return F.coalesce(blank_to_null(name), F.when(F.length(structure) <= 40, structure).otherwise(F.concat(F.substring(structure, 1, 37), F.lit("..."))))
+
+
+def reaction_key(product: Column, reactants: Column) -> Column:
+    """product<<reactants, of canonical structures, sorted; NULL without a product or reactants."""
+    have = F.filter(F.transform(reactants, blank_to_null), lambda x: x.isNotNull())
+    return F.when(F.size(have) > 0, F.concat(blank_to_null(product), F.lit("<<"), F.array_join(F.array_sort(have), "|")))
+
+
+def representatives(clustered: DataFrame) -> DataFrame:
+    """One record per cluster and label: the longest ``row_label``, then the longest product name, then the first."""
+    best = F.struct(F.length("row_label"), F.length(F.coalesce("product_name", F.lit(""))), -F.col("ord"))
+    return clustered.groupBy("doc_id", "cluster_id", "label").agg(F.max_by("ord", best).alias("ord"), F.max_by("row_label", best).alias("row_label"))

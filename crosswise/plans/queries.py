@@ -72,13 +72,20 @@ def run_scores(spark, sf_dir):
 
 
 @query(f"""WITH {shapes.SCORED}
-SELECT DISTINCT r.line_label AS a, p.line_label AS b, round(list_dot_product(x.v, y.v), 6) AS sim
+SELECT DISTINCT s.a, s.b, round(s.sim, 6) AS sim
 FROM painted p JOIN painted r ON p.doc_id = r.doc_id AND p.line = r.line AND r.label = '{REFERENCE}' AND p.label <> '{REFERENCE}'
-JOIN vectors x ON x.label_text = r.line_label JOIN vectors y ON y.label_text = p.line_label""")
+JOIN alike s ON s.a = r.line_label AND s.b = p.line_label""")
 def label_similarity(spark, sf_dir):
     return rounded(lines.label_similarity(_painted(spark, sf_dir), REFERENCE, shapes.label_vectors(spark, sf_dir)), "sim")
 
 
+@query(f"""WITH {shapes.SCORED},
+met AS (SELECT DISTINCT r.line_label AS a, p.line_label AS b FROM painted p JOIN painted r ON p.doc_id = r.doc_id AND p.line = r.line AND r.label = '{REFERENCE}' AND p.label <> '{REFERENCE}')
+SELECT a, b, x.model, round(list_dot_product(x.v, y.v), 6) AS sim FROM met JOIN vectors x ON x.label_text = a JOIN vectors y ON y.label_text = b AND y.model = x.model""")
+def model_similarity(spark, sf_dir):
+    return rounded(lines.model_similarity(_painted(spark, sf_dir), REFERENCE, shapes.label_vectors(spark, sf_dir)), "sim")
+
+
 FLAGGED = f"""{shapes.SCORED},
 flagged AS (SELECT doc_id, line, bool_or(NOT agree) AS mismatch, bool_or(sim < {THRESHOLD}) AS low, min(sim) AS worst
             FROM scores GROUP BY ALL HAVING bool_or(NOT agree OR sim < {THRESHOLD})),
@@ -119,7 +126,7 @@ def _resolved(spark, sf_dir):
 
 def _members(spark, sf_dir):
     entries, clusters = _resolved(spark, sf_dir)
-    return entries, entities.members(entries, clusters)
+    return entries, entities.members(entries, clusters, True)
 
 
 @query(f"WITH {shapes.CLUSTERS} SELECT ord, cluster_id, match_tier FROM clusters")
@@ -171,6 +178,31 @@ def only_entries(spark, sf_dir):
     return entities.only_entries(_members(spark, sf_dir)[1]).select("cluster_id", "label")
 
 
+_SIDES = ("src0", "src1", "src2")
+_OWN = ", ".join(f"coalesce(length(any_value(n) FILTER (label = '{x}')), 0) AS {x}" for x in _SIDES)
+
+
+@query(f"""WITH {shapes.CLUSTERS}, picked AS (SELECT cluster_id, label, arg_min(identifier, (-length(identifier), ord)) AS n FROM clusters GROUP BY ALL)
+SELECT cluster_id, string_agg(label, ', ' ORDER BY label) AS membership, count(*) AS size, {_OWN} FROM picked GROUP BY cluster_id HAVING count(*) >= 2""")
+def cluster_grid(spark, sf_dir):
+    grid = entities.cluster_grid(_members(spark, sf_dir)[1], list(_SIDES), 2)
+    return grid.select("cluster_id", "membership", "size", *[F.length(x).alias(x) for x in _SIDES])
+
+
+@query(f"""WITH {shapes.CLUSTERS}, t AS (SELECT cluster_id, string_agg(label, ',' ORDER BY label) AS m, bool_or(label = 'src3') AS has FROM members GROUP BY cluster_id)
+SELECT 'exactly' AS kind, cluster_id FROM t WHERE m = 'src1,src2' UNION ALL SELECT 'containing', cluster_id FROM t WHERE has""")
+def cluster_selectors(spark, sf_dir):
+    found = _members(spark, sf_dir)[1]
+    pick = lambda kind, df: df.select(F.lit(kind).alias("kind"), "cluster_id")
+    return pick("exactly", entities.with_members(found, ["src2", "src1"])).unionAll(pick("containing", entities.containing(found, "src3")))
+
+
+@query("SELECT source AS label, CASE WHEN doc_id % 7 = 0 THEN 'x' END AS identifier_type, count(*) AS n FROM documents GROUP BY ALL")
+def identifier_types(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("label"), F.when(F.col("doc_id") % 7 == 0, "x").alias("identifier_type"))
+    return entities.identifier_types(docs)
+
+
 # Adjudication and metrics
 
 
@@ -212,6 +244,21 @@ def presence_pivot(spark, sf_dir):
     return metrics.pivoted(_grid(spark, sf_dir), "cluster_id", "label", [f"m{k}" for k in range(5)], "present", False)
 
 
+_FIELD = """folds_{0} AS (SELECT cluster_id, lower({0}) AS fold, count(*) AS n, arg_min({0}, ord) AS shown FROM one GROUP BY ALL),
+won_{0} AS (SELECT cluster_id, arg_min(shown, (-n, coalesce(fold <> lower(tie), true)::INT, fold)) AS {0}
+            FROM folds_{0} LEFT JOIN (SELECT cluster_id, {0} AS tie FROM one WHERE label = 'm0') USING (cluster_id) GROUP BY cluster_id)"""
+
+
+@query(f"""WITH {GRID},
+one AS (SELECT cluster_id, label, min(ord) AS ord, arg_min(flag, (ord, flag, status)) AS flag, arg_min(status, (ord, flag, status)) AS status FROM cells GROUP BY ALL),
+{_FIELD.format("flag")}, {_FIELD.format("status")}
+SELECT cluster_id, baseline AS present, flag, status FROM base JOIN won_flag USING (cluster_id) JOIN won_status USING (cluster_id)""")
+def cluster_baselines(spark, sf_dir):
+    first = lambda c: F.min_by(c, F.struct("ord", "flag", "status")).alias(c)
+    one = shapes.cells(spark, sf_dir).groupBy("cluster_id", "label").agg(F.min("ord").alias("ord"), first("flag"), first("status"))
+    return metrics.cluster_baselines(one, ["flag", "status"], tie_label="m0", ascii_only=True)
+
+
 STATS = f"""{GRID},
 c AS (SELECT label, count(*) FILTER (present AND baseline) AS tp, count(*) FILTER (present AND NOT baseline) AS fp, count(*) FILTER (NOT present AND baseline) AS fn FROM grid GROUP BY label),
 stats AS (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM c),
@@ -231,7 +278,7 @@ accuracy AS (SELECT o.label, count(*) AS n, count(*) FILTER (lower(o.value) = lo
 def _accuracy(spark, sf_dir):
     cells, won = _winners(spark, sf_dir)
     own = cells.groupBy("cluster_id", "label").agg(F.min_by("flag", "ord").alias("value"))
-    return metrics.field_accuracy(own.join(won.withColumnRenamed("winner", "baseline"), "cluster_id"))
+    return metrics.field_accuracy(own.join(won.withColumnRenamed("winner", "baseline"), "cluster_id"), ascii_only=True)
 
 
 @query(f"WITH {ACCURACY} SELECT label, n, hits, round(hits / n, 6) AS accuracy FROM accuracy")
@@ -262,7 +309,7 @@ def metrics_unpivot(spark, sf_dir):
 @query(f"WITH {GRID} SELECT c.cluster_id, c.label, count(*) AS n FROM cells c WHERE EXISTS (SELECT 1 FROM base b WHERE b.baseline AND b.cluster_id = c.cluster_id) GROUP BY ALL")
 def confirmed_rows(spark, sf_dir):
     key = lambda df: df.withColumn("key", F.col("cluster_id").cast("string"))
-    kept = metrics.keep_confirmed(key(shapes.cells(spark, sf_dir)), key(_grid(spark, sf_dir)), "key")
+    kept = metrics.keep_confirmed(key(shapes.cells(spark, sf_dir)), key(_grid(spark, sf_dir)), "key", True)
     return kept.groupBy("cluster_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -270,13 +317,13 @@ def confirmed_rows(spark, sf_dir):
 def deleted_rows(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     gone = part.filter("p_size = 1").select(F.upper("p_name").alias("p_name"))
-    return metrics.drop_rows(part, gone, "p_name").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.drop_rows(part, gone, "p_name", True).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH o AS (SELECT lower(p_type) AS fold, arg_min(p_type, p_partkey) AS shown FROM part GROUP BY 1)
 SELECT row_number() OVER (ORDER BY fold)::INT AS rank, shown FROM o UNION ALL SELECT 0, '(none)'""")
 def field_options(spark, sf_dir):
-    return metrics.field_options(table(spark, sf_dir, "part"), "p_type", "p_partkey")
+    return metrics.field_options(table(spark, sf_dir, "part"), "p_type", "p_partkey", True)
 
 
 # Scalars
@@ -373,11 +420,13 @@ sides AS (SELECT doc_id, count(*) FILTER (label = 'm0') AS nb, count(*) FILTER (
 own AS (SELECT doc_id, count(*) AS tp, round(avg(axis_reactants), 6) AS avg_reactants, round(100.0 * avg((axis_reactants = 1)::INT), 6) AS perfect_reactants_pct,
                round(avg(dy), 6) AS yield_mae, round(100.0 * avg((dy <= 5)::INT), 6) AS yield_within_5_pct, round(avg(same), 6) AS class_accuracy, round(avg(axis_procedure), 6) AS avg_procedure,
                {_COVERAGE} FROM won GROUP BY doc_id),
-counted AS (SELECT *, coalesce(tp, 0) AS n, nc - n AS fp, nb - n AS fn, coalesce(n / nullif(n + fp, 0), 0) AS p, coalesce(n / nullif(n + fn, 0), 0) AS r FROM sides LEFT JOIN own USING (doc_id))
-SELECT * EXCLUDE (nb, nc, n, p, r) REPLACE (n AS tp), round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM counted""")
+missed AS (SELECT p.doc_id, count(*) AS m FROM scored_pairs p LEFT JOIN matched w USING (doc_id, b_ord, c_ord)
+           WHERE axis_name >= {S.NEAR_MISS[0]} AND axis_name < {S.NEAR_MISS[1]} AND w.doc_id IS NULL GROUP BY p.doc_id),
+counted AS (SELECT *, coalesce(tp, 0) AS n, nc - n AS fp, nb - n AS fn, coalesce(n / nullif(n + fp, 0), 0) AS p, coalesce(n / nullif(n + fn, 0), 0) AS r FROM sides LEFT JOIN own USING (doc_id) LEFT JOIN missed USING (doc_id))
+SELECT * EXCLUDE (nb, nc, n, p, r, m) REPLACE (n AS tp), coalesce(m, 0) AS near_misses, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM counted""")
 def match_report(spark, sf_dir):
     base, other, pairs, won = _matched(spark, sf_dir)
-    report = reactions.match_report(reactions.match_details(pairs, won, base, other))
+    report = reactions.match_report(reactions.match_details(pairs, won, base, other), reactions.near_misses(pairs, won))
     return rounded(report, *[c for c, kind in report.dtypes if kind == "double"])
 
 
@@ -448,6 +497,31 @@ def threshold_sweep(spark, sf_dir):
     return rounded(reactions.sweep(shapes.records(spark, sf_dir), "tau_provenance", list(SWEEP)), "mean_size")
 
 
+@query(f"""WITH {RECORDS} SELECT doc_id, ord, smiles || '<<' || array_to_string(list_sort(rs), '|') AS reaction_key,
+CASE WHEN ord % 3 = 0 THEN name WHEN length(name || p_type) <= 40 THEN name || p_type ELSE substr(name || p_type, 1, 37) || '...' END AS product FROM records""")
+def reaction_keys(spark, sf_dir):
+    structure = F.concat("name", "reaction_class")
+    shown = reactions.product_display(F.when(F.col("ord") % 3 == 0, F.col("name")), structure)
+    return shapes.records(spark, sf_dir).select("doc_id", "ord", reactions.reaction_key(F.col("smiles"), F.col("reactant_smiles")).alias("reaction_key"), shown.alias("product"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}{_clustered(0.5)}, picked AS (
+  SELECT c.doc_id, c.cluster_id, c.label, c.ord, sec || ' | ' || step AS row_label, name FROM clusters c JOIN records r ON r.doc_id = c.doc_id AND r.ord = c.ord)
+SELECT doc_id, cluster_id, label, arg_min(ord, (-length(row_label), -length(name), ord)) AS ord, arg_min(row_label, (-length(row_label), -length(name), ord)) AS row_label
+FROM picked GROUP BY doc_id, cluster_id, label""")
+def reaction_representatives(spark, sf_dir):
+    records = shapes.records(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    called = reactions.row_label({"reaction_id": none, "section_label": F.col("section_label"), "step_label": F.col("step_label"), "product_name": F.col("name"), "product_smiles": F.col("smiles")})
+    named = records.select("doc_id", "ord", called.alias("row_label"), F.col("name").alias("product_name"))
+    return reactions.representatives(reactions.cluster(records).join(named, ["doc_id", "ord"]))
+
+
+@query(f"WITH {RECORDS} SELECT label, count(*) FILTER (t <= 45) AS kept, count(*) FILTER (t > 45) AS skipped FROM records GROUP BY label")
+def synthetic_filter(spark, sf_dir):
+    return reactions.skipped_counts(shapes.records(spark, sf_dir).withColumn("non_synthetic", F.col("temperature_c") > 45))
+
+
 def _steps(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select(
@@ -493,6 +567,41 @@ def uuid5_path(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", paths.uuid5(F.col("c_name")).alias("uuid"), paths.country_code(F.col("c_name")).alias("country"))
 
 
+def _bases(spark, sf_dir):
+    """Customers whose files lie in the computed bucket, in another one, or nowhere, by thirds."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    other = F.pmod(paths.hash_bucket(F.col("name")) + 1 + F.col("c_custkey") % 100, F.lit(paths.BUCKETS)).cast("int")
+    at = F.when(F.col("c_custkey") % 3 == 0, paths.base_path(F.col("name"))).when(F.col("c_custkey") % 3 == 1, paths.base_path(F.col("name"), other))
+    return c, c.select("c_custkey", at.alias("base")).filter("base is not null")
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 1 AS moved, c_custkey % 3 < 2 AS found FROM customer")
+def base_paths(spark, sf_dir):
+    c, there = _bases(spark, sf_dir)
+    found = paths.resolved_base(c.select("name"), there.select(F.concat("base", F.lit("/compounds.json")).alias("path")))
+    return c.join(found, "name").select("c_custkey", "moved", "found")
+
+
+@query("""SELECT c_custkey, unnest(['prepass', 'r1', 'compounds', 'reactions']) AS kind, unnest([c_custkey % 2 = 0, false, true, c_custkey % 5 = 0]) AS found,
+unnest([CASE WHEN c_custkey % 2 = 0 THEN 'new' END, NULL, 'c', CASE WHEN c_custkey % 5 = 0 THEN 'r' END]) AS content FROM customer""")
+def artifact_fetch(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("literature/patents/XX/1/"), F.col("c_custkey").cast("string")).alias("base"))
+    runs = c.select(F.col("c_custkey").alias("key"), "base", F.lit("p1").alias("pipeline"))
+    run = lambda text: F.concat("base", F.lit(f"/extraction/p1/{text}"))
+    files = [c.filter(test).select(run(name).alias("path"), F.lit(body).alias("content")) for test, name, body in (
+        ("c_custkey % 2 = 0", "pre-pass-2024.json", "old"), ("c_custkey % 2 = 0", "pre-pass-2025.json", "new"), ("true", "compounds.json", "c"), ("c_custkey % 5 = 0", "reactions.json", "r"))]
+    every = files[0].unionAll(files[1]).unionAll(files[2]).unionAll(files[3])
+    return paths.fetch_artifacts(runs, every).select(F.col("key").alias("c_custkey"), "kind", "found", "content")
+
+
+@query("SELECT c_custkey, c_custkey % 3 < 2 AS found, CASE c_custkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'old' END AS content FROM customer")
+def markdown_fetch(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("b/"), F.col("c_custkey").cast("string")).alias("base"))
+    new, old = paths.markdown_paths(F.col("base"))
+    files = c.filter("c_custkey % 3 = 0").select(new.alias("path"), F.lit("new").alias("content")).unionAll(c.filter("c_custkey % 3 < 2").select(old.alias("path"), F.lit("old").alias("content")))
+    return paths.fetch_preferred(c.select(F.col("c_custkey").alias("key"), "base"), files).select(F.col("key").alias("c_custkey"), "found", "content")
+
+
 @query("SELECT event_id, (props->>'$.k')::INT AS k FROM events")
 def variant_unwrap(spark, sf_dir):
     k = F.variant_get(F.try_parse_json("props"), "$.k", "int")

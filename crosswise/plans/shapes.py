@@ -40,37 +40,39 @@ painted AS (
   GROUP BY doc_id, label, line)"""
 
 SCORED = PAINTED + f""",
-vectors AS (SELECT 'label' || vec_id AS label_text, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id < 50),
+vectors AS (SELECT 'label' || (vec_id % 50) AS label_text, 'm' || (vec_id // 50) AS model, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+alike AS (SELECT a.label_text AS a, b.label_text AS b, avg(list_dot_product(a.v, b.v)) AS sim FROM vectors a JOIN vectors b USING (model) GROUP BY ALL),
 runs AS (SELECT DISTINCT doc_id, label FROM sections WHERE label <> '{REFERENCE}'),
 frame AS (SELECT doc_id, label, unnest(range(1, {TOTAL_LINES + 1})) AS line FROM runs),
 scores AS (
   SELECT f.doc_id, f.label, f.line, p.line_type, coalesce(p.line_type = r.line_type, false) AS agree,
-         coalesce(list_dot_product(a.v, b.v), 0) AS sim
+         coalesce(a.sim, 0) AS sim
   FROM frame f LEFT JOIN painted p ON f.doc_id = p.doc_id AND f.label = p.label AND f.line = p.line
   LEFT JOIN painted r ON f.doc_id = r.doc_id AND r.label = '{REFERENCE}' AND f.line = r.line
-  LEFT JOIN vectors a ON r.line_label = a.label_text LEFT JOIN vectors b ON p.line_label = b.label_text)"""
+  LEFT JOIN alike a ON r.line_label = a.a AND p.line_label = a.b)"""
 
 
 def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the 50 label texts (label n has vector n)."""
-    v = table(spark, sf_dir, "embeddings").filter("vec_id < 50")
-    return v.select(F.concat(F.lit("label"), F.col("vec_id").cast("string")).alias("label_text"), F.lit("m").alias("model"), F.col("embedding").alias("vector"))
+    """Vectors of the 50 label texts, one for each model: 50 vectors in a row are a model's."""
+    v = table(spark, sf_dir, "embeddings")
+    name = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    return v.select(name("label", F.col("vec_id") % 50).alias("label_text"), name("m", F.floor(F.col("vec_id") / 50)).alias("model"), F.col("embedding").alias("vector"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as entries: a source is a run, the text's digest and forms of it are the keys."""
     d = table(spark, sf_dir, "documents")
     flat = F.lower(F.regexp_replace("text", r"[ \n]+", " "))
-    words = F.slice(F.split(flat, " "), 1, 3)
+    name = F.array_join(F.array_sort(F.array_distinct(F.split(flat, " "))), " ")  # the same words in any order are one name
     return d.select(
-        F.col("doc_id").alias("ord"), F.lit(0).alias("doc_id"), F.col("source").alias("label"), F.array_join(words, " ").alias("identifier"),
-        F.md5("text").alias("inchi_key"), F.md5(flat).alias("smiles"), F.md5(F.element_at(F.split(flat, r"\."), 1)).alias("molecular_formula"),
-        F.array(F.array_join(words, " ")).alias("names"),
+        F.col("doc_id").alias("ord"), F.lit(0).alias("doc_id"), F.col("source").alias("label"), name.alias("identifier"),
+        F.md5("text").alias("inchi_key"), F.md5(flat).alias("smiles"), F.md5(F.regexp_replace(flat, "[^a-z]", "")).alias("molecular_formula"),
+        F.array(name).alias("names"),
     )
 
 
 ENTITIES = r"""flat AS (SELECT doc_id AS ord, source AS label, md5(text) AS k0, lower(regexp_replace(text, '[ \n]+', ' ', 'g')) AS t FROM documents),
-entries AS (SELECT ord, label, k0, md5(t) AS k1, md5(string_split(t, '.')[1]) AS k2, array_to_string(string_split(t, ' ')[1:3], ' ') AS k3 FROM flat)"""
+entries AS (SELECT ord, label, k0, md5(t) AS k1, md5(regexp_replace(t, '[^a-z]', '', 'g')) AS k2, array_to_string(list_sort(list_distinct(string_split(t, ' '))), ' ') AS k3 FROM flat)"""
 
 
 def _prefix(k: int) -> str:

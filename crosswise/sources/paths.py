@@ -54,6 +54,22 @@ def base_path(name: Column, bucket: Column | None = None) -> Column:
     return F.concat_ws("/", F.lit("literature/patents"), country_code(name), (hash_bucket(name) if bucket is None else bucket).cast("string"), uuid5(name))
 
 
+def resolved_base(names: DataFrame, files: DataFrame) -> DataFrame:
+    """``names(name)`` with base and moved: the computed base path where ``files(path)`` has anything under it, else the lowest other bucket that has, else the computed one.
+
+    All buckets are looked at in one join on (country, identifier), which the bucket does not change.
+    """
+    named = names.withColumns({"country": country_code(F.trim("name")), "id": uuid5(F.trim("name")), "computed": hash_bucket(F.trim("name"))})
+    part = lambda k: F.regexp_extract("path", r"^literature/patents/([^/]+)/(\d{1,3})/([^/]+)", k)
+    there = files.select(part(1).alias("country"), part(2).try_cast("int").alias("bucket"), F.substring(part(3), 1, 36).alias("id"))
+    there = there.filter((F.col("bucket") >= 0) & (F.col("bucket") < BUCKETS)).distinct()
+    best = F.min(F.struct((F.col("bucket") != F.col("computed")).alias("moved"), "bucket"))
+    found = named.join(there, ["country", "id"], "left").groupBy("name", "country", "id", "computed").agg(best.alias("b"))
+    bucket = F.coalesce("b.bucket", "computed").cast("string")
+    moved = F.coalesce(F.when(F.col("b.bucket").isNotNull(), F.col("b.moved")), F.lit(False))
+    return found.select("name", F.concat_ws("/", F.lit("literature/patents"), "country", bucket, "id").alias("base"), moved.alias("moved"), F.col("b.bucket").isNotNull().alias("found"))
+
+
 def artifact_path(base: Column, pipeline: Column, kind: str) -> Column:
     """Where a run's artifact lies; compounds and reactions of the baseline pipeline stand at the root."""
     run = F.concat(base, F.lit("/extraction/"), pipeline, F.lit("/"))
@@ -76,6 +92,25 @@ def latest_by_prefix(files: DataFrame, prefix: str) -> DataFrame:
     return files.filter(F.col("path").startswith(prefix)).agg(F.max("path").alias("path")).filter("path is not null")
 
 
+def fetch_preferred(names: DataFrame, files: DataFrame) -> DataFrame:
+    """``names(key, base)`` with the first of the markdown paths that ``files(path, content)`` has: path, content, found and error."""
+    places = F.array(*[F.struct(F.lit(k).alias("rank"), p.alias("path")) for k, p in enumerate(markdown_paths(F.col("base")))])
+    asked = names.select("key", "base", F.explode(places).alias("p")).select("key", "base", "p.rank", "p.path")
+    got = asked.join(files.select("path", "content"), "path").groupBy("key").agg(F.min_by(F.struct("path", "content"), "rank").alias("m"))
+    out = names.join(got, "key", "left").select("key", "base", "m.path", "m.content", F.col("m").isNotNull().alias("found"))
+    return out.withColumn("error", F.when(~F.col("found"), F.concat(F.lit("no markdown under "), "base")))
+
+
+def fetch_artifacts(runs: DataFrame, files: DataFrame, kinds: tuple[str, ...] = ("prepass", "r1", "compounds", "reactions")) -> DataFrame:
+    """``runs(key, base, pipeline)`` -> one row per run and kind: path, content, found and error; of a pre-pass the last file by name."""
+    wanted = F.array(*[F.struct(F.lit(k).alias("kind"), artifact_path(F.col("base"), F.col("pipeline"), k).alias("path")) for k in kinds])
+    asked = runs.select("key", F.explode(wanted).alias("w")).select("key", "w.kind", F.col("w.path").alias("wanted"))
+    stem = F.when(F.regexp_like("path", F.lit("/pre-pass-[^/]*$")), F.regexp_replace("path", "/pre-pass-[^/]*$", "/pre-pass-")).otherwise(F.col("path"))
+    latest = files.select(stem.alias("wanted"), "path", "content").groupBy("wanted").agg(F.max("path").alias("path"), F.max_by("content", "path").alias("content"))
+    out = asked.join(latest, "wanted", "left").withColumn("found", F.col("path").isNotNull())
+    return out.withColumn("error", F.when(~F.col("found"), F.concat(F.lit("not found: "), "wanted"))).drop("wanted")
+
+
 def fetch(expected: DataFrame, files: DataFrame) -> DataFrame:
     """``expected(key, path)`` with found, content and an error text for what is missing (``files(path, content)``)."""
     out = expected.join(files.select("path", "content"), "path", "left")

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from crosswise.functions import text
 from crosswise.functions.scores import MatchConfig
 from crosswise.operators import enrich, entities, lines, metrics, reactions, reports
 from crosswise.operators.components import connected_components
@@ -160,3 +161,49 @@ def test_report_text(spark):
     df = spark.createDataFrame([("a", 0.123456, None)], "m string, x double, y double")
     text = reports.markdown("R", {"t": df})
     assert "| a | 0.1235 | — |" in text
+
+
+def test_names_fold_fully(spark):
+    rows = [(1, "a", "Straße", ["ﬁne", None]), (2, "b", "x", None)]
+    entries = spark.createDataFrame(rows, "ord long, label string, identifier string, aliases array<string>")
+    assert {r.ord: r.names for r in entities.name_pool(entries).collect()} == {1: ["fine", "straße"], 2: ["x"]}
+    grid = spark.createDataFrame([("m", "STRASSE", "straße"), ("m", "a", "b"), ("m", None, "b"), ("m", "q", None)], "label string, value string, baseline string")
+    got = metrics.field_accuracy(grid).first()
+    assert (got.n, got.hits) == (3, 1)
+    keys = spark.createDataFrame([("STRASSE",), ("y",)], "key string")
+    assert [r.key for r in metrics.drop_rows(keys, spark.createDataFrame([("straße",)], "key string"), "key").collect()] == ["y"]
+    assert [r.key for r in metrics.keep_confirmed(keys, spark.createDataFrame([("straße", True)], "key string, baseline boolean"), "key").collect()] == ["STRASSE"]
+
+
+def test_clusters_by_consensus_and_grid(spark):
+    rows = [(1, "a", "Zeta"), (1, "b", "zeta-"), (2, "a", "Beta"), (3, "b", "alpha"), (4, "a", "n"), (4, "b", "m")]
+    made = spark.createDataFrame(rows, "cluster_id long, label string, identifier string").selectExpr("*", "lower(identifier) AS canonical", "'name' AS match_tier")
+    assert [r.cluster_id for r in entities.by_consensus(entities.cluster_table(made)).collect()] == [4, 1, 3, 2]
+    grid = {r.cluster_id: r for r in entities.cluster_grid(made, ["b", "a", "c"]).collect()}
+    assert (grid[1].membership, grid[1].size, grid[1].b, grid[1].a, grid[1].c) == ("a, b", 2, "zeta-", "Zeta", "") and len(grid) == 4
+    assert {r.cluster_id for r in entities.cluster_grid(made, ["a"], 2).collect()} == {1, 4}
+
+
+def test_labels_displays_and_keys(spark):
+    base = {k: None for k in ("reaction_id", "section_label", "step_label", "product_name", "product_smiles")}
+    cases = [({}, "(unnamed reaction)"), ({"reaction_id": " r "}, "r"), ({"section_label": "S", "step_label": "T"}, "S | T"), ({"step_label": "T"}, "T"), ({"product_name": " p "}, "p"), ({"product_smiles": "C" * 49}, "C" * 45 + "...")]
+    df = spark.createDataFrame([(k, *{**base, **c}.values()) for k, (c, _) in enumerate(cases)], "k int, " + ", ".join(f"{c} string" for c in base))
+    got = df.orderBy("k").select(reactions.row_label({c: F.col(c) for c in base}).alias("x"), reactions.product_display(F.col("product_name"), F.col("product_smiles")).alias("p")).collect()
+    assert [r.x for r in got] == [w for _, w in cases] and [r.p for r in got] == [None, None, None, None, "p", "C" * 37 + "..."]
+    keys = spark.createDataFrame([("P", ["b", None, " ", "a"]), (None, ["a"]), ("P", [])], "p string, r array<string>").select(reactions.reaction_key(F.col("p"), F.col("r")).alias("k"))
+    assert [r.k for r in keys.collect()] == ["P<<a|b", None, None]
+
+
+def test_edits_win_over_the_seed(spark):
+    grid = spark.createDataFrame([(1, "a", True), (1, "b", False)], "c int, label string, present boolean")
+    edits = spark.createDataFrame([(1, "b", True), (2, "a", False)], "c int, label string, present boolean")
+    assert sorted(tuple(r) for r in metrics.apply_edits(grid, edits, ["c", "label"], "present").select("c", "label", "present").collect()) == [(1, "a", True), (1, "b", True)]
+
+
+def test_colours_take_the_whole_digest(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("Red",), ("(none)",), (" ",), (None,)], "v string")
+    for palette in (8, 7):
+        got = [r.i for r in df.select(text.colour_index(F.col("v"), palette).alias("i")).collect()]
+        assert got == [int(hashlib.md5(b"red").hexdigest(), 16) % palette, None, None, None]
