@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 #: Namespace of DNS names for version-5 identifiers, bucket count, the baseline pipeline.
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -22,27 +19,47 @@ def uuid5(name: Column) -> Column:
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
-def murmur3(data: bytes, seed: int = 0) -> int:
-    """MurmurHash3 x86 32-bit, signed."""
-    mask = 0xFFFFFFFF
-    rotl = lambda x, r: ((x << r) | (x >> (32 - r))) & mask
-    h, whole = seed, len(data) // 4 * 4
-    for k in np.frombuffer(data[:whole], "<u4").tolist():
-        h = (rotl(h ^ (rotl(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask), 13) * 5 + 0xE6546B64) & mask
-    k = int.from_bytes(data[whole:], "little")
-    if k:
-        h ^= rotl(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
-
-
-@F.pandas_udf(IntegerType())
-def hash_bucket(name: pd.Series) -> pd.Series:
-    """Spark's own hash has another seed and tail rule, so this one is an Arrow UDF."""
-    return name.map(lambda x: None if x is None else murmur3(x.encode()) % BUCKETS).astype("Int32")
+_MASK = 0xFFFFFFFF
+
+
+def _bound(x: Column, f) -> Column:
+    """``f(x)`` with x evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _times(x: Column, c: int) -> Column:
+    """Product modulo 2^32 of a 32-bit number held in a long, in halves so that no long overflows."""
+    low, high = x.bitwiseAND(F.lit(0xFFFF)) * F.lit(c), (F.shiftright(x, 16) * F.lit(c)).bitwiseAND(F.lit(0xFFFF))
+    return (low + F.shiftleft(high, 16)).bitwiseAND(F.lit(_MASK))
+
+
+def _turned(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftright(x, 32 - by)).bitwiseAND(F.lit(_MASK))
+
+
+def _little_endian(digits: Column) -> Column:
+    """Eight hex digits as the number whose lowest byte comes first."""
+    return F.conv(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+
+
+def murmur3(name: Column) -> Column:
+    """MurmurHash3 x86 32-bit of a text's UTF-8 bytes with seed 0, as an unsigned number (Spark's own hash has another seed and tail rule)."""
+    scrambled = lambda k: _bound(_bound(_times(k, 0xCC9E2D51), lambda x: _turned(x, 15)), lambda x: _times(x, 0x1B873593))
+    body, n = F.encode(name, "UTF-8"), F.octet_length(name).cast("long")
+    digits, whole = F.hex(body), F.floor(n / 4).cast("int")
+    starts = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    blocks = F.transform(starts, lambda i: _little_endian(F.substring(digits, i * 8 + 1, F.lit(8))))
+    mixed = F.aggregate(blocks, F.lit(0).cast("long"), lambda h, k: (_bound(h.bitwiseXOR(scrambled(k)), lambda x: _turned(x, 13)) * 5 + F.lit(0xE6546B64)).bitwiseAND(F.lit(_MASK)))
+    tail = _bound(_little_endian(F.rpad(F.substring(digits, whole * 8 + 1, F.lit(6)), 8, "0")), lambda x: x)
+    out = mixed.bitwiseXOR(scrambled(tail)).bitwiseXOR(n)
+    out = _bound(out, lambda h: _times(h.bitwiseXOR(F.shiftright(h, 16)), 0x85EBCA6B))
+    out = _bound(out, lambda h: _times(h.bitwiseXOR(F.shiftright(h, 13)), 0xC2B2AE35))
+    return _bound(out, lambda h: h.bitwiseXOR(F.shiftright(h, 16)))
+
+
+def hash_bucket(name: Column) -> Column:
+    """The bucket of a name; the hash's sign does not matter, as buckets divide 2^32."""
+    return F.pmod(murmur3(name), F.lit(BUCKETS)).cast("int")
 
 
 def country_code(name: Column) -> Column:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosswise.operators import lines
+from crosswise.sources import paths
 from crosswise.sources.payloads import PayloadError, read_artifacts, read_files, typed_rows
 
 STEP = {"step_index": 0, "step_label": "A", "section_label": "S", "section_type": "t", "start_line": 1, "end_line": 4}
@@ -94,3 +95,26 @@ def test_files_are_matched_by_their_whole_path(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = read_files(spark, {("d", "x"): str(tmp_path / "a.json"), ("d", "y"): str(tmp_path / "ba.json")}).collect()
     assert sorted((r.label, bytes(r.content)) for r in got) == [("x", b"1"), ("y", b"2")]
+
+
+def plain_murmur3(data: bytes) -> int:
+    mask, h = 0xFFFFFFFF, 0
+    turn = lambda x, r: (x << r | x >> 32 - r) & mask
+    for at in range(0, len(data), 4):
+        block = data[at : at + 4]
+        h ^= turn(int.from_bytes(block, "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        if len(block) == 4:
+            h = (turn(h, 13) * 5 + 0xE6546B64) & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
+def test_murmur3_is_the_published_one(spark):
+    known = {"": 0, "a": 0x3C2569B2, "abc": 0xB3DD93FA, "test": 0xBA6BD213, "hello": 0x248BFA47, "Hello, world!": 0xC0363E43, "The quick brown fox jumps over the lazy dog": 0x2E4FF723}
+    names = [*known, *("é" * k + "日本😀"[: k % 4] + "x" * (k % 5) for k in range(30))]
+    got = {r.n: (r.m, r.b) for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", paths.murmur3(F.col("n")).alias("m"), paths.hash_bucket(F.col("n")).alias("b")).collect()}
+    assert {n: got[n][0] for n in known} == known
+    assert all(got[n] == (plain_murmur3(n.encode()), plain_murmur3(n.encode()) % 128) for n in names)
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS n").select(paths.hash_bucket(F.col("n")).alias("b")).first().b is None
