@@ -6,7 +6,7 @@ import pytest
 
 from crosswise.plans.queries import QUERIES, SQL
 from crosswise.plans.shapes import sections, table
-from crosswise.streaming.runs import recompute_on_arrival, windowed_types
+from crosswise.streaming.runs import current, recompute_on_arrival, windowed_types
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="sample tables are not here")
@@ -51,3 +51,13 @@ def test_streaming_recompute(spark, tmp_path):
     q = recompute_on_arrival(stream, lambda docs: sections(spark, str(DATA)).join(docs, "doc_id").groupBy("doc_id").count(), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg({"count": "sum"}).first()[0] == 1000
+
+
+def test_a_document_that_comes_again_has_its_last_results(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for k, ids in enumerate(([1, 2, 3], [2, 3])):
+        spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("doc_id long").parquet(str(tmp_path / "in"))
+        made = lambda docs, k=k: docs.filter(f"{k} = 0 OR doc_id <> 3").selectExpr("doc_id", f"{k} AS v")
+        recompute_on_arrival(stream, made, out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(tuple(r) for r in current(spark, out).select("doc_id", "v").collect()) == [(1, 0), (2, 1)]
