@@ -115,4 +115,4 @@ def colour_index(value: Column, palette: int = 8) -> Column:
 
 
 def rate_text(x: Column) -> Column:
-    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.format_string("%.1f%%", x * 100))
+    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.format_string("%.1f%%", F.bround(x * 100, 1)))  # ties to even

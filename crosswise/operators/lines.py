@@ -6,10 +6,21 @@ run's uncovered lines are never stored: they are the rows that a left join misse
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosswise.functions.scores import dot
+from crosswise.session import stage
+
+
+class Run(NamedTuple):
+    """Parsed runs: their sections, the covered lines, and the counts of section types."""
+
+    sections: DataFrame
+    painted: DataFrame
+    types: DataFrame
 
 
 def type_distribution(sections: DataFrame) -> DataFrame:
@@ -28,6 +39,20 @@ def paint(sections: DataFrame, total_lines: int | Column) -> DataFrame:
     return lines.groupBy("doc_id", "label", "line").agg(top).select("doc_id", "label", "line", F.col("s.section_type").alias("line_type"), F.col("s.section_label").alias("line_label"))
 
 
+def assemble(parsed: DataFrame, total_lines: int | Column) -> Run:
+    """Runs from the rows that a section reader gives: bad artifacts are left out; parsed rows are written once for both readers."""
+    good = stage(parsed.filter("error is null"), "sections")
+    types = good.groupBy("doc_id", "label", "section_type").agg(F.count(F.lit(1)).alias("n"))
+    return Run(good, paint(good, total_lines), types)
+
+
+def segments(sections: DataFrame, total_lines: int | Column) -> DataFrame:
+    """A timeline's bars: each section's span cut to the document, from 0, and its width; sections outside have none."""
+    n = F.lit(total_lines) if isinstance(total_lines, int) else total_lines
+    low, high = F.greatest(F.lit(1), "start_line"), F.least(n, "end_line")
+    return sections.filter(low <= high).select("doc_id", "label", "ord", "section_type", "section_label", (low - 1).alias("base"), (high - low + 1).alias("width"))
+
+
 def reference_label(labels: list[str], wanted: str | None = None, preferred: str = "Claude") -> str:
     """The wanted label, else the preferred one, else the first; an unknown wanted label is an error."""
     if wanted is not None:

@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswise.functions import scores as S
 from crosswise.functions import text as T
 from crosswise.operators import entities, lines, metrics, reactions
 from crosswise.plans import shapes
-from crosswise.sources import paths
+from crosswise.plans.registry import query
 from crosswise.plans.shapes import REFERENCE, TOTAL_LINES, table
 from crosswise.session import stage
+from crosswise.sources import paths
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 THRESHOLD = 0.2
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 

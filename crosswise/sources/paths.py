@@ -132,3 +132,13 @@ def fetch(expected: DataFrame, files: DataFrame) -> DataFrame:
     """``expected(key, path)`` with found, content and an error text for what is missing (``files(path, content)``)."""
     out = expected.join(files.select("path", "content"), "path", "left")
     return out.withColumn("found", F.col("content").isNotNull()).withColumn("error", F.when(F.col("content").isNull(), F.concat(F.lit("not found: "), "path")))
+
+
+def signatures(files: DataFrame, config: str = "") -> DataFrame:
+    """Per document a key for what was computed from it: the SHA-256 of its files' names and digests and of the settings.
+
+    ``files(doc_id, name, content)``: the inputs of one comparison; a null name or content counts as empty.
+    """
+    line = F.concat(F.coalesce("name", F.lit("")), F.lit("="), F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256))
+    held = files.select("doc_id", line.alias("line")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_list("line")).alias("lines"))
+    return held.select("doc_id", "files", F.sha2(F.concat_ws("\n", "lines", F.lit(config)), 256).alias("signature"))

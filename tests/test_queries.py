@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from crosswise.plans.queries import QUERIES, SQL
+from crosswise.plans import QUERIES, SQL
 from crosswise.plans.shapes import sections, table
 from crosswise.streaming.runs import current, recompute_on_arrival, windowed_types
 
