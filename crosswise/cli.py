@@ -16,11 +16,7 @@ from pyspark.sql import functions as F
 from crosswise.functions.text import canonical_name
 from crosswise.operators import enrich, entities, lines, metrics, reactions, reports
 from crosswise.session import build_session
-from crosswise.sources.payloads import read_artifacts, read_files
-
-
-#: Numbers of a run's entries start at a multiple of this, which no artifact's own numbers reach.
-RUN_SPAN = 1 << 40
+from crosswise.sources.payloads import bagged, read_artifacts, read_files
 
 
 def labelled(given: list[str]) -> dict[str, str]:
@@ -58,8 +54,7 @@ def compare_lines(spark: SparkSession, runs: dict[str, str], markdown: str, kind
 
 def compare_compounds(spark: SparkSession, runs: dict[str, str], out: str | None) -> str:
     rows = loaded(spark, runs, "compounds")
-    order = F.create_map(*[x for k, label in enumerate(runs) for x in (F.lit(label), F.lit(k))])
-    entries = entities.name_pool(rows.withColumn("ord", F.try_element_at(order, F.col("label")).cast("long") * RUN_SPAN + F.col("ord"))).cache()
+    entries = entities.name_pool(bagged(rows, list(runs))).cache()
     members = entities.members(entries, entities.resolve(entries)).cache()
     first, second = list(runs)[:2]
     if out:
@@ -86,8 +81,7 @@ def record_entries(spark: SparkSession, runs: dict[str, str], r1: dict[str, str]
         F.coalesce(c["smiles"], c["canonical_smiles"], c["product_smiles"]).alias("smiles"), F.coalesce(c["identifier"], c["name"], c["product_name"]).alias("name"),
         c["role"].alias("role"), F.coalesce(c["is_product"], F.lit(False)).alias("is_product"),
     ))
-    order = F.create_map(*[x for k, label in enumerate(runs) for x in (F.lit(label), F.lit(k))])
-    rows = rows.withColumn("compounds", shaped).withColumn("ord", F.try_element_at(order, F.col("label")).cast("long") * RUN_SPAN + F.col("ord"))
+    rows = bagged(rows.withColumn("compounds", shaped), list(runs))
     rows = enrich.with_structures(rows).withColumn("name", canonical_name(F.col("product_name")))
     if r1:
         steps = read_artifacts(read_files(spark, {("doc", label): os.path.abspath(p) for label, p in r1.items()}), "r1")

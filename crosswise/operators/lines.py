@@ -62,6 +62,12 @@ def reference_label(labels: list[str], wanted: str | None = None, preferred: str
     return preferred if preferred in labels else labels[0]
 
 
+def references(runs: DataFrame, preferred: str = "Claude") -> DataFrame:
+    """Each document's reference run: the preferred label where it has one, else its first by ``ord`` (``runs(doc_id, label, ord)``)."""
+    best = F.struct((F.col("label") != preferred).alias("other"), F.col("ord").alias("ord"), F.col("label").alias("label"))
+    return runs.groupBy("doc_id").agg(F.min(best)["label"].alias("reference"))
+
+
 def line_frame(runs: DataFrame, total_lines: int, reference: str) -> DataFrame:
     """Every line of every run that is compared: doc_id, label, line."""
     return runs.filter(F.col("label") != reference).select("doc_id", "label", F.explode(F.sequence(F.lit(1), F.lit(total_lines))).alias("line"))

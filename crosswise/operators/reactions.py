@@ -271,3 +271,11 @@ def representatives(clustered: DataFrame) -> DataFrame:
     """One record per cluster and label: the longest ``row_label``, then the longest product name, then the first."""
     best = F.struct(F.length("row_label"), F.length(F.coalesce("product_name", F.lit(""))), -F.col("ord"))
     return clustered.groupBy("doc_id", "cluster_id", "label").agg(F.max_by("ord", best).alias("ord"), F.max_by("row_label", best).alias("row_label"))
+
+
+def consensus_order(clustered: DataFrame) -> DataFrame:
+    """Each document's clusters in order: most labels first, then the smallest name, then the labels, then the id (``clustered(doc_id, cluster_id, label, name)``)."""
+    sized = clustered.groupBy("doc_id", "cluster_id").agg(
+        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("membership"), F.count_distinct("label").alias("size"), F.min(F.coalesce("name", F.lit(""))).alias("name")
+    )
+    return sized.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), "name", "membership", "cluster_id")))

@@ -9,7 +9,7 @@ from crosswise.operators import lines
 from crosswise.plans import shapes
 from crosswise.plans.registry import query
 from crosswise.plans.shapes import TOTAL_LINES, table
-from crosswise.sources.payloads import read_artifacts
+from crosswise.sources.payloads import bagged, read_artifacts
 
 
 def shaped(rows: Column, inner: str, k: Column) -> Column:
@@ -102,3 +102,16 @@ def reactions_scan(spark, sf_dir):
     )
     found = read_artifacts(made.select("doc_id", "label", shaped(F.col("rows"), "reactions", F.col("doc_id") % 5).alias("content")), "reactions")
     return found.select("doc_id", "ord", "step_index", "product_name", "reactant_names", "yield_pct", "temperature_c", "room_temperature", "non_synthetic", "error")
+
+
+@query(f"""WITH {shapes.SECTIONS}, runs AS (SELECT doc_id, label, min(ord) AS first FROM sections GROUP BY ALL)
+SELECT doc_id, CASE WHEN bool_or(label = 'purchase') THEN 'purchase' ELSE arg_min(label, (first, label)) END AS reference FROM runs GROUP BY doc_id""")
+def reference_runs(spark, sf_dir):
+    runs = shapes.sections(spark, sf_dir).groupBy("doc_id", "label").agg(F.min("ord").alias("ord"))
+    return lines.references(runs, "purchase")
+
+
+@query("SELECT event_id, event_type AS label, CASE event_type WHEN 'view' THEN event_id WHEN 'click' THEN 1099511627776 + event_id WHEN 'error' THEN 2199023255552 + event_id END AS ord FROM events")
+def bag_union(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"), F.col("event_id").alias("ord"))
+    return bagged(rows, ["view", "click", "error"])

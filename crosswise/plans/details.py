@@ -186,3 +186,27 @@ def compare_sink(spark, sf_dir):
     written = reports.compare_json(reactions.match_report(details), details)
     count = lambda k: F.coalesce(F.json_array_length(F.get_json_object("json", f"$.{k}")), F.lit(0)).cast("long").alias(k)
     return written.select("doc_id", _field("$.summary.tp", "long").alias("tp"), count("pairs"), count("false_positives"), count("false_negatives"))
+
+
+_CANONICAL = r"nullif(regexp_replace(regexp_replace(lower(trim(regexp_replace(identifier, '\s+', ' ', 'g'))), '\s*-\s*', '-', 'g'), '[.,;]+$', ''), '')"
+
+
+@query(f"""WITH {shapes.CLUSTERS}, picked AS (SELECT cluster_id, label, arg_min(struct_pack(ord := ord, identifier := identifier), (-length(identifier), ord)) AS r FROM clusters GROUP BY ALL),
+one AS (SELECT cluster_id, r.ord AS ord, r.identifier AS identifier FROM picked WHERE label = 'src0'),
+both_sides AS (SELECT * FROM one WHERE cluster_id IN (SELECT cluster_id FROM picked WHERE label = 'src1'))
+SELECT 'matched' AS kind, ord, row_number() OVER (ORDER BY {_CANONICAL}, identifier, ord) - 1 AS place FROM both_sides
+UNION ALL SELECT 'first_only', ord, row_number() OVER (ORDER BY {_CANONICAL}, identifier, ord) - 1 FROM one WHERE cluster_id NOT IN (SELECT cluster_id FROM both_sides)""")
+def diff_order(spark, sf_dir):
+    written = reports.diff_json(_members(spark, sf_dir)[1], "src0", "src1")
+    lists = F.from_json("json", "matched_pairs array<struct<a struct<ord long>>>, first_only array<struct<a struct<ord long>>>")
+    each = lambda kind: written.select(F.lit(kind).alias("kind"), F.posexplode(lists[kind + ("_pairs" if kind == "matched" else "")]["a"]["ord"]).alias("place", "ord"))
+    return each("matched").unionAll(each("first_only")).select("kind", "ord", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}{_clustered(0.5)}, sized AS (
+  SELECT c.doc_id, c.cluster_id, string_agg(DISTINCT c.label, ',' ORDER BY c.label) AS membership, count(DISTINCT c.label) AS size, min(r.name) AS name
+  FROM clusters c JOIN records r ON r.doc_id = c.doc_id AND r.ord = c.ord GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, name, membership, cluster_id)::INT AS place FROM sized""")
+def consensus_order(spark, sf_dir):
+    r = shapes.records(spark, sf_dir)
+    return reactions.consensus_order(reactions.cluster(r).join(r.select("doc_id", "ord", "name"), ["doc_id", "ord"]))
