@@ -43,8 +43,12 @@ def _size(x: Column) -> Column:
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     """Of two arrays as sets; ``empty`` where both are empty (1 pairwise, 0 across runs)."""
     a, b = (F.coalesce(x, F.array().cast("array<string>")) for x in (a, b))
-    shared, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(empty)).otherwise(F.try_divide(shared.cast("double"), union.cast("double")))
+    return shared_rate(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)), F.size(F.array_distinct(b)), empty)
+
+
+def shared_rate(shared: Column, n: Column, m: Column, empty: float = 0.0) -> Column:
+    """The Jaccard index of two sets of n and m members, of which some are shared."""
+    return F.when(n + m == 0, F.lit(empty)).otherwise(F.try_divide(shared.cast("double"), (n + m - shared).cast("double")))
 
 
 def interval_jaccard(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -60,11 +64,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column, missing: float | None = None) -> Column:
-    """``missing`` where a vector is absent, empty, of another length or zero."""
-    norm = dot(a, a) * dot(b, b)
+def fused_dot(a: Column, b: Column) -> Column:
+    """Left-to-right sum of products, each multiplied and added with one rounding, as SQL engines do in ``list_dot_product``.
+
+    Orders and thresholds depend on the last bit of scores, so ``dot``'s two roundings would not do. Rows are not pruned or moved across it.
+    """
+    fma = lambda x, y, s: F.call_function("java_method", F.lit("java.lang.Math"), F.lit("fma"), x, y, s).cast("double")
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, p: F.when(s.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull(), fma(p["x"], p["y"], s)))
+
+
+def cosine(a: Column, b: Column, missing: float | None = None, norms: tuple[Column, Column] | None = None) -> Column:
+    """``missing`` where a vector is absent, empty, of another length or zero; ``norms``: both vectors' ``fused_dot`` with themselves, where known."""
+    own, other = norms or (fused_dot(a, a), fused_dot(b, b))
+    norm = own * other
     usable = (_size(a) > 0) & (_size(a) == _size(b)) & (norm > 0)
-    return F.when(usable, dot(a, b) / F.sqrt(norm)).otherwise(F.lit(missing).cast("double"))
+    return F.when(usable, fused_dot(a, b) / F.sqrt(norm)).otherwise(F.lit(missing).cast("double"))
 
 
 def name_score(a: Column, b: Column) -> Column:
@@ -118,17 +133,28 @@ def atmosphere(raw: Column) -> Column:
 
 
 def mean_present(*scores: Column) -> Column:
-    have = F.filter(F.array(*scores), lambda x: x.isNotNull())
-    return F.try_divide(F.aggregate(have, F.lit(0.0), lambda s, x: s + x), F.size(have).cast("double"))
+    num = den = F.lit(0.0)
+    for x in scores:
+        num, den = num + F.coalesce(x, F.lit(0.0)), den + x.isNotNull().cast("double")
+    return F.try_divide(num, den)
+
+
+#: Weights are decimal numbers: their sums, and their products with steps that are decimal numbers too, are rounded to so many places.
+PLACES = 12
 
 
-def weighted(parts: list[tuple[float, Column]]) -> Column:
-    """Weighted mean of the parts that are there, summed in order; NULL if none is or their weights are 0."""
+def weighted(parts: list[tuple[float, Column]], steps: tuple[int, ...] = ()) -> Column:
+    """Weighted mean of the parts that are there, summed in order; NULL if none is or their weights are 0.
+
+    The sum of the weights is exact (all six axes weigh 1, not 1.0000000000000002), and so are the
+    products of the parts numbered in ``steps``, whose scores are decimal numbers.
+    """
     num = den = F.lit(0.0)
-    for w, x in parts:
-        num = num + F.when(x.isNotNull(), F.lit(w) * x).otherwise(F.lit(0.0))
+    for k, (w, x) in enumerate(parts):
+        product = F.lit(w) * x
+        num = num + F.coalesce(F.round(product, PLACES) if k in steps else product, F.lit(0.0))
         den = den + F.when(x.isNotNull(), F.lit(w)).otherwise(F.lit(0.0))
-    return F.try_divide(num, den)
+    return F.try_divide(num, F.round(den, PLACES))
 
 
 def clamp01(x: Column) -> Column:

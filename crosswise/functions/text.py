@@ -79,7 +79,10 @@ def class_words(x: Column) -> Column:
 
 def classes_match(a: Column, b: Column) -> Column:
     """Whether the words of one class name are all among the other's; false if either has none."""
-    x, y = class_words(a), class_words(b)
+    return words_match(class_words(a), class_words(b))
+
+
+def words_match(x: Column, y: Column) -> Column:
     both = (F.size(x) > 0) & (F.size(y) > 0)
     return both & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
 

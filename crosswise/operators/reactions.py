@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosswise.functions import scores as S
-from crosswise.functions.text import blank_to_null, classes_match, diagnostic_label, step_label
+from crosswise.functions.text import blank_to_null, class_words, diagnostic_label, step_label, words_match
 from crosswise.session import stage
 
 TIER_ORDER = ("provenance", "compound_jaccard", "combined")
@@ -41,9 +41,11 @@ PAIR_FIELDS = ("ord", "name", "smiles", "reactant_smiles", "reactant_names", "pr
 def pair_scores(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """All baseline-candidate pairs of each document with six axes and the composite.
 
-    Names and structures are canonical already (``name``, ``smiles``, ``reactant_*``).
+    Names and structures are canonical already (``name``, ``smiles``, ``reactant_*``). What depends on one record is computed before the join.
     """
-    p = _sides(baseline, "b", PAIR_FIELDS).join(_sides(candidate, "c", PAIR_FIELDS), "doc_id")
+    own = lambda df: df.withColumns({"norm": S.fused_dot(F.col("procedure_vector"), F.col("procedure_vector")), "words": class_words(F.col("reaction_class"))})
+    names = (*PAIR_FIELDS, "norm", "words")
+    p = _sides(own(baseline), "b", names).join(_sides(own(candidate), "c", names), "doc_id")
     b, c = (lambda n: F.col(f"b_{n}")), (lambda n: F.col(f"c_{n}"))
     conditions = S.mean_present(
         S.temperature_score(b("temperature_c"), b("room_temperature"), c("temperature_c"), c("room_temperature")),
@@ -55,7 +57,7 @@ def pair_scores(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
         "name": S.name_score(b("name"), c("name")),
         "smiles": S.equal_score(b("smiles"), c("smiles")),
         "reactants": S.set_score(b("reactant_smiles"), c("reactant_smiles"), b("reactant_names"), c("reactant_names")),
-        "procedure": F.when(both, S.cosine(b("procedure_vector"), c("procedure_vector"), 0.0)),
+        "procedure": F.when(both, S.cosine(b("procedure_vector"), c("procedure_vector"), 0.0, (b("norm"), c("norm")))),
         "yield": S.yield_score(b("yield_pct"), c("yield_pct")),
         "conditions": conditions,
     }
@@ -64,9 +66,9 @@ def pair_scores(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
         F.coalesce(b("diagnostic") == c("diagnostic"), F.lit(False)).alias("label_match"),
         F.coalesce(b("smiles") == c("smiles"), F.lit(False)).alias("smiles_match"),
         F.abs(b("yield_pct") - c("yield_pct")).alias("yield_difference"),
-        classes_match(b("reaction_class"), c("reaction_class")).alias("class_match"),
+        words_match(b("words"), c("words")).alias("class_match"),
     )
-    return out.withColumn("composite", S.weighted([(S.AXIS_WEIGHTS[k], F.col(f"axis_{k}")) for k in AXES]))
+    return out.withColumn("composite", S.weighted([(S.AXIS_WEIGHTS[k], F.col(f"axis_{k}")) for k in AXES], (AXES.index("yield"),)))
 
 
 def assign(pairs: DataFrame, threshold: float = S.MATCH_AT) -> DataFrame:

@@ -74,3 +74,24 @@ def test_paths(spark):
     assert one(spark, paths.country_code(name)) == "CN"
     assert one(spark, paths.base_path(name)) == "literature/patents/CN/99/4506b18c-80c1-5905-ad34-cecfd06ac15b"
     assert one(spark, paths.country_code(F.lit("1"))) == "XX"
+
+
+def test_composites_are_exact_to_the_last_bit(spark):
+    """Equal weights sum to 1, steps are decimal numbers and products are summed with one rounding each, so near-ties are ordered as SQL orders them."""
+    import math
+
+    from crosswise.operators.reactions import AXES
+
+    weights = [(S.AXIS_WEIGHTS[k], F.lit(x)) for k, x in zip(AXES, (0.3, 0.0, 0.0, 0.0, 0.75, 0.0))]
+    vectors = spark.createDataFrame([([0.04, 0.07, 0.34], [0.09, 0.02, 0.98]), ([0.1, 0.03, 0.58], [0.07, 0.06, 0.14])], "a array<double>, b array<double>")
+    found = vectors.select("a", "b", S.weighted(weights, (4,)).alias("w"), S.fused_dot(F.col("a"), F.col("b")).alias("dot"), S.cosine(F.col("a"), F.col("b")).alias("cos")).collect()
+    for r in found:
+        assert r.w == 0.4 * 0.3 + 0.0375
+
+        def dot(x, y):
+            out = 0.0
+            for p, q in zip(x, y):
+                out = math.fma(p, q, out)
+            return out
+
+        assert r.dot == dot(r.a, r.b) and r.cos == dot(r.a, r.b) / math.sqrt(dot(r.a, r.a) * dot(r.b, r.b))
