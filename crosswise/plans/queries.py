@@ -28,12 +28,26 @@ def _painted(spark, sf_dir):
     return lines.paint(shapes.sections(spark, sf_dir), TOTAL_LINES)
 
 
-def _scores(spark, sf_dir):
-    painted = _painted(spark, sf_dir)
-    runs = shapes.sections(spark, sf_dir).select("doc_id", "label").distinct()
-    painted = stage(painted, "painted")  # read three times: by the runs, by the reference and for the distinct label pairs
-    similar = lines.label_similarity(painted, REFERENCE, shapes.label_vectors(spark, sf_dir))
-    return lines.line_scores(painted, runs, TOTAL_LINES, REFERENCE, similar)
+def _beside(spark, sf_dir):
+    return lines.beside_reference(shapes.sections(spark, sf_dir), TOTAL_LINES, REFERENCE)
+
+
+def _model_similarity(spark, sf_dir):
+    return lines.pair_similarity(lines.met_labels(_beside(spark, sf_dir)), shapes.label_vectors(spark, sf_dir))
+
+
+def _label_similarity(spark, sf_dir):
+    return _model_similarity(spark, sf_dir).groupBy("a", "b").agg(F.avg("sim").alias("sim"))
+
+
+def _compared(spark, sf_dir):
+    """Covered lines and the similarity of the labels that meet on them; its table is written, so that its size is known before lines are joined to it."""
+    return _beside(spark, sf_dir), stage(_label_similarity(spark, sf_dir), "similarity")
+
+
+def _regions(spark, sf_dir):
+    beside, similar = _compared(spark, sf_dir)
+    return lines.covered_regions(beside, TOTAL_LINES, THRESHOLD, similar)
 
 
 @query(f"WITH {shapes.PAINTED} SELECT * FROM painted")
@@ -43,9 +57,7 @@ def paint_lines(spark, sf_dir):
 
 @query(f"WITH {shapes.SCORED} SELECT doc_id, label, count(*) FILTER (agree) AS n_agree, round(avg(agree::INT), 6) AS agreement FROM scores GROUP BY ALL")
 def type_agreement(spark, sf_dir):
-    runs = shapes.sections(spark, sf_dir).select("doc_id", "label").distinct()
-    scored = lines.line_scores(_painted(spark, sf_dir), runs, TOTAL_LINES, REFERENCE)
-    return rounded(lines.run_scores(scored).drop("mean_sim"), "agreement")
+    return rounded(lines.covered_scores(_beside(spark, sf_dir), TOTAL_LINES).drop("mean_sim"), "agreement")
 
 
 @query(f"WITH {shapes.SECTIONS} SELECT label, section_type, count(*) AS n FROM sections GROUP BY ALL")
@@ -55,7 +67,8 @@ def type_distribution(spark, sf_dir):
 
 @query(f"WITH {shapes.SCORED} SELECT doc_id, label, count(*) FILTER (agree) AS n_agree, round(avg(agree::INT), 6) AS agreement, round(avg(sim), 6) AS mean_sim FROM scores GROUP BY ALL")
 def run_scores(spark, sf_dir):
-    return rounded(lines.run_scores(_scores(spark, sf_dir)), "agreement", "mean_sim")
+    beside, similar = _compared(spark, sf_dir)
+    return rounded(lines.covered_scores(beside, TOTAL_LINES, similar), "agreement", "mean_sim")
 
 
 @query(f"""WITH {shapes.SCORED}
@@ -63,14 +76,14 @@ SELECT DISTINCT s.a, s.b, round(s.sim, 6) AS sim
 FROM painted p JOIN painted r ON p.doc_id = r.doc_id AND p.line = r.line AND r.label = '{REFERENCE}' AND p.label <> '{REFERENCE}'
 JOIN alike s ON s.a = r.line_label AND s.b = p.line_label""")
 def label_similarity(spark, sf_dir):
-    return rounded(lines.label_similarity(_painted(spark, sf_dir), REFERENCE, shapes.label_vectors(spark, sf_dir)), "sim")
+    return rounded(_label_similarity(spark, sf_dir), "sim")
 
 
 @query(f"""WITH {shapes.SCORED},
 met AS (SELECT DISTINCT r.line_label AS a, p.line_label AS b FROM painted p JOIN painted r ON p.doc_id = r.doc_id AND p.line = r.line AND r.label = '{REFERENCE}' AND p.label <> '{REFERENCE}')
 SELECT a, b, x.model, round(list_dot_product(x.v, y.v), 6) AS sim FROM met JOIN vectors x ON x.label_text = a JOIN vectors y ON y.label_text = b AND y.model = x.model""")
 def model_similarity(spark, sf_dir):
-    return rounded(lines.model_similarity(_painted(spark, sf_dir), REFERENCE, shapes.label_vectors(spark, sf_dir)), "sim")
+    return rounded(_model_similarity(spark, sf_dir), "sim")
 
 
 FLAGGED = f"""{shapes.SCORED},
@@ -87,7 +100,7 @@ models AS (SELECT i.doc_id, i.island, string_agg(DISTINCT s.label, ',' ORDER BY
            FROM islands i JOIN scores s USING (doc_id, line) WHERE NOT s.agree OR s.sim < {THRESHOLD} GROUP BY ALL)
 SELECT doc_id, start_line, end_line, round(avg_sim, 6) AS avg_sim, issue_kind, disagreeing FROM regions JOIN models USING (doc_id, island)""")
 def flag_regions(spark, sf_dir):
-    return rounded(lines.flag_regions(stage(_scores(spark, sf_dir), "line-scores"), THRESHOLD), "avg_sim")
+    return rounded(_regions(spark, sf_dir), "avg_sim")
 
 
 @query(f"""WITH {FLAGGED},
@@ -95,7 +108,7 @@ inside AS (SELECT p.doc_id, r.start_line, p.label, p.line_type, count(*) AS n, m
            FROM painted p JOIN regions r ON p.doc_id = r.doc_id AND p.line BETWEEN r.start_line AND r.end_line GROUP BY ALL)
 SELECT doc_id, start_line, label, arg_max(line_type, (n, -first)) AS dominant FROM inside GROUP BY doc_id, start_line, label""")
 def region_dominant(spark, sf_dir):
-    return lines.dominant_values(_painted(spark, sf_dir), lines.flag_regions(stage(_scores(spark, sf_dir), "line-scores"), THRESHOLD))
+    return lines.dominant_values(_painted(spark, sf_dir), _regions(spark, sf_dir))
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents")

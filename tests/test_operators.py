@@ -207,3 +207,29 @@ def test_colours_take_the_whole_digest(spark):
     for palette in (8, 7):
         got = [r.i for r in df.select(text.colour_index(F.col("v"), palette).alias("i")).collect()]
         assert got == [int(hashlib.md5(b"red").hexdigest(), 16) % palette, None, None, None]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_covered_lines_give_the_scores_and_regions_of_all_lines(spark, seed):
+    """The forms without uncovered lines equal the plain ones; documents have good lines, gaps, runs outside the lines, and no reference."""
+    rng, total = random.Random(seed), 12
+    made = [
+        (doc, label, k * 100 + j, rng.choice("xy") if doc % 3 else "x", rng.choice("pq"), at, at + rng.randrange(5))
+        for doc in range(12) for k, label in enumerate(("ref", "m", "n")) if rng.random() < 0.8 for j in range(rng.randrange(1, 9)) for at in (rng.randrange(-2, 15),)
+    ] + [(50, "m", 1, "x", "p", 40, 41), (51, "ref", 1, "x", "p", 1, 12), (51, "m", 1, "x", "p", 3, 12), (52, "ref", 1, "x", "p", 1, 12), (52, "m", 1, "x", "p", 1, 10)]
+    s = spark.createDataFrame(made, "doc_id long, label string, ord int, section_type string, section_label string, start_line int, end_line int")
+    similar = spark.createDataFrame([("p", "p", 1.0), ("p", "q", -0.5), ("q", "p", 0.3), ("q", "q", 0.9)], "a string, b string, sim double")
+    scores = lines.line_scores(lines.paint(s, total), s.select("doc_id", "label").distinct(), total, "ref", similar)
+    beside = lines.beside_reference(s, total, "ref")
+    cell = lambda v: round(v, 9) + 0.0 if isinstance(v, float) else v
+    rows = lambda df: sorted(tuple(map(cell, r)) for r in df.collect())
+    assert rows(lines.covered_scores(beside, total, similar)) == rows(lines.run_scores(scores))
+    regions = lines.flag_regions(scores, 0.2)
+    assert rows(lines.covered_regions(beside, total, 0.2, similar)) == rows(regions) and regions.count() > 12
+
+
+def test_uncovered_lines_are_not_made(spark):
+    """Lines are neither filled up to the document's length nor shuffled: sections are dealt once."""
+    s = spark.createDataFrame([(1, "ref", 0, "x", "p", 1, 2), (1, "m", 0, "x", "p", 2, 3)], "doc_id long, label string, ord int, section_type string, section_label string, start_line int, end_line int")
+    plan = lines.covered_regions(lines.beside_reference(s, 100000, "ref"), 100000, 0.2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and lines.paint(s, 9)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
