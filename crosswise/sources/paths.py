@@ -139,6 +139,8 @@ def signatures(files: DataFrame, config: str = "") -> DataFrame:
 
     ``files(doc_id, name, content)``: the inputs of one comparison; a null name or content counts as empty.
     """
-    line = F.concat(F.coalesce("name", F.lit("")), F.lit("="), F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256))
-    held = files.select("doc_id", line.alias("line")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_list("line")).alias("lines"))
+    digest = F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256)
+    file = F.struct(F.coalesce("name", F.lit("")).alias("name"), digest.alias("digest"))  # by name first: one name may begin with another
+    held = files.select("doc_id", file.alias("file")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_list("file")).alias("found"))
+    held = held.withColumn("lines", F.transform("found", lambda f: F.concat(f["name"], F.lit("="), f["digest"])))
     return held.select("doc_id", "files", F.sha2(F.concat_ws("\n", "lines", F.lit(config)), 256).alias("signature"))

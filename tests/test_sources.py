@@ -118,3 +118,12 @@ def test_murmur3_is_the_published_one(spark):
     assert {n: got[n][0] for n in known} == known
     assert all(got[n] == (plain_murmur3(n.encode()), plain_murmur3(n.encode()) % 128) for n in names)
     assert spark.sql("SELECT CAST(NULL AS STRING) AS n").select(paths.hash_bucket(F.col("n")).alias("b")).first().b is None
+
+
+def test_signatures_order_files_by_name_first(spark):
+    """A name that begins with another one comes after it, whatever follows."""
+    import hashlib
+
+    digest = hashlib.sha256(b"x").hexdigest()
+    found = paths.signatures(spark.createDataFrame([(1, n, b"x") for n in ("a/b", "a", "a#top")], "doc_id long, name string, content binary"), "c").first()
+    assert found.signature == hashlib.sha256("\n".join([*(f"{n}={digest}" for n in ("a", "a#top", "a/b")), "c"]).encode()).hexdigest()
