@@ -100,8 +100,9 @@ def reactions_scan(spark, sf_dir):
         F.array("l_returnflag", F.lit(""), "l_linestatus").alias("reactant_names"), F.col("l_discount").alias("product_yield_pct"), F.when(n == 1, F.col("l_tax")).alias("temperature_c"),
         block.alias("conditions"), (F.col("l_returnflag") == "R").alias("non_synthetic"),
     )
-    found = read_artifacts(made.select("doc_id", "label", shaped(F.col("rows"), "reactions", F.col("doc_id") % 5).alias("content")), "reactions")
-    return found.select("doc_id", "ord", "step_index", "product_name", "reactant_names", "yield_pct", "temperature_c", "room_temperature", "non_synthetic", "error")
+    columns = ("step_index", "product_name", "reactant_names", "yield_pct", "temperature_c", "room_temperature", "non_synthetic")
+    found = read_artifacts(made.select("doc_id", "label", shaped(F.col("rows"), "reactions", F.col("doc_id") % 5).alias("content")), "reactions", columns)
+    return found.select("doc_id", "ord", *columns, "error")
 
 
 @query(f"""WITH {shapes.SECTIONS}, runs AS (SELECT doc_id, label, min(ord) AS first FROM sections GROUP BY ALL)

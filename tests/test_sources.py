@@ -127,3 +127,14 @@ def test_signatures_order_files_by_name_first(spark):
     digest = hashlib.sha256(b"x").hexdigest()
     found = paths.signatures(spark.createDataFrame([(1, n, b"x") for n in ("a/b", "a", "a#top")], "doc_id long, name string, content binary"), "c").first()
     assert found.signature == hashlib.sha256("\n".join([*(f"{n}={digest}" for n in ("a", "a#top", "a/b")), "c"]).encode()).hexdigest()
+
+
+def test_columns_and_batches_of_artifacts(spark):
+    """Only the asked columns are made; artifacts share batches, and one that cannot be stored does not spoil the others."""
+    made = [("d", "good", '[{"product_name": "p", "procedure_text": "t"}]'), ("d", "odd", '[{"product_name": "\\ud800"}]'), ("d", "empty", "[]"), ("d", "bad", "{")]
+    held = spark.createDataFrame(made, "doc_id string, label string, content string").coalesce(1)
+    found = read_artifacts(held, "reactions", ("product_name",))
+    assert found.columns == ["doc_id", "label", "ord", "product_name", "error"]
+    rows = {r.label: r for r in found.collect()}
+    assert rows["good"].product_name == "p" and rows["good"].error is None and rows["odd"].error and rows["bad"].error
+    assert {r.label for r in read_artifacts(held, "reactions").collect()} == set(rows)
