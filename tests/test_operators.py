@@ -233,3 +233,12 @@ def test_uncovered_lines_are_not_made(spark):
     s = spark.createDataFrame([(1, "ref", 0, "x", "p", 1, 2), (1, "m", 0, "x", "p", 2, 3)], "doc_id long, label string, ord int, section_type string, section_label string, start_line int, end_line int")
     plan = lines.covered_regions(lines.beside_reference(s, 100000, "ref"), 100000, 0.2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and lines.paint(s, 9)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_pair_of_records_has_each_cosine_once(spark):
+    """The blend reads a cosine several times; it is computed once for each vector."""
+    kinds = "doc_id long, ord long, label string, name string, start_line int, end_line int, compound_smiles array<string>, procedure_vector array<double>, reaction_vector array<double>"
+    r = spark.createDataFrame([(1, 1, "a", "n", 1, 2, ["x"], [1.0, 0.5], None), (1, 2, "b", "n", 1, 2, ["x"], [1.0, 0.5], None)], kinds)
+    scored = reactions.edge_scores(r)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt(") == 2
+    assert [(e.overlap, e.sets, round(e.blend, 9)) for e in scored.collect()] == [(1.0, 1.0, 1.0)]
