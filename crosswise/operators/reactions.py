@@ -1,13 +1,13 @@
 """Matching of records: 6-axis pairs with greedy assignment, tiered n-way edges with constrained clustering, line join, sweep.
 
-Pairs are made inside a document only, by an equi-join on ``doc_id``. The greedy passes are
-order-dependent: each document's surviving edges are sorted into one total order and folded by a native
-``aggregate``, without Python. A document has tens of records, and its edges were thresholded before.
+Pairs are made inside a document only: by an equi-join on ``doc_id``, or (edges and clusters) from the array of its
+records. The greedy passes are order-dependent: each document's surviving edges are sorted into one total order and folded
+by a native ``aggregate``, without Python. A document has tens of records, and its edges were thresholded before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,47 +130,83 @@ def label_overlap(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 EDGE_FIELDS = ("ord", "label", "name", "start_line", "end_line", "compound_smiles", "procedure_vector", "reaction_vector")
 
 
+VECTORS = {"norm": "procedure_vector", "reaction_norm": "reaction_vector"}
+
+
+def _set_size() -> Column:
+    return F.size(F.array_distinct("compound_smiles"))
+
+
+def _own(entries: DataFrame) -> DataFrame:
+    """``entries`` with what a record has by itself: the size of its set and its vectors' dot products with themselves."""
+    return entries.withColumns({"n_compounds": _set_size(), **{n: S.fused_dot(F.col(v), F.col(v)) for n, v in VECTORS.items()}})
+
+
+def _signals(a: Callable[[str], Column], b: Callable[[str], Column]) -> dict[str, Column]:
+    """What is cheap to say of a pair of records, of which ``a`` and ``b`` give the fields."""
+    overlap = S.interval_jaccard(a("start_line"), a("end_line"), b("start_line"), b("end_line"))
+    both = (F.coalesce(a("n_compounds"), F.lit(0)) > 0) & (F.coalesce(b("n_compounds"), F.lit(0)) > 0)
+    sets = F.when(both, S.shared_rate(F.size(F.array_intersect(a("compound_smiles"), b("compound_smiles"))), a("n_compounds"), b("n_compounds")))
+    return {"overlap": overlap, "sets": sets, "same": S.equal_score(a("name"), b("name"))}
+
+
+def _cosines(a: Callable[[str], Column], b: Callable[[str], Column]) -> dict[str, Column]:
+    return {n: S.cosine(a(v), b(v), norms=(a(n), b(n))) for n, v in VECTORS.items()}
+
+
+def _blend(p: Callable[[str], Column], config: S.MatchConfig, alike: dict[str, Column] | None = None) -> Column:
+    """The weighted mean of a pair's signals and cosines."""
+    alike = alike or {n: S.clamp01(p(n)) for n in VECTORS}
+    parts = [(config.w_product_name, p("same")), (config.w_procedure, alike["norm"]), (config.w_compound, p("sets")), (config.w_reaction, alike["reaction_norm"])]
+    return F.coalesce(S.weighted(parts), F.lit(0.0))
+
+
+def _fires(p: Callable[[str], Column], config: S.MatchConfig) -> list[Column]:
+    """Whether a pair fires at the two tiers that need no cosine."""
+    return [
+        F.lit(config.enable_provenance) & F.coalesce(p("overlap") >= config.tau_provenance, F.lit(False)),
+        F.lit(config.enable_compound_jaccard) & F.coalesce(p("sets") >= config.tau_jaccard, F.lit(False)),
+    ]
+
+
+def _may_fire(p: Callable[[str], Column], both: dict[str, Column], config: S.MatchConfig) -> Column:
+    """Whether a pair fires at some tier if its cosines are 1, the most they can be, where ``both`` vectors are there: no other pair can fire."""
+    may = F.lit(config.enable_combined)
+    if min(config.w_product_name, config.w_procedure, config.w_compound, config.w_reaction) >= 0:
+        most = _blend(p, config, {n: F.when(x, F.lit(1.0)) for n, x in both.items()})
+        may = may & (most >= config.tau_combined - 1e-9)
+    fires = _fires(p, config)
+    return fires[0] | fires[1] | may
+
+
+def _tiered(p: Callable[[str], Column], blend: Column, config: S.MatchConfig) -> tuple[Column, Column]:
+    """The strongest tier that a pair fires at (NULL if none), and its score there."""
+    fires = [*_fires(p, config), F.lit(config.enable_combined) & (blend >= config.tau_combined)]
+    return F.when(fires[0], 0).when(fires[1], 1).when(fires[2], 2), F.when(fires[0], p("overlap")).when(fires[1], p("sets")).when(fires[2], blend)
+
+
 def edge_scores(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
     """Every pair of different labels of a document with what each tier says of it (thresholds and switches have no part in it)."""
-    vectors = {"norm": "procedure_vector", "reaction_norm": "reaction_vector"}
-    own = entries.withColumns({"n_compounds": F.size(F.array_distinct("compound_smiles")), **{n: S.fused_dot(F.col(v), F.col(v)) for n, v in vectors.items()}})
-    names = (*EDGE_FIELDS, "n_compounds", *vectors)
+    names = (*EDGE_FIELDS, "n_compounds", *VECTORS)
+    own = _own(entries)
     p = _sides(own, "l", names).join(_sides(own, "r", names), "doc_id").filter("l_ord < r_ord and l_label <> r_label")
     a, b = (lambda n: F.col(f"l_{n}")), (lambda n: F.col(f"r_{n}"))
-    overlap = S.interval_jaccard(a("start_line"), a("end_line"), b("start_line"), b("end_line"))
-    both = (F.coalesce(a("n_compounds"), F.lit(0)) > 0) & (F.coalesce(b("n_compounds"), F.lit(0)) > 0)
-    sets = F.when(both, S.shared_rate(F.size(F.array_intersect(a("compound_smiles"), b("compound_smiles"))), a("n_compounds"), b("n_compounds")))
-    alike = {n: S.cosine(a(v), b(v), norms=(a(n), b(n))) for n, v in vectors.items()}
+    ids = ("doc_id", "l_ord", "r_ord", "l_label", "r_label")
     # each cosine is a column of its own: the blend reads it several times
-    p = p.select("doc_id", "l_ord", "r_ord", "l_label", "r_label", overlap.alias("overlap"), sets.alias("sets"), S.equal_score(a("name"), b("name")).alias("same"), *[v.alias(n) for n, v in alike.items()])
-    blend = S.weighted([
-        (config.w_product_name, F.col("same")), (config.w_procedure, S.clamp01(F.col("norm"))), (config.w_compound, F.col("sets")), (config.w_reaction, S.clamp01(F.col("reaction_norm"))),
-    ])
-    return p.select("doc_id", "l_ord", "r_ord", "l_label", "r_label", "overlap", "sets", F.coalesce(blend, F.lit(0.0)).alias("blend"))
+    p = p.select(*ids, *[v.alias(n) for n, v in (*_signals(a, b).items(), *_cosines(a, b).items())])
+    return p.select(*ids, "overlap", "sets", _blend(F.col, config).alias("blend"))
 
 
 def fired(scored: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
     """The scored pairs that fire at some tier: the strongest, with its own score."""
-    fires = [
-        F.lit(config.enable_provenance) & F.coalesce(F.col("overlap") >= config.tau_provenance, F.lit(False)),
-        F.lit(config.enable_compound_jaccard) & F.coalesce(F.col("sets") >= config.tau_jaccard, F.lit(False)),
-        F.lit(config.enable_combined) & (F.col("blend") >= config.tau_combined),
-    ]
-    tier, score = F.when(fires[0], 0).when(fires[1], 1).when(fires[2], 2), F.when(fires[0], F.col("overlap")).when(fires[1], F.col("sets")).when(fires[2], F.col("blend"))
+    tier, score = _tiered(F.col, F.col("blend"), config)
     return scored.select("doc_id", "l_ord", "r_ord", "l_label", "r_label", tier.alias("tier"), score.alias("score")).filter("tier is not null")
 
 
-def edges(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
-    """Every pair of different labels of a document that fires at some tier: the strongest, with its own score."""
-    return fired(edge_scores(entries, config), config)
-
-
-def _merged(found: DataFrame) -> DataFrame:
-    """Single linkage, strongest edge first, at most one record per label in a cluster: (doc_id, ord, cluster_id, tier)."""
-    kinds = dict(found.dtypes)
-    edge = F.struct("tier", (-F.col("score")).alias("weak"), "l_ord", "r_ord", "l_label", "r_label")
+def _linked(e: Column) -> Column:
+    """Single linkage of a document's sorted edges, strongest first, at most one record per label in a cluster: the clusters' records, labels and tier."""
     alone = lambda o, label: F.struct(F.array(o).alias("ords"), F.array(label).alias("labels"), F.lit(None).cast("int").alias("tier"))
-    ends = F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(alone(x["l_ord"], x["l_label"]), alone(x["r_ord"], x["r_label"])))))
+    ends = F.array_distinct(F.flatten(F.transform(e, lambda x: F.array(alone(x["l_ord"], x["l_label"]), alone(x["r_ord"], x["r_label"])))))
 
     def join(groups: Column, e: Column) -> Column:
         a = F.get(F.filter(groups, lambda g: F.array_contains(g["ords"], e["l_ord"])), 0)
@@ -182,20 +218,78 @@ def _merged(found: DataFrame) -> DataFrame:
         # a cluster holds its own labels, so two records of one cluster overlap as well
         return F.when(F.arrays_overlap(a["labels"], b["labels"]), groups).otherwise(F.concat(rest, F.array(both)))
 
-    folded = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(edge)).alias("e")).select("doc_id", F.explode(F.aggregate("e", ends, join)).alias("g"))
-    return folded.select("doc_id", F.explode("g.ords").alias("ord"), F.array_min("g.ords").cast(kinds["l_ord"]).alias("cluster_id"), "g.tier")
+    return F.aggregate(e, ends, join)
+
+
+def _edge(p: Callable[[str], Column], tier: Column, score: Column) -> Column:
+    return F.struct(tier.alias("tier"), (-score).alias("weak"), *[p(c).alias(c) for c in ("l_ord", "r_ord", "l_label", "r_label")])
+
+
+def _tier_name(tier: Column) -> Column:
+    return F.when(tier.isNotNull(), F.element_at(F.array(*[F.lit(t) for t in TIER_ORDER]), tier + 1))
 
 
 def _named(entries: DataFrame, found: DataFrame) -> DataFrame:
-    tier = F.element_at(F.array(*[F.lit(t) for t in TIER_ORDER]), F.col("tier") + 1)
-    return entries.select("doc_id", "ord", "label").join(_merged(found), ["doc_id", "ord"], "left").select(
-        "doc_id", "ord", "label", F.coalesce("cluster_id", "ord").alias("cluster_id"), F.when(F.col("tier").isNotNull(), tier).alias("match_tier")
+    """``entries`` with the clusters and tiers that the edges ``found`` give."""
+    sorted_ = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(_edge(F.col, F.col("tier"), F.col("score")))).alias("e"))
+    folded = sorted_.select("doc_id", F.explode(_linked(F.col("e"))).alias("g")).select("doc_id", F.explode("g.ords").alias("ord"), F.array_min("g.ords").alias("cluster_id"), "g.tier")
+    return entries.select("doc_id", "ord", "label").join(folded, ["doc_id", "ord"], "left").select(
+        "doc_id", "ord", "label", F.coalesce("cluster_id", "ord").alias("cluster_id"), _tier_name(F.col("tier")).alias("match_tier")
     )
 
 
-def cluster(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
-    """(doc_id, ord, label, cluster_id, match_tier); a record that fires nothing is its own cluster with tier NULL."""
-    return _named(entries, edges(entries, config))
+def _with_edges(docs: DataFrame, config: S.MatchConfig) -> DataFrame:
+    """``docs(doc_id, rs)``, a row for each document with the array of its records, with its sorted edges ``e``."""
+    ids = ("l_ord", "r_ord", "l_label", "r_label", "overlap", "sets")
+
+    def of(left: Column) -> Column:
+        others = F.filter("rs", lambda r: (left["ord"] < r["ord"]) & (left["label"] != r["label"]))
+        pairs = F.transform(others, lambda r: F.struct(
+            left["ord"].alias("l_ord"), r["ord"].alias("r_ord"), left["label"].alias("l_label"), r["label"].alias("r_label"), left["at"].alias("l_at"), r["at"].alias("r_at"),
+            *[v.alias(n) for n, v in _signals(left.getField, r.getField).items()], *[(left[v].isNotNull() & r[v].isNotNull()).alias(v) for v in VECTORS.values()],
+        ))
+        return F.filter(pairs, lambda p: _may_fire(p.getField, {n: p[v] for n, v in VECTORS.items()}, config))
+
+    def cosines(p: Column) -> Column:
+        fires = _fires(p.getField, config)
+        side = lambda at: lambda n: F.get("norms" if n in VECTORS else "rs", at)[n]
+        alike = _cosines(side(p["l_at"]), side(p["r_at"]))
+        return F.struct(*[p[c].alias(c) for c in (*ids, "same")], *[F.when(~(fires[0] | fires[1]), v).alias(n) for n, v in alike.items()])
+
+    # Norms are needed only in documents with a pair whose cosines count, there once a record. Each cosine and the blend are fields of their own: they are read several times.
+    docs = docs.withColumn("rs", F.transform("rs", lambda r, k: r.withField("at", k)))
+    docs = docs.withColumn("p", F.when(F.col("doc_id").isNotNull() & (F.size("rs") > 1), F.flatten(F.transform("rs", of))))
+    weak = F.exists("p", lambda p: ~(_fires(p.getField, config)[0] | _fires(p.getField, config)[1]))
+    docs = docs.withColumn("norms", F.when(weak, F.transform("rs", lambda r: F.struct(*[S.fused_dot(r[v], r[v]).alias(n) for n, v in VECTORS.items()]))))
+    blended = F.transform(F.transform("p", cosines), lambda p: F.struct(*[p[c].alias(c) for c in ids], _blend(p.getField, config).alias("blend")))
+    found = F.filter(F.transform(blended, lambda p: _edge(p.getField, *_tiered(p.getField, p["blend"], config))), lambda e: e["tier"].isNotNull())
+    return docs.select("doc_id", "rs", F.when(F.size("p") > 0, F.array_sort(found)).alias("e"))
+
+
+def _documents(entries: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, rs): each document's records in one array."""
+    record = F.struct(*dict.fromkeys((*EDGE_FIELDS, *keep)), _set_size().alias("n_compounds"))
+    return entries.groupBy("doc_id").agg(F.collect_list(record).alias("rs"))
+
+
+def edges(entries: DataFrame, config: S.MatchConfig = S.MatchConfig()) -> DataFrame:
+    """Every pair of different labels of a document that fires at some tier: the strongest, with its own score."""
+    found = _with_edges(_documents(entries), config).select("doc_id", F.explode("e").alias("e"))
+    return found.select("doc_id", "e.l_ord", "e.r_ord", "e.l_label", "e.r_label", "e.tier", (-F.col("e.weak")).alias("score"))
+
+
+def cluster(entries: DataFrame, config: S.MatchConfig = S.MatchConfig(), keep: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, ord, label, cluster_id, match_tier) and the fields to ``keep``; a record that fires nothing is its own cluster with tier NULL.
+
+    A document's records are brought together once; its pairs are made, tested and folded there, without a join.
+    """
+    keep = list(keep)
+    docs = _with_edges(_documents(entries, keep), config)
+    docs = docs.select("doc_id", "rs", F.when(F.size("e") > 0, _linked(F.col("e"))).alias("gs"))
+    docs = docs.select("doc_id", "rs", F.transform("gs", lambda g: F.struct(g["ords"].alias("ords"), F.array_min(g["ords"]).alias("id"), g["tier"].alias("tier"))).alias("gs"))
+    rows = docs.select("doc_id", "gs", F.explode("rs").alias("r"))
+    rows = rows.withColumn("g", F.when(F.col("gs").isNotNull(), F.get(F.filter("gs", lambda g: F.array_contains(g["ords"], F.col("r")["ord"])), 0)))
+    return rows.select("doc_id", "r.ord", "r.label", F.coalesce("g.id", "r.ord").alias("cluster_id"), _tier_name(F.col("g")["tier"]).alias("match_tier"), *[F.col("r")[c].alias(c) for c in keep])
 
 
 def sweep(entries: DataFrame, field: str, values: list[float], base: S.MatchConfig = S.MatchConfig()) -> DataFrame:

@@ -513,8 +513,8 @@ def reaction_representatives(spark, sf_dir):
     records = shapes.records(spark, sf_dir)
     none = F.lit(None).cast("string")
     called = reactions.row_label({"reaction_id": none, "section_label": F.col("section_label"), "step_label": F.col("step_label"), "product_name": F.col("name"), "product_smiles": F.col("smiles")})
-    named = records.select("doc_id", "ord", called.alias("row_label"), F.col("name").alias("product_name"))
-    return reactions.representatives(reactions.cluster(records).join(named, ["doc_id", "ord"]))
+    named = records.withColumns({"row_label": called, "product_name": F.col("name")})
+    return reactions.representatives(reactions.cluster(named, keep=["row_label", "product_name"]))
 
 
 @query(f"WITH {RECORDS} SELECT label, count(*) FILTER (t <= 45) AS kept, count(*) FILTER (t > 45) AS skipped FROM records GROUP BY label")

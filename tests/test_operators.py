@@ -242,3 +242,25 @@ def test_a_pair_of_records_has_each_cosine_once(spark):
     scored = reactions.edge_scores(r)
     assert scored._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt(") == 2
     assert [(e.overlap, e.sets, round(e.blend, 9)) for e in scored.collect()] == [(1.0, 1.0, 1.0)]
+
+
+KINDS = "doc_id long, ord long, label string, name string, start_line int, end_line int, compound_smiles array<string>, procedure_vector array<double>, reaction_vector array<double>"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_within_documents_equal_those_of_scored_pairs(spark, seed):
+    """Pairs that can't fire are left out before their cosines; the edges and clusters are those of all scored pairs."""
+    rng = random.Random(seed)
+    vector = lambda: rng.choice([None, [], [1.0, 0.5], [0.5, 1.0], [0.1, 0.7], [0.0, 0.0], [1.0]])
+    span = lambda: rng.choice([(None, None), (1, 4), (2, 5), (4, 2), (3, 9)])
+    made = [
+        (rng.choice([None, doc, doc]), k, rng.choice("abcd"), rng.choice(["n", "m", None]), *span(), rng.choice([None, [], ["x"], ["x", "y"], ["x", "x", "z"]]), vector(), vector())
+        for doc in range(25) for k in range(rng.randrange(1, 9))
+    ]
+    r = spark.createDataFrame(made, KINDS)
+    rows = lambda df, *names: sorted(map(repr, df.select(*names).collect()))
+    for config in (MatchConfig(), MatchConfig(tau_combined=0.0, tau_provenance=0.9), MatchConfig(enable_provenance=False, enable_combined=False), MatchConfig(w_compound=-0.25, enable_compound_jaccard=False)):
+        scored = reactions.fired(reactions.edge_scores(r, config), config)
+        assert rows(reactions.edges(r, config), *scored.columns) == rows(scored, *scored.columns)
+        names = ("doc_id", "ord", "label", "cluster_id", "match_tier")
+        assert rows(reactions.cluster(r, config), *names) == rows(reactions._named(r, scored), *names)
