@@ -373,7 +373,6 @@ def representatives(clustered: DataFrame) -> DataFrame:
 
 def consensus_order(clustered: DataFrame) -> DataFrame:
     """Each document's clusters in order: most labels first, then the smallest name, then the labels, then the id (``clustered(doc_id, cluster_id, label, name)``)."""
-    sized = clustered.groupBy("doc_id", "cluster_id").agg(
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("membership"), F.count_distinct("label").alias("size"), F.min(F.coalesce("name", F.lit(""))).alias("name")
-    )
+    sized = clustered.groupBy("doc_id", "cluster_id").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.min(F.coalesce("name", F.lit(""))).alias("name"))
+    sized = sized.select("doc_id", "cluster_id", F.array_join("labels", ",").alias("membership"), F.size("labels").cast("long").alias("size"), "name")
     return sized.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), "name", "membership", "cluster_id")))

@@ -264,3 +264,11 @@ def test_clusters_within_documents_equal_those_of_scored_pairs(spark, seed):
         assert rows(reactions.edges(r, config), *scored.columns) == rows(scored, *scored.columns)
         names = ("doc_id", "ord", "label", "cluster_id", "match_tier")
         assert rows(reactions.cluster(r, config), *names) == rows(reactions._named(r, scored), *names)
+
+
+def test_records_are_brought_together_once(spark):
+    """Clusters and their order take one shuffle, by document: no self-join, no joining back."""
+    r = spark.createDataFrame([(1, 1, "a", "n", 1, 2, ["x"], [1.0], None), (1, 2, "b", "m", 1, 2, ["x"], [1.0], None)], KINDS)
+    ordered = reactions.consensus_order(reactions.cluster(r, keep=["name"]))
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(x.cluster_id, x.membership, x.size, x.name, x.place) for x in ordered.collect()] == [(1, "a,b", 2, "m", 1)]

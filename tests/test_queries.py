@@ -61,3 +61,10 @@ def test_a_document_that_comes_again_has_its_last_results(spark, tmp_path):
         made = lambda docs, k=k: docs.filter(f"{k} = 0 OR doc_id <> 3").selectExpr("doc_id", f"{k} AS v")
         recompute_on_arrival(stream, made, out, str(tmp_path / "cp")).awaitTermination()
     assert sorted(tuple(r) for r in current(spark, out).select("doc_id", "v").collect()) == [(1, 0), (2, 1)]
+
+
+@pytest.mark.parametrize("name", ["consensus_order", "reaction_clusters"])
+def test_records_are_shuffled_once(spark, name):
+    """The records are numbered by document, so what follows by document needs no further shuffle."""
+    plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
