@@ -125,12 +125,16 @@ def time_score(a: Column, b: Column) -> Column:
 
 def atmosphere(raw: Column) -> Column:
     """inert, air, h2, nh3 or vac; the order of tests matters; NULL for others."""
-    x = F.lower(blank_to_null(raw))
-    return (
-        F.when(x.contains("argon") | x.isin("ar") | x.contains("nitrogen") | x.isin("n2"), "inert")
-        .when(x == "air", "air").when(x.contains("hydrogen") | x.isin("h2"), "h2")
-        .when(x.contains("ammonia") | x.isin("nh3"), "nh3").when(x.contains("vacuum"), "vac")
-    )
+
+    def kind(x: Column) -> Column:
+        return (
+            F.when(x.contains("argon") | x.isin("ar") | x.contains("nitrogen") | x.isin("n2"), "inert")
+            .when(x == "air", "air").when(x.contains("hydrogen") | x.isin("h2"), "h2")
+            .when(x.contains("ammonia") | x.isin("nh3"), "nh3").when(x.contains("vacuum"), "vac")
+        )
+
+    # as an item of an array the folded text is made once, not once for each test
+    return F.get(F.transform(F.array(F.lower(blank_to_null(raw))), kind), 0)
 
 
 def mean_present(*scores: Column) -> Column:

@@ -43,14 +43,14 @@ def pair_scores(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 
     Names and structures are canonical already (``name``, ``smiles``, ``reactant_*``). What depends on one record is computed before the join.
     """
-    own = lambda df: df.withColumns({"norm": S.fused_dot(F.col("procedure_vector"), F.col("procedure_vector")), "words": class_words(F.col("reaction_class"))})
-    names = (*PAIR_FIELDS, "norm", "words")
+    own = lambda df: df.withColumns({"norm": S.fused_dot(F.col("procedure_vector"), F.col("procedure_vector")), "words": class_words(F.col("reaction_class")), "gas": S.atmosphere(F.col("atmosphere"))})
+    names = (*(n for n in PAIR_FIELDS if n not in ("atmosphere", "reaction_class")), "norm", "words", "gas")
     p = _sides(own(baseline), "b", names).join(_sides(own(candidate), "c", names), "doc_id")
     b, c = (lambda n: F.col(f"b_{n}")), (lambda n: F.col(f"c_{n}"))
     conditions = S.mean_present(
         S.temperature_score(b("temperature_c"), b("room_temperature"), c("temperature_c"), c("room_temperature")),
         S.time_score(b("time_h"), c("time_h")),
-        S.equal_score(S.atmosphere(b("atmosphere")), S.atmosphere(c("atmosphere"))),
+        S.equal_score(b("gas"), c("gas")),
     )
     both = b("procedure_vector").isNotNull() & c("procedure_vector").isNotNull()
     axes = {

@@ -272,3 +272,14 @@ def test_records_are_brought_together_once(spark):
     ordered = reactions.consensus_order(reactions.cluster(r, keep=["name"]))
     assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [(x.cluster_id, x.membership, x.size, x.name, x.place) for x in ordered.collect()] == [(1, "a,b", 2, "m", 1)]
+
+
+def test_atmospheres_are_read_once_a_record(spark):
+    """What a record's atmosphere means is settled before the join, not for each pair and test."""
+    kinds = "doc_id long, ord long, name string, smiles string, reactant_smiles array<string>, reactant_names array<string>, procedure_vector array<double>, yield_pct double, temperature_c double, room_temperature boolean, time_h double, atmosphere string, reaction_class string, diagnostic string"
+    row = lambda o, gas: (1, o, "n", "s", ["x"], ["y"], [1.0], 1.0, None, None, None, gas, "c", "d")
+    gases = [" ARGON ", "ar", "Nitrogen", "n2", "air ", "H2", "hydrogen gas", "NH3", "Vacuum", "steam", " ", None]
+    pairs = reactions.pair_scores(spark.createDataFrame([row(0, "N2")], kinds), spark.createDataFrame([row(k, g) for k, g in enumerate(gases)], kinds))
+    assert [r.axis_conditions for r in pairs.orderBy("c_ord").collect()] == [1.0] * 4 + [0.0] * 5 + [None] * 3
+    scored = pairs.select("axis_conditions")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in scored.split("Join")[0] and "regexp_replace" in scored
