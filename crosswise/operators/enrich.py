@@ -8,7 +8,7 @@ that later runs can start from.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswise.functions.text import blank_to_null, looks_like_markush
-from crosswise.session import ship
+from crosswise.session import ship, stage
 
 #: Roles that count in a record's compound set, and roles that never do.
 SET_ROLES = ("product", "reactant", "reagent", "catalyst", "ligand", "base", "acid", "oxidant", "reductant")
@@ -99,32 +99,53 @@ def lookup(names: DataFrame, resolve: Callable[[str], str | None] | None, canoni
     return found if known is None else known.select("name", "structure").unionByName(found)
 
 
-def candidates(records: DataFrame) -> DataFrame:
-    """(doc_id, ord, rank, structure, name, is_product) of a record's product, reactants and counting compounds.
+def candidates(records: DataFrame, *more: Column, outer: bool = False) -> DataFrame:
+    """(doc_id, ord, rank, structure, name, is_product) of a record's product, reactants and counting compounds, and ``more``.
 
-    ``records`` has ``compounds array<struct<smiles, name, role, is_product>>``.
+    ``records`` has ``compounds array<struct<smiles, name, role, is_product>>``. With ``outer``, a record without any has a row of NULLs.
     """
     pair = lambda s, n, p: F.struct(s.alias("structure"), n.alias("name"), p.alias("is_product"))
     no = F.lit(False)
     tops = F.array(pair(F.col("product_smiles"), F.col("product_name"), F.lit(True)))
     reactants = F.transform(F.arrays_zip("reactant_smiles", "reactant_names"), lambda x: pair(x["reactant_smiles"], x["reactant_names"], no))
-    more = F.transform(
+    more_pairs = F.transform(
         F.filter(F.coalesce("compounds", F.expr("cast(array() as array<struct<smiles:string,name:string,role:string,is_product:boolean>>)")), lambda c: role_counts(c["role"], c["is_product"])),
         lambda c: pair(c["smiles"], c["name"], F.coalesce(c["is_product"], no)),
     )
-    return records.select("doc_id", "ord", F.posexplode(F.concat(tops, reactants, more)).alias("rank", "c")).select("doc_id", "ord", "rank", "c.structure", "c.name", "c.is_product")
+    each = (F.posexplode_outer if outer else F.posexplode)(F.concat(tops, reactants, more_pairs)).alias("rank", "c")
+    out = records.select("doc_id", "ord", *more, each)
+    return out.select("doc_id", "ord", *out.columns[2:-2], "rank", "c.structure", "c.name", "c.is_product")
 
 
-def with_structures(records: DataFrame, resolve: Callable[[str], str | None] | None = None, canonical: Callable[[str | None], str | None] = plain_canonical, known: DataFrame | None = None) -> DataFrame:
-    """``records`` with product_smiles from the ladder (its own, its name's, a product compound's) and the set compound_smiles."""
+def structures(pairs: DataFrame, resolve: Callable[[str], str | None] | None, canonical: Callable[[str | None], str | None] = plain_canonical, known: DataFrame | None = None) -> DataFrame:
+    """(structure, name, s) for distinct ``pairs(structure, name)``: the canonical structure, else its name's; pairs without either are left out. Each distinct structure and name is asked for once."""
     canon = F.pandas_udf(lambda x: x.map(canonical), "string")
-    parts = candidates(records).withColumn("own", canon("structure")).withColumn("key", blank_to_null(F.col("name")))
-    asked = lookup(parts.filter("own is null").select("name"), resolve, canonical, known).select(F.col("name").alias("key"), F.col("structure").alias("resolved"))
-    found = parts.join(asked, "key", "left").withColumn("s", F.coalesce("own", F.when(~looks_like_markush(F.col("key")), F.col("resolved")))).filter("s is not null")
-    product = F.min_by(F.when(F.col("is_product"), F.col("s")), F.when(F.col("is_product"), F.col("rank")))
-    sets = found.groupBy("doc_id", "ord").agg(F.array_sort(F.collect_set("s")).alias("compound_smiles"), product.alias("__product"))
-    out = records.drop("compound_smiles").join(sets, ["doc_id", "ord"], "left")
-    return out.withColumn("product_smiles", F.coalesce("__product", "product_smiles")).drop("__product")
+    ship(pairs.sparkSession)
+    forms = pairs.select(F.col("structure").alias("form")).distinct().withColumn("own", canon("form"))
+    own = stage(pairs.join(forms, F.col("structure").eqNullSafe(F.col("form"))).drop("form"), "structures-own")
+    asked = lookup(own.filter("own is null").select("name"), resolve, canonical, known).select(F.col("name").alias("key"), F.col("structure").alias("resolved"))
+    found = own.withColumn("key", F.when(F.col("own").isNull(), blank_to_null(F.col("name")))).join(asked, "key", "left")
+    return found.select("structure", "name", F.coalesce("own", F.when(~looks_like_markush(F.col("key")), F.col("resolved"))).alias("s")).filter("s is not null")
+
+
+def with_structures(records: DataFrame, resolve: Callable[[str], str | None] | None = None, canonical: Callable[[str | None], str | None] = plain_canonical, known: DataFrame | None = None, keep: Iterable[str] | None = None) -> DataFrame:
+    """``records`` with product_smiles from the ladder (its own, its name's, a product compound's) and the set compound_smiles.
+
+    Distinct pairs of structure and name are settled first, in a table that is as large as they are many; the records are then
+    grouped by (doc_id, ord) once, with the other columns (``keep`` names those that are wanted), and are not joined again.
+    """
+    columns = [c for c in records.columns if c not in ("doc_id", "ord", "compound_smiles") and (keep is None or c in ("product_smiles", *keep))]
+    settled = stage(structures(stage(candidates(records).select("structure", "name").distinct(), "structure-pairs"), resolve, canonical, known), "structures")
+    settled = settled.select(F.col("structure").alias("structure_"), F.col("name").alias("name_"), "s")
+    each = candidates(records, F.struct(*columns).alias("record"), outer=True)
+    each = each.join(settled, F.col("structure").eqNullSafe(F.col("structure_")) & F.col("name").eqNullSafe(F.col("name_")), "left")
+    s, first = F.when(F.col("rank").isNotNull(), F.col("s")), F.coalesce("rank", F.lit(0)) == 0
+    product = F.min_by(s, F.when(F.col("is_product") & s.isNotNull(), F.col("rank")))
+    sets = each.groupBy("doc_id", "ord").agg(F.collect_list(F.when(first, F.col("record"))).alias("rs"), F.collect_set(s).alias("set"), product.alias("product"))
+    keyed = F.col("doc_id").isNotNull() & F.col("ord").isNotNull()
+    sets = sets.select("doc_id", "ord", F.explode("rs").alias("r"), F.when(keyed & (F.size("set") > 0), F.array_sort("set")).alias("compound_smiles"), F.when(keyed, F.col("product")).alias("product"))
+    value = lambda c: F.coalesce("product", F.col("r")[c]) if c == "product_smiles" else F.col("r")[c]
+    return sets.select("doc_id", "ord", *[value(c).alias(c) for c in columns], "compound_smiles")
 
 
 def coverage(records: DataFrame) -> DataFrame:

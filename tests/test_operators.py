@@ -283,3 +283,24 @@ def test_atmospheres_are_read_once_a_record(spark):
     assert [r.axis_conditions for r in pairs.orderBy("c_ord").collect()] == [1.0] * 4 + [0.0] * 5 + [None] * 3
     scored = pairs.select("axis_conditions")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in scored.split("Join")[0] and "regexp_replace" in scored
+
+
+def test_each_structure_is_canonicalised_once(spark, tmp_path):
+    """However often a structure stands; records without candidates, repeated keys and missing keys keep their rows."""
+    schema = "doc_id int, ord long, label string, product_smiles string, product_name string, reactant_smiles array<string>, reactant_names array<string>, compounds array<struct<smiles:string,name:string,role:string,is_product:boolean>>"
+    log = tmp_path / "asked"
+
+    def canonical(x):
+        with open(log, "a") as out:
+            out.write(f"{x}\n")
+        return x.strip() if x else None
+
+    rows = [(k, 0, "m", " CC ", None, ["CN"], [None], [("cat", None, "catalyst", False)]) for k in range(20)]
+    rows += [(30, 0, "m", "CC", "n", None, None, None), (31, 0, "m", "CC", None, [], [], None), (31, 0, "p", None, None, ["CO"], [None], None), (None, 0, "m", " CC ", None, [], [], None)]
+    got = enrich.with_structures(spark.createDataFrame(rows, schema), None, canonical)
+    assert got.columns == ["doc_id", "ord", "label", "product_smiles", "product_name", "reactant_smiles", "reactant_names", "compounds", "compound_smiles"]
+    found = sorted(((r.doc_id, r.label, r.product_smiles, r.compound_smiles) for r in got.collect()), key=repr)
+    both = ["CC", "CO"]
+    assert found == sorted([(k, "m", "CC", ["CC", "CN", "cat"]) for k in range(20)] + [(30, "m", "CC", None), (31, "m", "CC", both), (31, "p", "CC", both), (None, "m", " CC ", None)], key=repr)
+    asked = log.read_text().splitlines()
+    assert len(asked) == len(set(asked))
