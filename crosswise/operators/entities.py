@@ -44,7 +44,9 @@ def tier_keys(entries: DataFrame) -> DataFrame:
 
 def resolve(entries: DataFrame) -> DataFrame:
     """(ord, cluster_id, match_tier): the smallest ``ord`` of the cluster, and its weakest needed tier (NULL for a lone entry)."""
-    keyed = stage(tier_keys(entries), "tier-keys")
+    # Long keys (whole texts) are dealt and compared by their SHA-256; the prefix makes them longer than any key that stands for itself.
+    short = F.when(F.length("key") > 64, F.concat(F.lit("sha256:"), F.sha2("key", 256))).otherwise(F.col("key"))
+    keyed = stage(tier_keys(entries).withColumn("key", short), "tier-keys")
     # The smallest entry of a key by a partial aggregate; the join then splits a hot key.
     anchors = stage(keyed.groupBy("doc_id", "tier", "key").agg(F.min("ord").alias("anchor"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "tier-anchors")
     anchored = keyed.join(anchors, ["doc_id", "tier", "key"])

@@ -304,3 +304,34 @@ def test_each_structure_is_canonicalised_once(spark, tmp_path):
     assert found == sorted([(k, "m", "CC", ["CC", "CN", "cat"]) for k in range(20)] + [(30, "m", "CC", None), (31, "m", "CC", both), (31, "p", "CC", both), (None, "m", " CC ", None)], key=repr)
     asked = log.read_text().splitlines()
     assert len(asked) == len(set(asked))
+
+
+def test_places_are_those_of_the_lists(spark):
+    """Places from the parallel sort equal the order in the one JSON text; clusters without a name come last; no task holds all clusters."""
+    import json
+
+    rng = random.Random(5)
+    kinds = "cluster_id long, label string, canonical string, identifier string, ord long"
+    made = [(k, label, rng.choice([None, "", "n", "m", "é", f"x{k % 7}"]), rng.choice("pqr"), 1000 * j + k) for k in range(60) for j, label in enumerate("AB") if rng.random() < 0.7]
+    m = spark.createDataFrame(made, kinds)
+    whole = json.loads(reports.diff_json(m, "A", "B").first().json)
+    found = reports.diff_places(m, "A", "B")
+    placed = {}
+    for r in sorted(found.collect(), key=lambda r: (r.kind, r.place)):
+        placed.setdefault(r.kind, []).append((r.place, r.b if r.kind == "second_only" else r.a))
+    for kind, name, side in (("matched", "matched_pairs", "a"), ("first_only", "first_only", "a"), ("second_only", "second_only", "b")):
+        assert placed[kind] == list(enumerate(x[side]["ord"] for x in whole[name]))
+    names = {o: c for _, _, c, _, o in made}
+    last = [names[o] is None for _, o in placed["first_only"]]
+    assert any(last) and last == sorted(last)
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_keys_are_not_shuffled_whole(spark, monkeypatch):
+    """Keys that are whole texts are compared by digest: equal ones link, others don't, and no staged key is long."""
+    staged = {}
+    monkeypatch.setattr(entities, "stage", lambda df, name, f=entities.stage: staged.setdefault(name, f(df, name)))
+    long = "word " * 500
+    e = spark.createDataFrame([entry(0, "A", "x", names=[long + "a"]), entry(1, "B", "y", names=[long + "a"]), entry(2, "C", "z", names=[long + "b"])], ENTRY)
+    assert sorted((r.ord, r.cluster_id) for r in entities.resolve(e).collect()) == [(0, 0), (1, 0), (2, 2)]
+    assert staged["tier-keys"].agg(F.max(F.length("key"))).first()[0] < 80
